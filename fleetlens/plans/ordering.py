@@ -81,29 +81,50 @@ def position_by_sequence(
     )
 
 
-def previous_row(
+def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
     sequence: str,
-    fields: Sequence[str],
+    value: Column,
     out: str,
     width: int = SEQUENCE_WIDTH,
 ) -> DataFrame:
-    """Add `out`, a struct of `fields` from the row right before this one inside the key."""
+    """Add `out`, the last non-null `value` strictly before this row inside the key.
+
+    The order column is a whole number and unique inside the key.
+    """
     keys = list(keys)
-    record = F.struct(*fields)
-    laid = df.withColumn("_piece", F.floor(F.col(sequence) / width))
-    across = Window.partitionBy(*keys).orderBy("_piece")
+    laid = df.withColumn("_piece", F.floor(F.col(sequence) / width)).withColumn("_value", value)
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    kept = F.struct(sequence, F.struct(F.col("_value").alias("v")).alias("s"))
     edges = (
         laid.groupBy(*keys, "_piece")
-        .agg(F.max_by(record, F.col(sequence)).alias("_last"))
-        .withColumn("_far", F.lag("_last").over(across))
-        .select(*keys, "_piece", "_far")
+        .agg(F.max(F.when(F.col("_value").isNotNull(), kept)).alias("_last"))
+        .withColumn("_far", F.last("_last", ignorenulls=True).over(earlier))
+        .select(*keys, "_piece", F.col("_far.s.v").alias("_far"))
+    )
+    inside = (
+        Window.partitionBy(*keys, "_piece")
+        .orderBy(sequence)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = Window.partitionBy(*keys, "_piece").orderBy(sequence)
     return (
-        laid.withColumn("_near", F.lag(record).over(inside))
+        laid.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
         .join(edges, [*keys, "_piece"])
         .withColumn(out, F.coalesce("_near", "_far"))
-        .drop("_piece", "_near", "_far")
+        .drop("_piece", "_value", "_near", "_far")
     )
+
+
+def previous_row(
+    df: DataFrame,
+    keys: Sequence[str],
+    sequence: str,
+    fields: Sequence[str],
+    out: str,
+    width: int = SEQUENCE_WIDTH,
+) -> DataFrame:
+    """Add `out`, a struct of `fields` from the row right before this one inside the key."""
+    return carry_forward(df, keys, sequence, F.struct(*fields), out, width)
