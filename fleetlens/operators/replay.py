@@ -151,7 +151,8 @@ def table_lifetimes(operations: DataFrame, width: int = SEQUENCE_WIDTH) -> Lifet
             "app_id", F.col("table_name").alias("name"), "pos"
         )
 
-    renames = operations.where("kind = 'rename_table'").select(
+    # Renaming a table to its own name changes nothing.
+    renames = operations.where("kind = 'rename_table' AND new_name <> table_name").select(
         "app_id", "pos", F.col("table_name").alias("old_name"), "new_name"
     )
     return lifetimes(named("create_table"), named("drop_table"), renames, APP, width)
