@@ -65,19 +65,24 @@ def sha256_text(value: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(column(value).cast("string"), 256))
 
 
+def stripped(value: Column) -> Column:
+    """The text without white space at either end."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def split_list(value: Column | str) -> Column:
     """Comma parts, trimmed, empty ones dropped."""
-    parts = F.transform(F.split(column(value), ","), F.trim)
+    parts = F.transform(F.split(column(value), ","), stripped)
     return F.filter(parts, lambda part: part != "")
 
 
 def split_two(value: Column | str) -> Column:
     """`struct(first, second)`; the second is null when missing, and the first is then whole."""
-    parts = F.transform(F.split(column(value), ",", 2), F.trim)
+    parts = F.transform(F.split(column(value), ",", 2), stripped)
     second = F.get(parts, F.lit(1))
     whole = second.isNull() | (second == "")
     return F.struct(
-        F.when(whole, F.trim(column(value))).otherwise(F.get(parts, F.lit(0))).alias("first"),
+        F.when(whole, stripped(column(value))).otherwise(F.get(parts, F.lit(0))).alias("first"),
         F.when(~whole, second).alias("second"),
     )
 
