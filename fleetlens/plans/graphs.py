@@ -116,8 +116,7 @@ def cycle_members(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     region is in that node's component; solved components are cut out until none is left.
     """
     keys = list(keys)
-    _levels, open_edges = peel(edges, keys)
-    open_edges = _trim(open_edges, keys)
+    open_edges = _trim(materialize(edges.select(*keys, "child", "parent").distinct(), "edges"), keys)
     loops = open_edges.where("child = parent").select(
         *keys, F.col("child").alias("node"), F.col("child").alias("component")
     )

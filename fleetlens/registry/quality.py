@@ -478,7 +478,7 @@ _OWN = "own AS (SELECT app_id, name AS table_name, comment FROM raw_relations WH
     UNION ALL SELECT app_id, 'column', column_id, concat(data_type, ' ', nullable) FROM phys_columns WHERE (app_id, table_name) IN (SELECT app_id, table_name FROM own)
     UNION ALL SELECT app_id, 'constraint', constraint_name, concat(max(CASE contype WHEN 'u' THEN 'unique' ELSE 'foreign_key' END), ':', string_agg(concat('public.', table_name, '.', column_name), ',' ORDER BY ord, column_name), '>', coalesce(string_agg(CASE WHEN ref_table IS NOT NULL THEN concat(ref_schema, '.', ref_table, '.', ref_column) END, ',' ORDER BY ord, column_name), ''),
         coalesce(max(CASE WHEN contype = 'f' THEN CASE delete_code WHEN 'c' THEN ' cascade' ELSE ' no_action' END END), '')) FROM raw_constraint_keys WHERE (app_id, table_name) IN (SELECT app_id, table_name FROM own) GROUP BY app_id, constraint_name
-    UNION ALL SELECT app_id, 'index', index_name, concat(is_unique, ':', coalesce(concat('public.', table_name, '.', column_name), expression), CASE WHEN is_descending THEN ' desc' ELSE ' asc' END) FROM raw_index_keys
+    UNION ALL SELECT app_id, 'index', index_name, concat(is_unique, ':', CASE WHEN column_name IS NOT NULL THEN concat('public.', table_name, '.', column_name) ELSE expression END, CASE WHEN is_descending THEN ' desc' ELSE ' asc' END) FROM raw_index_keys
       WHERE (app_id, table_name) IN (SELECT app_id, table_name FROM own) AND NOT is_primary AND (constraint_name IS NULL OR (app_id, constraint_name) NOT IN (SELECT app_id, constraint_name FROM uq))""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
