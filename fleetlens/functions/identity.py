@@ -12,7 +12,6 @@ RUN_ID_PATTERN = "^[0-9A-HJKMNP-TV-Z]{26}$"
 DECIMAL_PATTERN = "^-?(0|[1-9][0-9]*)(\\.[0-9]+)?$"
 SNAKE_CASE_PATTERN = "^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$"
 RFC3339_UTC_PATTERN = "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d{1,9})?Z$"
-IDENTITY_PART = "(?:[^.\\\\\\x00]|\\\\[.\\\\])+"
 RULE_ID_PATTERN = "^[a-z][a-z0-9_]*(?:\\.[a-z][a-z0-9_]*)+$"
 RECOMMENDATION_ID_PATTERN = "^[A-Z][A-Z0-9]{1,15}-[0-9]{3,6}$"
 NODE_KIND_PATTERN = "^[a-z][a-z0-9_]*$"
@@ -118,12 +117,23 @@ def encode_identity(*names: Column | str) -> Column:
 
 
 def decode_identity(value: Column | str) -> Column:
-    """Array of logical names; null when the text is not a valid identity."""
+    """Array of logical names; null when the text is not a valid identity.
+
+    NUL may not occur in an identity, so escaped characters are parked behind it while the
+    text is split. Names of any length are fine: no backtracking pattern is involved.
+    """
     text = column(value)
-    valid = text.rlike(f"^{IDENTITY_PART}(?:\\.{IDENTITY_PART})*$")
-    parts = F.regexp_extract_all(text, F.lit(f"({IDENTITY_PART})"), F.lit(1))
-    names = F.transform(parts, lambda part: F.regexp_replace(part, r"\\([.\\])", "$1"))
-    return F.when(valid, names)
+    parked = F.replace(
+        F.replace(text, F.lit("\\\\"), F.lit("\x00b")), F.lit("\\."), F.lit("\x00d")
+    )
+    names = F.transform(
+        F.split(parked, r"\."),
+        lambda part: F.replace(
+            F.replace(part, F.lit("\x00d"), F.lit(".")), F.lit("\x00b"), F.lit("\\")
+        ),
+    )
+    valid = ~F.contains(text, F.lit("\x00")) & ~F.contains(parked, F.lit("\\"))
+    return F.when(valid & ~F.exists(names, lambda name: name == ""), names)
 
 
 def frame_components(*components: Column | str) -> Column:

@@ -135,7 +135,7 @@ def fallback(family: str | None, stream: int, name: str, epoch: Column) -> Colum
 
 # --- checks ----------------------------------------------------------------------------------
 
-_LITERAL = r"(?:'(?:[^']|'')*'|-?\d+(?:\.\d+)?|true|false)"
+_LITERAL = r"(?:'(?:[^']++|'')*+'|-?\d+(?:\.\d+)?|true|false)"
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -163,8 +163,8 @@ def recognize_checks(constraints: DataFrame, expression: str = "expression") ->
     text = F.regexp_replace(text, rf"(?<!NOT |not |[A-Za-z0-9_])\(({single})\)", "$1")
     for _ in range(3):
         text = F.regexp_replace(text, r"^\(([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*)\)$", "$1")
-    listed = rf"^({_NAME}) (?:IN|in) \(({_LITERAL}(?:, ?{_LITERAL})*)\)$"
-    array = rf"^({_NAME}) = (?:ANY|any) \(+(?:ARRAY|array)\[({_LITERAL}(?:, ?{_LITERAL})*)\]\)+$"
+    listed = rf"^({_NAME}) (?:IN|in) \(({_LITERAL}(?:, ?{_LITERAL})*+)\)$"
+    array = rf"^({_NAME}) = (?:ANY|any) \(+(?:ARRAY|array)\[({_LITERAL}(?:, ?{_LITERAL})*+)\]\)+$"
     equality = rf"({_NAME}) = ({_LITERAL})"
     either = rf"^{equality}(?: (?:OR|or) \1 = {_LITERAL})*$"
     between = rf"^({_NAME}) (?:BETWEEN|between) (-?\d+) (?:AND|and) (-?\d+)$"

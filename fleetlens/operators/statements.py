@@ -19,9 +19,10 @@ from fleetlens.functions.identity import (
     encode_identity,
 )
 
+# Group loops are possessive: those run in constant stack space on texts of any length.
 TOKEN = (
-    r"--[^\n]*|/\*(?:[^*]|\*[^/])*\*/"
-    r"|[eE]?'(?:[^']|'')*'"
+    r"--[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/"
+    r"|[eE]?'(?:[^']++|'')*+'"
     r"|%\([A-Za-z0-9_]+\)s|%s\b|\$[0-9]+"
     r"|(?i:is\s+(?:not\s+)?(?:null|true|false)\b|not\s+null\b)"
     r"|(?:[A-Za-z_][A-Za-z0-9_$]*|\"[^\"]+\")(?:\.(?:[A-Za-z_][A-Za-z0-9_$]*|\"[^\"]+\"|\*))*"
@@ -194,7 +195,7 @@ def referenced_names(normalized: Column) -> Column:
     item = rf"{_NAME}(?: (?:as )?[a-z_][a-z0-9_]*)?"
     lists = F.regexp_extract_all(
         normalized,
-        F.lit(rf"\b(?:from|join|into|update|using|table)(?: only)? ((?:{item} , )*{_NAME})"),
+        F.lit(rf"\b(?:from|join|into|update|using|table)(?: only)? ((?:{item} , )*+{_NAME})"),
         F.lit(1),
     )
     items = F.flatten(F.transform(lists, lambda part: F.split(part, " , ")))
@@ -347,7 +348,7 @@ def where_terms(normalized: Column) -> Column:
     for _ in range(6):
         flat = F.regexp_replace(flat, r"\((?=[^()]*\b(?:or|select)\b)[^()]*\)", "skipped")
         flat = F.regexp_replace(flat, r"\bnot \([^()]*\)", "skipped")
-        flat = F.regexp_replace(flat, r"\(((?:(?!\b(?:or|select)\b)[^()])*)\)", "$1")
+        flat = F.regexp_replace(flat, r"\(((?:(?!\b(?:or|select)\b)[^()])*+)\)", "$1")
     where = F.regexp_extract(
         flat,
         r"\bwhere (.*?)(?: group by .*| order by .*| limit .*| offset .*| having .*"
