@@ -18,6 +18,7 @@ from fleetlens.functions.identity import (
     comparison_type,
     encode_identity,
 )
+from fleetlens.sources.scratch import materialize
 
 # Group loops are possessive: those run in constant stack space on texts of any length.
 TOKEN = (
@@ -315,9 +316,10 @@ def describe_statements(
 ) -> DataFrame:
     """One row per distinct statement with its query id and everything the id covers.
 
-    The lists are bounded by the size of one statement.
+    The lists are bounded by the size of one statement. Distinct statements are few beside the
+    events, and are normalized once and kept.
     """
-    normalized = normalize_statements(statements)
+    normalized = materialize(normalize_statements(statements), "statements")
     relations = (
         resolve_relations(normalized, cat_tables)
         .groupBy("normalized_sql")

@@ -32,11 +32,11 @@ SELECT app_id, table_id, table_name, concat(table_id, '.', name) AS column_id, n
   CASE WHEN name = 'c0' AND min(qty) < 10 THEN 'nextval(''s'')' WHEN min(qty) > 45 THEN '0' END AS default_expression
 FROM {catalog_lines} WHERE %s GROUP BY app_id, table_id, table_name, name
 """
-define("phys_columns", _COLUMNS % "rf <> 'R'")
-define("orm_columns", _COLUMNS % "ls = 'O'")
+define("phys_columns", _COLUMNS % "rf <> 'R'", snapshot=True)
+define("orm_columns", _COLUMNS % "ls = 'O'", snapshot=True)
 _TABLES = "SELECT DISTINCT app_id, table_id, 'public' AS schema_name, table_name AS name FROM {%s}"
-define("phys_tables", _TABLES % "phys_columns")
-define("orm_tables", _TABLES % "orm_columns")
+define("phys_tables", _TABLES % "phys_columns", snapshot=True)
+define("orm_tables", _TABLES % "orm_columns", snapshot=True)
 _KEYS = """SELECT app_id, table_id, concat('pk_', table_name) AS name, 'primary_key' AS kind, column_id AS columns,
   CAST(NULL AS STRING) AS referenced_table, CAST(NULL AS STRING) AS referenced_columns, CAST(NULL AS STRING) AS on_delete,
   CAST(NULL AS STRING) AS expression, 0 AS ordinal FROM {%s} WHERE name = 'c0'"""
@@ -58,8 +58,13 @@ UNION ALL SELECT app_id, table_id, concat('uq_', table_name, '_', name), 'unique
 UNION ALL SELECT app_id, table_id, concat('ck_', table_name, '_', name), 'check', '', CAST(NULL AS STRING), CAST(NULL AS STRING),
   CAST(NULL AS STRING), concat('(', name, ' >= 0)'), min(place) FROM {catalog_lines} WHERE rf = 'A' AND ln = 2 GROUP BY app_id, table_id, table_name, name
 """,
+    snapshot=True,
+)
+define(
+    "orm_constraints",
+    _KEYS % "orm_columns" + " UNION ALL " + _FOREIGN % "ls = 'O' AND rf = 'R'",
+    snapshot=True,
 )
-define("orm_constraints", _KEYS % "orm_columns" + " UNION ALL " + _FOREIGN % "ls = 'O' AND rf = 'R'")
 define(
     "phys_indexes",
     """
@@ -68,6 +73,7 @@ SELECT app_id, table_id, concat('ix_', table_name, '_', name, '_', ln) AS name,
   CASE WHEN max(disc) > 0.08 THEN 'desc' ELSE 'asc' END AS direction, CASE WHEN max(qty) > 48 THEN 'c1 > 0' END AS predicate, min(tax) < 0.01 AS is_unique
 FROM {catalog_lines} WHERE tax < 0.03 GROUP BY app_id, table_id, table_name, name, ln
 """,
+    snapshot=True,
 )
 define(
     "phys_unsupported",
@@ -84,6 +90,7 @@ SELECT app_id, concat('rel_', ln, '_', ordinal) AS name, table_id AS source_tabl
   CASE WHEN ordinal = 5 THEN concat('public.t', app_no % 97) END AS secondary_table, min(place) AS ordinal
 FROM {catalog_lines} WHERE ls = 'F' GROUP BY app_id, table_id, ln, ordinal, app_no
 """,
+    snapshot=True,
 )
 define(
     "app_context",

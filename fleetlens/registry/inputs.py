@@ -11,16 +11,28 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.sources.scratch import materialize
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
 INPUTS: dict[str, str] = {}
+_SNAPSHOTS: set[str] = set()
+# Frames of the running session: (session, data folder, name) to a lazy DataFrame.
+_FRAMES: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
+
 
+def define(name: str, text: str, snapshot: bool = False) -> None:
+    """Add a derived input.
 
-def define(name: str, text: str) -> None:
+    A snapshot is written once per session as a table and then only read, the way catalogs of
+    a fleet are kept; every other input is derived inside the query that reads it.
+    """
     INPUTS[name] = text.strip()
+    if snapshot:
+        _SNAPSHOTS.add(name)
 
 
 def _references(name: str) -> list[str]:
@@ -33,10 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived input `name` (or a given table) as a DataFrame."""
-    if name not in INPUTS:
-        return table(spark, sf_dir, name)
-    bound = {ref: frame(spark, sf_dir, ref) for ref in _references(name)}
-    return spark.sql(INPUTS[name], **bound)
+    key = (id(spark), sf_dir, name)
+    known = _FRAMES.get(key)
+    if known is not None and known[0] is spark:
+        return known[1]
+    if name in INPUTS:
+        bound = {ref: frame(spark, sf_dir, ref) for ref in _references(name)}
+        df = spark.sql(INPUTS[name], **bound)
+        if name in _SNAPSHOTS:
+            df = materialize(df, f"snapshot-{name}")
+    else:
+        df = table(spark, sf_dir, name)
+    _FRAMES[key] = (spark, df)
+    return df
 
 
 def _closure(names: list[str], seen: list[str]) -> None:
