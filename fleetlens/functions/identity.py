@@ -136,6 +136,20 @@ def decode_identity(value: Column | str) -> Column:
     return F.when(valid & ~F.exists(names, lambda name: name == ""), names)
 
 
+def identity_part(value: Column | str, position: int) -> Column:
+    """One logical name of a valid identity, 1-based; plain identities skip the decoder."""
+    text = column(value)
+    plain = F.split_part(text, F.lit("."), F.lit(position))
+    return F.when(F.contains(text, F.lit("\\")), F.element_at(decode_identity(text), position)).otherwise(
+        plain
+    )
+
+
+def frame_texts(*components: Column | str) -> Column:
+    """`frame_components` for text components only, in one JSON call."""
+    return F.to_json(F.array(*[column(c) for c in components]), {"ignoreNullFields": "false"})
+
+
 def frame_components(*components: Column | str) -> Column:
     """Compact JSON array of text, number or text-list components."""
     return F.concat(F.lit("["), F.concat_ws(",", *[json_text(c) for c in components]), F.lit("]"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.identity import decode_identity
+from fleetlens.functions.identity import identity_part
 
 MAX_CANDIDATES = 5
 
@@ -91,13 +91,12 @@ def prefix_duplicates(shapes: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def _names(columns: Column) -> Column:
-    return F.transform(columns, lambda c: F.element_at(decode_identity(c), 3))
+    return F.transform(columns, lambda c: identity_part(c, 3))
 
 
 def candidate_ddl(candidates: DataFrame) -> DataFrame:
     """Add index name, CREATE and DROP text."""
-    table = decode_identity("table_id")
-    schema, name = F.element_at(table, 1), F.element_at(table, 2)
+    schema, name = identity_part("table_id", 1), identity_part("table_id", 2)
     columns = _names(F.col("columns"))
     index = F.concat(F.lit("ix_"), name, F.lit("_"), F.array_join(columns, "_"))
     quote = F.lit('"')
@@ -117,26 +116,31 @@ def candidate_ddl(candidates: DataFrame) -> DataFrame:
     )
 
 
-def index_candidates(
-    predicates: DataFrame,
-    sequences: DataFrame,
-    keys: list[str],
-    budget: int = MAX_CANDIDATES,
-) -> tuple[DataFrame, DataFrame]:
-    """(accepted, discarded): at most `budget` accepted per query, over all its tables.
-
-    `keys` starts with app_id. The duplicate check comes before the budget.
+def judge_candidates(
+    predicates: DataFrame, sequences: DataFrame, keys: list[str], budget: int = MAX_CANDIDATES
+) -> DataFrame:
+    """Every candidate with `reason`: null when accepted.
+
+    At most `budget` are accepted per query, over all its tables; the duplicate check comes
+    before the budget. `keys` starts with app_id; a query's candidates come from one statement.
     """
     checked = prefix_duplicates(candidate_shapes(predicates, keys), sequences)
     order = Window.partitionBy(*keys, F.col("owner").isNull()).orderBy(
         "table_order", "table_id", "shape_order"
     )
-    placed = checked.withColumn("place", F.row_number().over(order))
     reason = F.when(
         F.col("owner").isNotNull(), F.concat(F.lit("duplicate_of_existing_index:"), "owner")
     ).when(F.col("place") > budget, "over_candidate_budget")
-    judged = placed.withColumn("reason", reason).select(
-        *keys, "table_id", "columns", "table_order", "shape_order", "reason"
+    return (
+        checked.withColumn("place", F.row_number().over(order))
+        .withColumn("reason", reason)
+        .select(*keys, "table_id", "columns", "table_order", "shape_order", "reason")
     )
-    accepted = candidate_ddl(judged.where("reason IS NULL").drop("reason"))
-    return accepted, judged.where("reason IS NOT NULL")
+
+
+def index_candidates(
+    predicates: DataFrame, sequences: DataFrame, keys: list[str], budget: int = MAX_CANDIDATES
+) -> DataFrame:
+    """Accepted candidates with their names and DDL."""
+    judged = judge_candidates(predicates, sequences, keys, budget)
+    return candidate_ddl(judged.where("reason IS NULL").drop("reason"))

@@ -357,10 +357,11 @@ def table_order(
     and columns.
     """
     ids = tables.select("app_id", "table_id")
-    known = (
+    known = materialize(
         foreign_keys.join(ids, ["app_id", "table_id"], "left_semi")
         .join(ids.withColumnRenamed("table_id", "referenced_table"), ["app_id", "referenced_table"], "left_semi")
-        .select("app_id", "table_id", "referenced_table", "columns")
+        .select("app_id", "table_id", "referenced_table", "columns"),
+        "keys",
     )
     edges = known.select(
         "app_id", F.col("table_id").alias("child"), F.col("referenced_table").alias("parent")
@@ -368,11 +369,12 @@ def table_order(
     members = materialize(cycle_members(edges, APP), "cycles")
     child = members.select("app_id", F.col("node").alias("table_id"), "component")
     parent = members.select("app_id", F.col("node").alias("referenced_table"), F.col("component").alias("parent_component"))
-    inside = (
+    inside = materialize(
         known.join(child, ["app_id", "table_id"])
         .join(parent, ["app_id", "referenced_table"])
         .where("component = parent_component")
-        .drop("parent_component")
+        .drop("parent_component"),
+        "inner-keys",
     )
     nullable = columns.where("nullable").select("app_id", "column_id", F.lit(True).alias("is_nullable"))
     used = inside.select("app_id", "component", F.explode("columns").alias("column_id")).join(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.identity import decode_identity, frame_components
+from fleetlens.functions.identity import identity_part, frame_components
 
 MISSING = "model_references_missing_physical_object"
 UNDECLARED = "physical_object_absent_from_models"
@@ -21,7 +21,7 @@ PHYSICAL_ONLY = "physical_fk_without_orm_relationship"
 
 
 def _table_name(table_id: Column) -> Column:
-    return F.element_at(decode_identity(table_id), 2)
+    return identity_part(table_id, 2)
 
 
 def _python_bool(value: Column) -> Column:

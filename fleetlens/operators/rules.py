@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.identity import RULE_ID_PATTERN, decode_identity
+from fleetlens.functions.identity import RULE_ID_PATTERN, identity_part
 from fleetlens.operators.reconcile import evidence_id, reconcile_relationships
 from fleetlens.plans.ordering import running_total
 
@@ -99,8 +99,7 @@ def unindexed_foreign_keys(ctx: Context) -> RuleOutput:
         .select("app_id", "column_id", "ordinal", "name")
     )
     numbered = running_total(open_keys, ["app_id"], ["column_id", "ordinal", "name"], "number")
-    parts = decode_identity("column_id")
-    place = F.concat(F.element_at(parts, 2), F.lit("."), F.element_at(parts, 3))
+    place = F.concat(identity_part("column_id", 2), F.lit("."), identity_part("column_id", 3))
     findings = numbered.select(
         *_finding(
             F.format_string("IDX-%03d", F.col("number").cast("long")),
@@ -131,8 +130,8 @@ def undeclared_physical_keys(ctx: Context) -> RuleOutput:
         "kind = 'orm_only_relationship'"
     )
     model = F.coalesce("tenant_model", F.lit("unknown"))
-    source = F.element_at(decode_identity(F.get("objects", F.lit(0))), 2)
-    target = F.element_at(decode_identity(F.get("objects", F.lit(1))), 2)
+    source = identity_part(F.get("objects", F.lit(0)), 2)
+    target = identity_part(F.get("objects", F.lit(1)), 2)
     by_name = F.lower(target).isin(TENANT_TABLES)
     tenant = F.when(model == "unknown", by_name).otherwise(model != "single_tenant")
     prefixed = (

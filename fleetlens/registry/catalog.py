@@ -730,14 +730,12 @@ _CAND_INPUTS = "query_predicates phys_indexes phys_constraints"
     sql=f"""WITH {_CANDIDATES} SELECT app_id, query_id, table_id, columns, CASE WHEN owner IS NOT NULL THEN concat('duplicate_of_existing_index:', owner) WHEN place > 5 THEN 'over_candidate_budget' END AS reason FROM p""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, discarded = candidates.index_candidates(
+    judged = candidates.judge_candidates(
         frame(spark, sf_dir, "query_predicates"), sequences(spark, sf_dir), ["app_id", "query_id"]
     )
-    fields = ["app_id", "query_id", "table_id", "columns", "reason"]
-    both = accepted.withColumn("reason", F.lit(None).cast("string")).select(*fields).unionByName(
-        discarded.select(*fields)
+    return judged.select(
+        "app_id", "query_id", "table_id", F.array_join("columns", ",").alias("columns"), "reason"
     )
-    return both.withColumn("columns", F.array_join("columns", ","))
 
 
 @query(
@@ -764,7 +762,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT app_id, query_id, name, concat('CREATE INDEX ', name, ' ON "public"."', t, '" (', cl, ')') AS apply_sql, concat('DROP INDEX "public"."', name, '"') AS revert_sql FROM m""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, _discarded = candidates.index_candidates(
+    accepted = candidates.index_candidates(
         frame(spark, sf_dir, "query_predicates"), sequences(spark, sf_dir), ["app_id", "query_id"]
     )
     return accepted.select("app_id", "query_id", "name", "apply_sql", "revert_sql")

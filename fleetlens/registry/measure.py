@@ -284,49 +284,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One plan document per order: a join over one scan per line."""
-    scan = F.transform(
-        F.array_sort(
-            F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
-        ),
-        lambda s: F.struct(
-            F.when(s["l_returnflag"] == "R", "Index Scan").otherwise("Seq Scan").alias("Node Type"),
-            F.concat(F.lit("part_"), s["l_partkey"] % 5).alias("Relation Name"),
-            F.when(s["l_returnflag"] == "R", F.concat(F.lit("ix_"), s["l_suppkey"] % 3)).alias("Index Name"),
-            F.when(s["l_returnflag"] == "R", "Forward").alias("Scan Direction"),
-            s["l_quantity"].alias("Plan Rows"),
-        ),
-    )
-    join = F.struct(F.lit("Hash Join").alias("Node Type"), F.lit("Inner").alias("Join Type"), F.col("scans").alias("Plans"))
+    """One plan document per order: a join over one to five scans."""
+    key = F.col("o_orderkey")
+
+    def scan(i):
+        indexed = (key + i) % 3 == 0
+        return F.struct(
+            F.when(indexed, "Index Scan").otherwise("Seq Scan").alias("Node Type"),
+            F.concat(F.lit("part_"), (key + i) % 5).alias("Relation Name"),
+            F.when(indexed, F.concat(F.lit("ix_"), (key + i) % 4)).alias("Index Name"),
+            F.when(indexed, "Forward").alias("Scan Direction"),
+            (i * 10).alias("Plan Rows"),
+        )
+
+    scans = F.transform(F.sequence(F.lit(1).cast("long"), key % 5 + 1), scan)
+    join = F.struct(F.lit("Hash Join").alias("Node Type"), F.lit("Inner").alias("Join Type"), scans.alias("Plans"))
     sort = F.struct(
         F.lit("Sort").alias("Node Type"), F.array(F.lit("created_at DESC")).alias("Sort Key"), F.array(join).alias("Plans")
     )
     root = F.struct(
         F.lit("Aggregate").alias("Node Type"), F.lit("Hashed").alias("Strategy"), F.lit(7).alias("WAL Records"), F.array(sort).alias("Plans")
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(scan.alias("scans"))
-        .select("l_orderkey", F.to_json(F.array(F.struct(root.alias("Plan")))).alias("doc"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.to_json(F.array(F.struct(root.alias("Plan")))).alias("doc")
     )
 
 
-_SCANS = """n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i,
-      l_quantity, concat('part_', l_partkey % 5) AS rel, CASE WHEN l_returnflag = 'R' THEN concat('ix_', l_suppkey % 3) END AS ix FROM lineitem)"""
+_SCANS = """n AS (SELECT o_orderkey, i, CAST(i * 10 AS DOUBLE) AS plan_rows, concat('part_', (o_orderkey + i) % 5) AS rel, CASE WHEN (o_orderkey + i) % 3 = 0 THEN concat('ix_', (o_orderkey + i) % 4) END AS ix
+    FROM (SELECT o_orderkey, unnest(range(1, o_orderkey % 5 + 2)) AS i FROM orders) x)"""
 
 
 @query(
     "b11_flatten_plans",
-    sql=f"""WITH {_SCANS}, o AS (SELECT DISTINCT l_orderkey FROM lineitem)
-    SELECT l_orderkey, 0 AS node, NULL AS parent, 0 AS depth, 'Aggregate' AS node_type, 'Hashed' AS strategy, NULL AS relation_name, NULL AS index_name, NULL AS join_type, '[]' AS sort_key, NULL AS plan_rows, 7 AS wal_records, 0 AS wal_bytes FROM o
-    UNION ALL SELECT l_orderkey, 1, 0, 1, 'Sort', NULL, NULL, NULL, NULL, '["created_at DESC"]', NULL, NULL, NULL FROM o
-    UNION ALL SELECT l_orderkey, 2, 1, 2, 'Hash Join', NULL, NULL, NULL, 'Inner', '[]', NULL, NULL, NULL FROM o
-    UNION ALL SELECT l_orderkey, 2 + i, 2, 3, CASE WHEN ix IS NULL THEN 'Seq Scan' ELSE 'Index Scan' END, NULL, rel, ix, NULL, '[]', l_quantity, NULL, NULL FROM n""",
+    sql=f"""WITH {_SCANS}, o AS (SELECT o_orderkey FROM orders)
+    SELECT o_orderkey, 0 AS node, NULL AS parent, 0 AS depth, 'Aggregate' AS node_type, 'Hashed' AS strategy, NULL AS relation_name, NULL AS index_name, NULL AS join_type, '[]' AS sort_key, NULL AS plan_rows, 7 AS wal_records, 0 AS wal_bytes FROM o
+    UNION ALL SELECT o_orderkey, 1, 0, 1, 'Sort', NULL, NULL, NULL, NULL, '["created_at DESC"]', NULL, NULL, NULL FROM o
+    UNION ALL SELECT o_orderkey, 2, 1, 2, 'Hash Join', NULL, NULL, NULL, 'Inner', '[]', NULL, NULL, NULL FROM o
+    UNION ALL SELECT o_orderkey, 2 + i, 2, 3, CASE WHEN ix IS NULL THEN 'Seq Scan' ELSE 'Index Scan' END, NULL, rel, ix, NULL, '[]', plan_rows, NULL, NULL FROM n""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_trees.flatten_plans(plan_documents(spark, sf_dir), ["l_orderkey"]).select(
-        "l_orderkey", "node", "parent", "depth", "node_type", "strategy", "relation_name", "index_name", "join_type",
+    return plan_trees.flatten_plans(plan_documents(spark, sf_dir), ["o_orderkey"]).select(
+        "o_orderkey", "node", "parent", "depth", "node_type", "strategy", "relation_name", "index_name", "join_type",
         "sort_key", "plan_rows", "wal_records", "wal_bytes",
     )
 
@@ -342,25 +340,25 @@ def _node_json(kind: str, children: str, join: str = "null", strategy: str = "nu
 
 @query(
     "b13_plan_fingerprint",
-    sql=f"""WITH {_SCANS}, j AS (SELECT l_orderkey, string_agg(concat('{{"children":[],"group_key":[],"index_name":', CASE WHEN ix IS NULL THEN 'null' ELSE concat('"', ix, '"') END,
+    sql=f"""WITH {_SCANS}, j AS (SELECT o_orderkey, string_agg(concat('{{"children":[],"group_key":[],"index_name":', CASE WHEN ix IS NULL THEN 'null' ELSE concat('"', ix, '"') END,
       ',"join_type":null,"node_type":"', CASE WHEN ix IS NULL THEN 'Seq Scan' ELSE 'Index Scan' END, '","relation_name":"', rel, '","scan_direction":',
       CASE WHEN ix IS NULL THEN 'null' ELSE '"Forward"' END, ',"sort_key":[],"strategy":null}}'), ',' ORDER BY i) AS s FROM n GROUP BY 1)
-    SELECT l_orderkey, concat('sha256:', sha256({_node_json("Aggregate", _node_json("Sort", _node_json("Hash Join", "s", join='"Inner"'), sort='["created_at DESC"]'), strategy='"Hashed"')})) AS plan_fingerprint FROM j""",
+    SELECT o_orderkey, concat('sha256:', sha256({_node_json("Aggregate", _node_json("Sort", _node_json("Hash Join", "s", join='"Inner"'), sort='["created_at DESC"]'), strategy='"Hashed"')})) AS plan_fingerprint FROM j""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["l_orderkey"]).drop(
+    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["o_orderkey"]).drop(
         "normalized_shape"
     )
 
 
 @query(
     "b14_plan_shape",
-    sql=f"""WITH {_SCANS} SELECT l_orderkey, concat('Aggregate (Hashed) -> (Sort -> (Inner Hash Join -> (',
+    sql=f"""WITH {_SCANS} SELECT o_orderkey, concat('Aggregate (Hashed) -> (Sort -> (Inner Hash Join -> (',
       string_agg(CASE WHEN ix IS NULL THEN concat('Seq Scan on ', rel) ELSE concat('Index Scan using ', ix) END, ', ' ORDER BY i), ')))') AS normalized_shape
     FROM n GROUP BY 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["l_orderkey"]).drop(
+    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["o_orderkey"]).drop(
         "plan_fingerprint"
     )
 
