@@ -352,13 +352,13 @@ def where_terms(normalized: Column) -> Column:
         flat = F.regexp_replace(flat, r"\bnot \([^()]*\)", "skipped")
         flat = F.regexp_replace(flat, r"\(((?:(?!\b(?:or|select)\b)[^()])*+)\)", "$1")
     where = F.regexp_extract(
-        flat,
+        F.regexp_replace(flat, " +", " "),
         r"\bwhere (.*?)(?: group by .*| order by .*| limit .*| offset .*| having .*"
         r"| returning .*| for update.*| union .*)?$",
         1,
     )
     return F.when(where.rlike(r"\bor\b"), F.array().cast("array<string>")).otherwise(
-        F.split(where, " and ")
+        F.transform(F.split(where, " and "), F.trim)
     )
 
 

@@ -78,30 +78,27 @@ def _spread(edges: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("down", F.col("node"))
     )
     labels = materialize(nodes, "labels")
+    own = F.struct("node", "up", "down")
     while True:
-        by_parent = labels.select(*keys, F.col("node").alias("parent"), F.col("up").alias("new_up"))
-        by_child = labels.select(*keys, F.col("node").alias("child"), F.col("down").alias("new_down"))
-        none = F.lit(None).cast("string")
+        child = labels.select(*keys, F.col("node").alias("child"), F.col("down").alias("child_down"))
+        parent = labels.select(*keys, F.col("node").alias("parent"), F.col("up").alias("parent_up"))
+        # A child is reached from what reaches its parent; a parent reaches what its child reaches.
+        passed = F.array(
+            F.struct(F.col("child").alias("node"), F.col("parent_up").alias("up"), F.col("child").alias("down")),
+            F.struct(F.col("parent").alias("node"), F.col("parent").alias("up"), F.col("child_down").alias("down")),
+        )
         news = (
-            edges.join(by_parent, [*keys, "parent"])
-            .select(*keys, F.col("child").alias("node"), "new_up", none.alias("new_down"))
-            .unionByName(
-                edges.join(by_child, [*keys, "child"]).select(
-                    *keys, F.col("parent").alias("node"), none.alias("new_up"), "new_down"
-                )
-            )
-            .groupBy(*keys, "node")
-            .agg(F.max("new_up").alias("new_up"), F.max("new_down").alias("new_down"))
+            edges.join(child, [*keys, "child"])
+            .join(parent, [*keys, "parent"])
+            .select(*keys, F.inline(passed))
+            .withColumn("old", F.lit(None).cast(labels.select(own.alias("o")).schema["o"].dataType))
         )
-        up, down = F.greatest("up", "new_up"), F.greatest("down", "new_down")
         spread = materialize(
-            labels.join(news, [*keys, "node"], "left").select(
-                *keys,
-                "node",
-                up.alias("up"),
-                down.alias("down"),
-                ((up != F.col("up")) | (down != F.col("down"))).alias("moved"),
-            ),
+            news.unionByName(labels.withColumn("old", own))
+            .groupBy(*keys, "node")
+            .agg(F.max("up").alias("up"), F.max("down").alias("down"), F.max("old").alias("old"))
+            .withColumn("moved", (F.col("up") != F.col("old.up")) | (F.col("down") != F.col("old.down")))
+            .drop("old"),
             "labels",
         )
         labels = spread.drop("moved")
