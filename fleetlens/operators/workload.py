@@ -1,7 +1,8 @@
 """Operations, transactions and amplification from the captured query log.
 
 An operation is one (app, run, test node, phase). All rollups start from one pre-aggregation
-by (operation, query), so a hot operation is combined before its rows are shuffled.
+by (operation, query), so a hot operation is combined before its rows are shuffled. What a
+query is (class, relations, text) comes from `queries`, one row per query id.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.identity import sha256_text
 from fleetlens.plans.ordering import SEQUENCE_WIDTH, position_by_sequence
+from fleetlens.sources.scratch import materialize
 
 RUN = ["app_id", "run_id"]
 OPERATION = [*RUN, "node_id", "phase"]
@@ -18,39 +20,37 @@ MIN_REPETITIONS = 5
 
 
 def executions_by_query(events: DataFrame) -> DataFrame:
-    """One row per (operation, query): counts, duration, class, relations, first call site."""
+    """One row per (operation, query): executions, duration and first sequence number.
+
+    Only numbers are aggregated, so this stays a generated hash aggregation.
+    """
     return events.groupBy(*OPERATION, "query_id").agg(
         F.count("*").alias("executions"),
         F.sum("duration_us").alias("duration_us"),
         F.min("sequence").alias("first_sequence"),
-        F.min_by("statement_class", "sequence").alias("statement_class"),
-        F.min_by("relations", "sequence").alias("relations"),
-        F.expr(
-            "min(struct(sequence, call_sites[0] AS site)) FILTER (WHERE size(call_sites) > 0)"
-        ).alias("first_site"),
     )
 
 
-def query_catalog(events: DataFrame) -> DataFrame:
+def query_catalog(events: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per (run, query) with its call sites in first-seen order, without repeats.
 
-    Sites are reduced to distinct code places before they are listed.
+    `queries` holds query_id, statement_class, normalized_sql and parse_error. Sites are
+    reduced to distinct code places before they are listed.
     """
-    queries = events.groupBy(*RUN, "query_id").agg(
-        F.count("*").alias("executions"),
-        F.min_by("statement_class", "sequence").alias("statement_class"),
-        F.min_by("normalized_sql", "sequence").alias("normalized_sql"),
-        F.min_by("parse_error", "sequence").alias("parse_error"),
-    )
+    counts = events.groupBy(*RUN, "query_id").agg(F.count("*").alias("executions"))
     sites = (
         events.select(*RUN, "query_id", "sequence", F.posexplode("call_sites").alias("at", "site"))
         .groupBy(*RUN, "query_id", "site")
-        .agg(F.min(F.struct("sequence", "at")).alias("seen"))
+        .agg(F.min("sequence").alias("sequence"), F.min_by("at", "sequence").alias("at"))
         .groupBy(*RUN, "query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seen", "site"))).alias("_sites"))
+        .agg(F.array_sort(F.collect_list(F.struct("sequence", "at", "site"))).alias("_sites"))
     )
-    return queries.join(sites, [*RUN, "query_id"], "left").select(
-        *queries.columns, F.coalesce("_sites.site", F.array()).alias("call_sites")
+    facts = queries.select("query_id", "statement_class", "normalized_sql", "parse_error")
+    return (
+        counts.join(facts, "query_id")
+        .join(sites, [*RUN, "query_id"], "left")
+        .withColumn("call_sites", F.coalesce("_sites.site", F.array()))
+        .drop("_sites")
     )
 
 
@@ -59,22 +59,31 @@ def _tables(statement_class: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(lists)))
 
 
-def operation_rollup(events: DataFrame) -> DataFrame:
-    """Tables read and written, duration (0 becomes null) and entry point of each operation."""
-    return (
+def operation_rollup(events: DataFrame, queries: DataFrame) -> DataFrame:
+    """Tables read and written, duration (0 becomes null) and entry point of each operation.
+
+    `queries` holds query_id, statement_class and relations. Events are combined by (operation,
+    query) before anything about the query is looked up; the entry point is the first call
+    site of the first event that has one.
+    """
+    rolled = (
         executions_by_query(events)
+        .join(queries.select("query_id", "statement_class", "relations"), "query_id", "left")
         .groupBy(*OPERATION)
         .agg(
             F.sum("executions").alias("query_count"),
             _tables("read").alias("tables_read"),
             _tables("write").alias("tables_written"),
             F.nullif(F.sum("duration_us"), F.lit(0).cast("long")).alias("observed_duration_us"),
-            F.min("first_site").alias("_first"),
             F.min("first_sequence").alias("first_sequence"),
         )
-        .withColumn("entry_point", F.col("_first.site"))
-        .drop("_first")
     )
+    entries = (
+        events.where(F.size("call_sites") > 0)
+        .groupBy(*OPERATION)
+        .agg(F.min_by(F.get("call_sites", F.lit(0)), "sequence").alias("entry_point"))
+    )
+    return rolled.join(entries, OPERATION, "left")
 
 
 def operation_query_counts(events: DataFrame) -> DataFrame:
@@ -113,83 +122,112 @@ def amplification_class(executions: Column, same_binds: Column, parent: Column)
     )
 
 
+def _bind_marks(signature: Column) -> list[Column]:
+    """Two independent 64-bit marks of a bind signature; equal binds have equal marks.
+
+    The JSON form is marked, because hashing an array passes over its nulls.
+    """
+    text = F.to_json(signature)
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 def detect_amplification(
     events: DataFrame, min_repetitions: int = MIN_REPETITIONS, width: int = SEQUENCE_WIDTH
 ) -> DataFrame:
     """Queries repeated inside an operation, with the query that ran right before them.
 
     Nothing before a first occurrence can be the same query, so the nearest earlier distinct
-    query is the previous event. Operations are cut into pieces of `width` sequence numbers;
-    the previous event is looked up inside a piece, and across pieces only for the few
-    first occurrences that open one. Equal binds are seen by min = max, which combines
-    before the shuffle.
+    query is the previous event. First the repeated queries are found by one numeric
+    aggregation that combines before the shuffle (equal binds are seen by min = max). Only
+    events near their first occurrences are then put in order: operations are cut into pieces
+    of `width` sequence numbers, so a hot operation never meets in one task, and a first
+    occurrence that opens its piece looks at the end of the piece before.
     """
-    record = F.struct("query_id", "statement_class", "rowcount", "relations")
-    pieces = events.select(
-        *OPERATION,
-        "sequence",
-        "query_id",
-        "statement_class",
-        "rowcount",
-        "relations",
-        "bind_signature",
-        F.get("call_sites", F.lit(0)).alias("site"),
-        F.floor(F.col("sequence") / width).alias("piece"),
+    first_mark, second_mark = _bind_marks(F.col("bind_signature"))
+    piece = F.floor(F.col("sequence") / width).alias("piece")
+    marked = events.select(
+        *OPERATION, "query_id", "sequence", first_mark.alias("m1"), second_mark.alias("m2")
     )
-    inside = Window.partitionBy(*OPERATION, "piece").orderBy("sequence")
-    near = pieces.withColumn("near", F.lag(record).over(inside))
-    repeated = (
-        near.groupBy(*OPERATION, "query_id")
+    same = (F.min("m1") == F.max("m1")) & (F.min("m2") == F.max("m2"))
+    repeated = materialize(
+        marked.groupBy(*OPERATION, "query_id")
         .agg(
             F.count("*").alias("repetitions"),
-            F.min("bind_signature").eqNullSafe(F.max("bind_signature")).alias("same_binds"),
-            F.min_by(F.struct("near", "piece", "site", "relations"), "sequence").alias("first"),
-            F.min("sequence").alias("first_sequence"),
+            F.min("sequence").alias("sequence"),
+            same.alias("same_binds"),
         )
         .where(F.col("repetitions") >= min_repetitions)
-        .withColumn("piece", F.col("first.piece"))
+        .withColumn("piece", F.floor(F.col("sequence") / width)),
+        "repeated",
     )
-    edges = (
-        pieces.groupBy(*OPERATION, "piece")
-        .agg(F.max_by(record, F.col("sequence")).alias("last"))
-        .withColumn("far", F.lag("last").over(Window.partitionBy(*OPERATION).orderBy("piece")))
-        .drop("last")
+    slim = events.select(
+        *OPERATION, piece, "sequence", F.struct("query_id", "statement_class", "rowcount").alias("record")
     )
-    return (
-        repeated.join(edges, [*OPERATION, "piece"])
-        .withColumn("parent", F.coalesce("first.near", "far"))
-        .where("parent IS NOT NULL")
-        .select(
-            *OPERATION,
-            F.col("parent.query_id").alias("parent_query"),
-            F.col("query_id").alias("child_query"),
-            "repetitions",
-            amplification_class(
-                F.col("repetitions"), F.col("same_binds"), F.col("parent")
-            ).alias("classification"),
-            F.col("parent.relations").alias("parent_relations"),
-            F.col("first.relations").alias("child_relations"),
-            F.col("first.site").alias("call_site"),
-            "first_sequence",
+    order = Window.partitionBy(*OPERATION, "piece").orderBy("sequence")
+    ordered = (
+        slim.join(repeated.select(*OPERATION, "piece").distinct(), [*OPERATION, "piece"], "left_semi")
+        .withColumn("near", F.lag("record").over(order))
+        .drop("record")
+    )
+    found = materialize(
+        repeated.join(ordered, [*OPERATION, "piece", "sequence"]), "first-occurrences"
+    )
+    openers = found.where("near IS NULL AND piece > 0").select(*OPERATION).distinct()
+    if openers.isEmpty():
+        parents = found.withColumnRenamed("near", "parent")
+    else:
+        edges = (
+            slim.join(openers, OPERATION, "left_semi")
+            .groupBy(*OPERATION, "piece")
+            .agg(F.max_by("record", "sequence").alias("last"))
+            .withColumn("far", F.lag("last").over(Window.partitionBy(*OPERATION).orderBy("piece")))
+            .drop("last")
+        )
+        parents = found.join(edges, [*OPERATION, "piece"], "left").withColumn(
+            "parent", F.coalesce("near", "far")
         )
+    return parents.where("parent IS NOT NULL").select(
+        *OPERATION,
+        F.col("parent.query_id").alias("parent_query"),
+        F.col("query_id").alias("child_query"),
+        "repetitions",
+        amplification_class(
+            F.col("repetitions"), F.col("same_binds"), F.col("parent")
+        ).alias("classification"),
+        F.col("sequence").alias("first_sequence"),
     )
 
 
-def name_relationships(amplifications: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+def amplification_call_sites(amplifications: DataFrame, events: DataFrame) -> DataFrame:
+    """Add `call_site`, the first call site of the first repeated event itself."""
+    sites = events.select(
+        *OPERATION,
+        F.col("sequence").alias("first_sequence"),
+        F.get("call_sites", F.lit(0)).alias("call_site"),
+    )
+    return amplifications.join(sites, [*OPERATION, "first_sequence"])
+
+
+def name_relationships(
+    amplifications: DataFrame, queries: DataFrame, foreign_keys: DataFrame
+) -> DataFrame:
     """Add `relationship_name`: the only foreign key from the child's only table to the parent's.
 
-    `foreign_keys` holds (name, table_id, referenced_table).
+    `queries` holds query_id and relations, `foreign_keys` name, table_id, referenced_table.
     """
     only = foreign_keys.groupBy("table_id", "referenced_table").agg(
         F.when(F.count("*") == 1, F.min("name")).alias("relationship_name")
     )
+    single = queries.select(
+        "query_id", F.when(F.size("relations") == 1, F.get("relations", F.lit(0))).alias("relation")
+    )
 
-    def single(name: str) -> Column:
-        return F.when(F.size(name) == 1, F.get(name, F.lit(0)))
+    def side(query: str, relation: str) -> DataFrame:
+        return single.select(F.col("query_id").alias(query), F.col("relation").alias(relation))
 
     return (
-        amplifications.withColumn("table_id", single("child_relations"))
-        .withColumn("referenced_table", single("parent_relations"))
+        amplifications.join(side("child_query", "table_id"), "child_query", "left")
+        .join(side("parent_query", "referenced_table"), "parent_query", "left")
         .join(only, ["table_id", "referenced_table"], "left")
         .drop("table_id", "referenced_table")
     )

@@ -13,7 +13,7 @@ from fleetlens.functions.identity import finding_identity
 from fleetlens.operators import candidates, reconcile, rules, schema_graph, treatment, workload
 from fleetlens.registry.base import query
 from fleetlens.registry.inputs import define, frame
-from fleetlens.registry.workload import captured
+from fleetlens.registry.workload import captured, captured_queries
 
 define(
     "catalog_lines",
@@ -648,7 +648,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = captured(spark, sf_dir).withColumn(
         "node_id", F.concat("node_id", F.lit("/"), F.col("rowcount") % 3)
     )
-    operations = workload.operation_rollup(log).select(
+    operations = workload.operation_rollup(log, captured_queries(spark, sf_dir)).select(
         "app_id",
         F.col("node_id").alias("operation_id"),
         "tables_written",

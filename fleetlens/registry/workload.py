@@ -93,19 +93,32 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
         "duration_us",
         "query_id",
         "statement_class",
-        F.col("query_id").alias("normalized_sql"),
-        F.when(F.col("query_id") == "error", "failed").alias("parse_error"),
         "rowcount",
         "transaction_id",
         F.array("bind").alias("bind_signature"),
         F.when(F.col("site_path").isNull(), F.array().cast(f"array<struct<path:string,line:bigint,symbol:string>>"))
         .otherwise(F.array(site))
         .alias("call_sites"),
-        F.split(F.expr(_RELATIONS), ",").alias("relations"),
         "bind",
     )
 
 
+def captured_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per query id of `captured`."""
+    return (
+        frame(spark, sf_dir, "capture")
+        .select("query_id", "statement_class")
+        .distinct()
+        .select(
+            "query_id",
+            "statement_class",
+            F.col("query_id").alias("normalized_sql"),
+            F.when(F.col("query_id") == "error", "failed").alias("parse_error"),
+            F.split(F.expr(_RELATIONS), ",").alias("relations"),
+        )
+    )
+
+
 @query(
     "c06_normalize_statements",
     inputs="capture",
@@ -181,7 +194,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM q LEFT JOIN l USING (app_id, run_id, query_id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = workload.query_catalog(captured(spark, sf_dir))
+    found = workload.query_catalog(
+        captured(spark, sf_dir), captured_queries(spark, sf_dir)
+    )
     sites = F.transform(
         "call_sites", lambda s: F.concat_ws(":", s["path"], s["line"].cast("string"), s["symbol"])
     )
@@ -216,7 +231,9 @@ def printable_operations(rollup: DataFrame) -> DataFrame:
 
 @query("c12_operation_rollup", inputs="capture", sql=_OPERATION_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return printable_operations(workload.operation_rollup(captured(spark, sf_dir)))
+    return printable_operations(
+        workload.operation_rollup(captured(spark, sf_dir), captured_queries(spark, sf_dir))
+    )
 
 
 COUNTS_SQL = """SELECT app_id, run_id, node_id, phase, query_id, count(*) AS executions FROM capture GROUP BY ALL"""
@@ -294,7 +311,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         ('fk_customer_b', 'public.customer', 'public.orders') AS t(name, table_id, referenced_table)"""
     )
     found = workload.detect_amplification(captured(spark, sf_dir), width=1024)
-    return workload.name_relationships(found, keys).select(
+    return workload.name_relationships(found, captured_queries(spark, sf_dir), keys).select(
         *workload.OPERATION, "parent_query", "child_query", "relationship_name"
     )
 
@@ -308,7 +325,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = workload.detect_amplification(captured(spark, sf_dir), width=1024)
+    events = captured(spark, sf_dir)
+    found = workload.amplification_call_sites(workload.detect_amplification(events, width=1024), events)
     site = F.col("call_site")
     return found.select(
         *workload.OPERATION,

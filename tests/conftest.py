@@ -16,7 +16,9 @@ from fleetlens.session import build_session  # noqa: E402
 def spark():
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     session = build_session(
-        "tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=folder
+        "tests",
+        spark__sql__shuffle__partitions="2",
+        spark__checkpoint__dir=folder,
     )
     yield session
     session.stop()

@@ -46,6 +46,12 @@ def test_null_binds_count_as_values(frame):
     assert found(workload.detect_amplification(frame(rows))) == {("p", "c", 5, "possible_amplification")}
 
 
+def test_position_of_a_null_bind_counts(frame):
+    rows = [event(1, "p", rowcount=9)]
+    rows += [event(2 + i, "c", binds=["x", None] if i % 2 else [None, "x"]) for i in range(5)]
+    assert found(workload.detect_amplification(frame(rows))) == {("p", "c", 5, "possible_amplification")}
+
+
 def test_unknown_parent_rowcount_never_matches(frame):
     rows = [event(1, "p")] + [event(2 + i, "c", binds=[str(i)]) for i in range(5)]
     assert found(workload.detect_amplification(frame(rows))) == {("p", "c", 5, "possible_amplification")}
@@ -75,12 +81,14 @@ def test_parent_is_the_nearest_earlier_query(frame, width):
 def test_relationship_needs_one_key_between_single_relations(spark, frame):
     rows = [event(1, "p", rowcount=5, relations=["public.o"])]
     rows += [event(2 + i, "c", binds=[str(i)], relations=["public.i"]) for i in range(5)]
-    hits = workload.detect_amplification(frame(rows))
+    log = frame(rows)
+    hits = workload.detect_amplification(log)
+    queries = log.select("query_id", "relations").distinct()
     schema = "name string, table_id string, referenced_table string"
     one = spark.createDataFrame([("fk", "public.i", "public.o")], schema)
     two = spark.createDataFrame([("fk", "public.i", "public.o"), ("fk2", "public.i", "public.o")], schema)
-    assert workload.name_relationships(hits, one).first().relationship_name == "fk"
-    assert workload.name_relationships(hits, two).first().relationship_name is None
+    assert workload.name_relationships(hits, queries, one).first().relationship_name == "fk"
+    assert workload.name_relationships(hits, queries, two).first().relationship_name is None
 
 
 def test_operation_rollup(frame):
@@ -90,7 +98,8 @@ def test_operation_rollup(frame):
         event(1, "w", kind="write", relations=["public.c"], us=0),
         event(3, "z", kind="schema", relations=["public.d"], us=0, sites=[site]),
     ]
-    got = workload.operation_rollup(frame(rows)).first()
+    log = frame(rows)
+    got = workload.operation_rollup(log, log).first()
     assert got.tables_read == ["public.a", "public.b"]
     assert got.tables_written == ["public.c"]
     assert got.observed_duration_us is None
@@ -101,7 +110,8 @@ def test_operation_rollup(frame):
 def test_call_sites_merge_in_first_seen_order(frame):
     a, b = ("app/a.py", 1, "f"), ("app/b.py", 2, "g")
     rows = [event(3, "q", sites=[a, b]), event(1, "q", sites=[b]), event(2, "q")]
-    got = workload.query_catalog(frame(rows)).first()
+    log = frame(rows)
+    got = workload.query_catalog(log, log.dropDuplicates(["query_id"])).first()
     assert [s.path for s in got.call_sites] == ["app/b.py", "app/a.py"]
     assert got.executions == 3
 
