@@ -155,6 +155,11 @@ def frame_components(*components: Column | str) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *[json_text(c) for c in components]), F.lit("]"))
 
 
+def unframe_components(value: Column | str) -> Column:
+    """Components of a framed identity as text; null when the text is no JSON array."""
+    return F.from_json(column(value), "array<string>")
+
+
 def json_text(value: Column | str) -> Column:
     """The JSON form of one text or list value."""
     wrapped = F.to_json(F.struct(column(value).alias("v")), {"ignoreNullFields": "false"})

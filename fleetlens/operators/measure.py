@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,46 +189,59 @@ def run_inventory_check(runs: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select(*RUN, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def provenance_check(runs: DataFrame, declared: DataFrame, cases: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Declared:
+    """The declared environment every run must agree with."""
+
+    image_digest: str
+    version: str
+    client: dict[str, str]
+    python: str
+    dataset: dict[str, int]
+    session_settings: list[str]
+
+
+def provenance_check(runs: DataFrame, declared: Declared, cases: DataFrame) -> DataFrame:
     """(case_id, run, problem): every difference from the declared sources.
 
-    `declared` is one row (image_digest, version, client, python, dataset, session_settings);
     `cases` holds (case_id, sql, params, index_name, ddl).
     """
-    d = declared.select(F.struct(*declared.columns).alias("declared"))
     c = cases.select("case_id", F.struct("sql", "params", "index_name", "ddl").alias("case"))
-    # One declared row; cases join on their id.
-    joined = runs.join(F.broadcast(d)).join(c, "case_id", "left")
+    joined = runs.join(c, "case_id", "left")
     label = F.concat(F.col("case_id"), F.lit(" run "), F.col("run"))
-    want, case = F.col("declared"), F.col("case")
-    entries = F.map_entries(want["client"])
-    client = F.transform(
-        F.filter(
-            entries,
-            lambda e: ~F.try_element_at(F.col("client"), e["key"]).eqNullSafe(e["value"]),
-        ),
-        lambda e: F.concat(label, F.lit(": "), e["key"], F.lit(" is not the locked "), e["value"]),
+    case = F.col("case")
+    client = [
+        F.when(
+            ~F.try_element_at("client", F.lit(name)).eqNullSafe(F.lit(version)),
+            F.concat(label, F.lit(f": {name} is not the locked {version}")),
+        )
+        for name, version in declared.client.items()
+    ]
+    dataset = F.array_sort(
+        F.array(
+            *[
+                F.struct(F.lit(k).alias("key"), F.lit(v).cast("bigint").alias("value"))
+                for k, v in declared.dataset.items()
+            ]
+        )
     )
 
     def differs(value: Column, wanted: Column, text: str) -> Column:
         return F.when(~value.eqNullSafe(wanted), F.concat(label, F.lit(f": {text}")))
 
-    def sorted_entries(value: Column) -> Column:
-        return F.array_sort(F.map_entries(value))
-
     python = F.coalesce(F.try_element_at("client", F.lit("python")), F.lit(""))
     settings = F.coalesce(F.col("session_settings"), F.array())
     problems = F.array(
-        differs(F.col("server.image_digest"), want["image_digest"], "image digest is not the declared one"),
-        differs(F.col("server.version"), want["version"], "server version is not the declared one"),
+        differs(F.col("server.image_digest"), F.lit(declared.image_digest), "image digest is not the declared one"),
+        differs(F.col("server.version"), F.lit(declared.version), "server version is not the declared one"),
         F.when(
-            ~python.startswith(want["python"]),
+            ~python.startswith(declared.python),
             F.concat(label, F.lit(": python does not match the declared version")),
         ),
         differs(
-            sorted_entries(F.col("dataset")), sorted_entries(want["dataset"]), "dataset is not the declared dataset"
+            F.array_sort(F.map_entries("dataset")), dataset, "dataset is not the declared dataset"
         ),
-        differs(settings, want["session_settings"], "session settings differ from the declared settings"),
+        differs(settings, F.array(*[F.lit(x) for x in declared.session_settings]), "session settings differ from the declared settings"),
         F.when(case.isNull(), F.concat(label, F.lit(": no matching entry in the cases"))),
         F.when(case.isNotNull(), differs(F.col("query.sql"), case["sql"], "measured SQL differs from the case")),
         F.when(
@@ -237,7 +252,7 @@ def provenance_check(runs: DataFrame, declared: DataFrame, cases: DataFrame) ->
         F.when(case.isNotNull(), differs(F.col("index.ddl"), case["ddl"], "index DDL differs from the case")),
     )
     return joined.select(
-        *RUN, F.explode(F.concat(F.array_compact(problems), client)).alias("problem")
+        *RUN, F.explode(F.array_compact(F.concat(problems, F.array(*client)))).alias("problem")
     )
 
 
@@ -299,8 +314,18 @@ def nplus1_evidence(broken: DataFrame, clean: DataFrame, key: str, clean_expecte
     return _explode_problems(b.join(c, key, "full_outer"), [key], problems)
 
 
-def write_cost_delta(measurements: DataFrame) -> DataFrame:
-    """Before, after and difference per (candidate, operation) of recorded write measurements."""
+def write_cost_delta(measurements: DataFrame, builds: DataFrame | None = None) -> DataFrame:
+    """Before, after and difference per (candidate, operation) of recorded write measurements.
+
+    `builds` adds the build time and size of each candidate's index.
+    """
+    deltas = _write_deltas(measurements)
+    if builds is None:
+        return deltas
+    return deltas.join(builds.select("candidate", "build_us", "index_size_bytes"), "candidate", "left")
+
+
+def _write_deltas(measurements: DataFrame) -> DataFrame:
     wide = (
         measurements.groupBy("candidate", "operation")
         .pivot("phase", ["before", "after"])

@@ -219,9 +219,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
-    declared = spark.sql(
-        """SELECT 'sha256:aa' AS image_digest, '17.11' AS version, map('psycopg', '3.3') AS client, '3.13' AS python,
-        map('orders', 400000L) AS dataset, array('SET jit = off') AS session_settings"""
+    declared = measure.Declared(
+        "sha256:aa", "17.11", {"psycopg": "3.3"}, "3.13", {"orders": 400000}, ["SET jit = off"]
     )
     cases = (
         frame(spark, sf_dir, "bench_samples")
@@ -379,11 +378,18 @@ _WRITE = """w AS (SELECT candidate, operation, max(execution_us) FILTER (WHERE p
 @query(
     "b12_write_cost_delta",
     inputs="write_measurements",
-    sql=f"""WITH {_WRITE} SELECT candidate, operation, eb AS execution_us_before, ea AS execution_us_after, ea - eb AS execution_us_delta,
-      wb AS wal_bytes_before, wa AS wal_bytes_after, wa - wb AS wal_bytes_delta FROM w""",
+    sql=f"""WITH {_WRITE}, bd AS (SELECT concat(case_id, '#', run) AS candidate, max(value_us) AS build_us, CAST(sum(value_us) AS BIGINT) * 8 AS index_size_bytes FROM bench_samples WHERE kind = 'sample' GROUP BY 1)
+    SELECT w.candidate, operation, eb AS execution_us_before, ea AS execution_us_after, ea - eb AS execution_us_delta,
+      wb AS wal_bytes_before, wa AS wal_bytes_after, wa - wb AS wal_bytes_delta, build_us, index_size_bytes FROM w LEFT JOIN bd USING (candidate)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.write_cost_delta(frame(spark, sf_dir, "write_measurements"))
+    builds = (
+        frame(spark, sf_dir, "bench_samples")
+        .where("kind = 'sample'")
+        .groupBy(F.concat_ws("#", "case_id", F.col("run").cast("string")).alias("candidate"))
+        .agg(F.max("value_us").alias("build_us"), (F.sum("value_us") * 8).alias("index_size_bytes"))
+    )
+    return measure.write_cost_delta(frame(spark, sf_dir, "write_measurements"), builds)
 
 
 @query(

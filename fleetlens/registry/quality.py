@@ -408,8 +408,8 @@ define(
     "code_files",
     """
 SELECT concat('app-', CAST(floor(doc_id / 4) AS BIGINT)) AS app_id, CASE n_chars % 11 WHEN 0 THEN 'db/env.py' WHEN 1 THEN 'db/versions/x.py' WHEN 2 THEN 'tests/conftest.py' WHEN 3 THEN 'deploy/Dockerfile'
-  WHEN 4 THEN concat('pkg_', source, '/__init__.py') WHEN 5 THEN 'src/core/__init__.py' WHEN 6 THEN 'alembic.ini' WHEN 7 THEN concat('app/test_', doc_id, '.py') ELSE concat('app/m_', doc_id, '.py') END AS path,
-  CASE n_chars % 5 WHEN 0 THEN 'from sqlalchemy.orm import Session' WHEN 1 THEN 'import os, sqlmodel as s' WHEN 2 THEN 'import json.tool' ELSE 'x = 1 # import sqlalchemy' END AS head, text
+  WHEN 4 THEN concat('pkg_', source, '/__init__.py') WHEN 5 THEN 'src/core/__init__.py' WHEN 6 THEN 'alembic.ini' WHEN 7 THEN concat('app/test_', doc_id, '.py') WHEN 8 THEN CASE WHEN doc_id % 4 = 0 THEN 'pyproject.toml' ELSE 'docs/pyproject.toml' END ELSE concat('app/m_', doc_id, '.py') END AS path,
+  CASE WHEN n_chars % 11 = 8 THEN concat('[project]', chr(10), 'version = "1"', chr(10), 'name = "pkg-', source, '"') ELSE CASE n_chars % 5 WHEN 0 THEN 'from sqlalchemy.orm import Session' WHEN 1 THEN 'import os, sqlmodel as s' WHEN 2 THEN 'import json.tool' ELSE 'x = 1 # import sqlalchemy' END END AS head, source, text
 FROM {documents}
 """,
 )
@@ -423,7 +423,7 @@ FROM {documents}
       CASE WHEN bool_or(name = 'env.py') AND bool_or(path = 'db/versions/x.py') THEN 'db' ELSE '' END AS alembic_directories,
       bool_or(py AND contains(head, 'from sqlalchemy')) AS uses_sqlalchemy, bool_or(py AND contains(head, 'sqlmodel')) AS uses_sqlmodel,
       bool_or(starts_with(name, 'test_') OR starts_with(path, 'tests/')) AS has_tests, coalesce(string_agg(DISTINCT path, ',') FILTER (WHERE name = 'Dockerfile'), '') AS docker_files,
-      coalesce(string_agg(DISTINCT CASE WHEN starts_with(path, 'src/') THEN 'core' ELSE split_part(path, '/', 1) END, ',' ORDER BY CASE WHEN starts_with(path, 'src/') THEN 'core' ELSE split_part(path, '/', 1) END) FILTER (WHERE name = '__init__.py'), '') AS likely_app_roots FROM f GROUP BY 1""",
+      coalesce(string_agg(DISTINCT CASE WHEN starts_with(path, 'src/') THEN 'core' ELSE split_part(path, '/', 1) END, ',' ORDER BY CASE WHEN starts_with(path, 'src/') THEN 'core' ELSE split_part(path, '/', 1) END) FILTER (WHERE name = '__init__.py'), '') AS likely_app_roots, max(concat('pkg-', source)) FILTER (WHERE path = 'pyproject.toml') AS package_name FROM f GROUP BY 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = frame(spark, sf_dir, "code_files").select(
@@ -434,6 +434,33 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({name: F.array_join(name, ",") for name in lists})
 
 
+define("raw_extensions", "SELECT DISTINCT app_id, concat('ext_', rf) AS name, concat('1.', ln) AS version FROM {catalog_lines} WHERE qty > 40")
+define("raw_settings", "SELECT app_id, concat('setting_', ls) AS name, CAST(max(ln) AS STRING) AS value FROM {catalog_lines} WHERE qty < 30 GROUP BY app_id, ls")
+
+
+@query(
+    "c03_server_facts",
+    inputs="raw_extensions raw_settings",
+    sql="""WITH e AS (SELECT app_id, string_agg(concat(name, '=', version), ',' ORDER BY name, version) AS extensions FROM raw_extensions GROUP BY 1), s AS (SELECT app_id, string_agg(concat(name, '=', value), ',' ORDER BY name) AS settings FROM raw_settings GROUP BY 1),
+    h AS (SELECT concat('app-', s_suppkey) AS app_id, concat('rev-', s_nationkey) AS migration_head FROM supplier WHERE s_acctbal > 0)
+    SELECT app_id, extensions, settings, migration_head FROM e FULL JOIN s USING (app_id) LEFT JOIN h USING (app_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr(
+        "concat('app-', s_suppkey) AS app_id", "concat('rev-', s_nationkey) AS migration_head"
+    )
+    facts = catalog_source.server_facts(
+        frame(spark, sf_dir, "raw_extensions"), frame(spark, sf_dir, "raw_settings"), heads
+    )
+
+    def listed(name: str, value: str):
+        return F.array_join(F.transform(name, lambda e: F.concat_ws("=", e["name"], e[value])), ",")
+
+    return facts.withColumn("extensions", listed("extensions", "version")).withColumn(
+        "settings", listed("settings", "value")
+    )
+
+
 # Raw catalog views: each supplier is one database, its lines are relations, keys and indexes.
 define(
     "raw_relations",

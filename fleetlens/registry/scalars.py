@@ -136,7 +136,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s09_frame_components",
-    sql="SELECT doc_id, concat('[\"edge\",', to_json(source), ',', to_json(text), ',', n_chars, ',[', to_json(lang), ',\"x\"]]') AS framed FROM documents",
+    sql="SELECT doc_id, concat('[\"edge\",', to_json(source), ',', to_json(text), ',', n_chars, ',[', to_json(lang), ',\"x\"]]') AS framed, text AS third FROM documents",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
@@ -144,7 +144,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.frame_components(
             F.lit("edge"), "source", "text", "n_chars", F.array("lang", F.lit("x"))
         ).alias("framed"),
-    )
+    ).withColumn("third", F.get(i.unframe_components("framed"), F.lit(2)))
 
 
 @query(

@@ -178,6 +178,11 @@ def framework_signals(files: DataFrame) -> DataFrame:
         .groupBy("app_id")
         .agg(F.array_sort(F.collect_set("folder")).alias("alembic_directories"))
     )
+    project = r'(?s)(?:^|\n)\[project\][^\[]*?\n[ \t]*name[ \t]*=[ \t]*"([^"\n]+)"'
+    named = F.regexp_extract("source", project, 1)
+    packages = files.where("path = 'pyproject.toml'").select(
+        "app_id", F.when(named != "", named).alias("package_name")
+    )
     flags = facts.groupBy("app_id").agg(
         F.bool_or(F.col("name") == "alembic.ini").alias("_ini"),
         F.bool_or(F.array_contains("roots", "sqlalchemy")).alias("uses_sqlalchemy"),
@@ -192,6 +197,7 @@ def framework_signals(files: DataFrame) -> DataFrame:
     )
     return (
         flags.join(environments, "app_id", "left")
+        .join(packages, "app_id", "left")
         .withColumn("uses_alembic", F.col("alembic_directories").isNotNull() | F.col("_ini"))
         .withColumn(
             "alembic_directories",
