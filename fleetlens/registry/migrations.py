@@ -133,18 +133,77 @@ def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, replay.Lifeti
     return log, replay.table_lifetimes(log)
 
 
-@query("m04_replay_tables")
+# The checking SQL walks each application's log with one text as state: <table=create position>,
+# [table#column|id table|type|nullable|default] and !position! for columns of unknown tables.
+def _f(n: int) -> str:
+    return f"split_part(e, ',', {n})"
+
+
+_TABLE, _COLUMN, _NEW, _POS = _f(2), _f(4), _f(5), _f(3)
+
+
+def _without(state: str, table: str) -> str:
+    return f"regexp_replace({state}, concat('<', {table}, '=[0-9]+>|\\[', {table}, '#[^\\]]*\\]'), '', 'g')"
+
+
+def _without_column(state: str, column: str) -> str:
+    return f"regexp_replace({state}, concat('\\[', {_TABLE}, '#', {column}, '[|][^\\]]*\\]'), '', 'g')"
+
+
+def _held(n: int) -> str:
+    return f"split_part(regexp_extract(a, concat('\\[', {_TABLE}, '#', {_COLUMN}, '[|]([^\\]]*)\\]'), 1), '|', {n})"
+
+
+def _kept(n: int, part: int) -> str:
+    return f"CASE WHEN {_f(n)} = '-' THEN {_held(part)} ELSE {_f(n)} END"
+
+
+_TARGET = f"CASE WHEN {_NEW} = '-' THEN {_COLUMN} ELSE {_NEW} END"
+_WALK = f"""lg AS (SELECT app_id, pos, 2 AS o, concat_ws(',', kind, table_name, pos, object_no, coalesce(new_name, '-'),
+      coalesce(new_type, CASE WHEN kind = 'add_column' THEN 'unknown' ELSE '-' END), coalesce(CAST(nullable AS VARCHAR), CASE WHEN kind = 'add_column' THEN 'true' ELSE '-' END), coalesce(server_default, '-')) AS e
+      FROM migration_ops WHERE kind IN ('create_table', 'drop_table', 'rename_table', 'add_column', 'drop_column', 'alter_column')
+    UNION ALL SELECT app_id, pos, 3, concat_ws(',', 'add_column', table_name, pos, c, '-', coalesce(new_type, 'unknown'), coalesce(CAST(nullable AS VARCHAR), 'true'), coalesce(server_default, '-'))
+      FROM (SELECT *, unnest([object_no, 'c9']) AS c FROM migration_ops WHERE kind = 'create_table') m),
+    wk AS (SELECT app_id, list_reduce(list_prepend('', list(e ORDER BY pos, o)), lambda a, e: CASE {_f(1)}
+      WHEN 'create_table' THEN concat({_without("a", _TABLE)}, '<', {_TABLE}, '=', {_POS}, '>')
+      WHEN 'drop_table' THEN {_without("a", _TABLE)}
+      WHEN 'rename_table' THEN CASE WHEN {_TABLE} = {_NEW} OR NOT contains(a, concat('<', {_TABLE}, '=')) THEN a
+        ELSE replace(replace({_without("a", _NEW)}, concat('<', {_TABLE}, '='), concat('<', {_NEW}, '=')), concat('[', {_TABLE}, '#'), concat('[', {_NEW}, '#')) END
+      WHEN 'add_column' THEN CASE WHEN NOT contains(a, concat('<', {_TABLE}, '=')) THEN concat(a, '!', {_POS}, '!')
+        ELSE concat({_without_column("a", _COLUMN)}, '[', {_TABLE}, '#', {_COLUMN}, '|', {_TABLE}, '|', {_f(6)}, '|', {_f(7)}, '|', {_f(8)}, ']') END
+      WHEN 'drop_column' THEN {_without_column("a", _COLUMN)}
+      ELSE CASE WHEN {_held(1)} = '' THEN a ELSE concat({_without_column(_without_column("a", _COLUMN), _TARGET)}, '[', {_TABLE}, '#', {_TARGET}, '|', {_TABLE}, '|', {_kept(6, 2)}, '|', {_kept(7, 3)}, '|', {_kept(8, 4)}, ']') END
+      END) AS state FROM lg GROUP BY app_id)"""
+
+
+@query(
+    "m04_replay_tables",
+    inputs="migration_ops",
+    sql=f"""WITH {_WALK}, t AS (SELECT app_id, unnest(regexp_extract_all(state, '<([^>]*)>', 1)) AS x FROM wk)
+    SELECT app_id, split_part(x, '=', 1) AS table_name, CAST(split_part(x, '=', 2) AS BIGINT) AS first_pos FROM t""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_tables(_history(spark, sf_dir)[1])
+    return replay.replay_tables(_history(spark, sf_dir)[1]).drop("first_name")
 
 
-@query("m04_replay_columns")
+@query(
+    "m04_replay_columns",
+    inputs="migration_ops",
+    sql=f"""WITH {_WALK}, t AS (SELECT app_id, unnest(regexp_extract_all(state, '\\[([^\\]]*)\\]', 1)) AS x FROM wk),
+    p AS (SELECT app_id, split_part(x, '#', 1) AS table_name, split_part(split_part(x, '#', 2), '|', 1) AS column_name, split_part(x, '|', 2) AS id_table, split_part(x, '|', 3) AS ty, split_part(x, '|', 4) AS nu, split_part(x, '|', 5) AS de FROM t)
+    SELECT app_id, table_name, column_name, concat('public.', id_table, '.', column_name) AS column_id, ty AS data_type, CAST(nu AS BOOLEAN) AS nullable, nullif(de, '-') AS default_expression FROM p""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, tables = _history(spark, sf_dir)
     return replay.replay_columns(log, tables)
 
 
-@query("m04_unknown_tables")
+@query(
+    "m04_unknown_tables",
+    inputs="migration_ops",
+    sql=f"""WITH {_WALK}, u AS (SELECT app_id, CAST(unnest(regexp_extract_all(state, '!([0-9]+)!', 1)) AS BIGINT) AS pos FROM wk)
+    SELECT u.app_id, u.pos, concat('add_column on unknown table ''', table_name, '''') AS reason FROM u JOIN migration_ops m ON m.app_id = u.app_id AND m.pos = u.pos""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, tables = _history(spark, sf_dir)
     return replay.unknown_table_operations(log, tables)
