@@ -69,21 +69,16 @@ class Lifetimes:
         )
 
 
-def _marks(starts: DataFrame, ends: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
-    def mark(frame: DataFrame, name: str, alive: bool) -> DataFrame:
-        return frame.select(*keys, F.col(name).alias("name"), "pos", F.lit(alive).alias("alive"))
-
-    return (
-        mark(starts, "name", True)
-        .unionByName(mark(ends, "name", False))
-        .unionByName(mark(renames, "new_name", True))
-        .unionByName(mark(renames, "old_name", False))
+def _marks(fixed: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
+    """All starts and ends: the fixed ones, and two per rename."""
+    pair = F.array(
+        F.struct(F.col("new_name").alias("name"), F.lit(True).alias("alive")),
+        F.struct(F.col("old_name").alias("name"), F.lit(False).alias("alive")),
     )
+    return fixed.unionByName(renames.select(*keys, "pos", F.inline(pair)))
 
 
-def _effective(
-    starts: DataFrame, ends: DataFrame, renames: DataFrame, keys: list[str], width: int
-) -> DataFrame:
+def _effective(fixed: DataFrame, renames: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Renames whose old name is alive, with `held_pos`, the start they continue.
 
     A rename of an unknown name changes nothing. Admitting too many renames only makes more
@@ -92,7 +87,7 @@ def _effective(
     """
     admitted = materialize(renames, "renames")
     while True:
-        marks = _marks(starts, ends, admitted, keys).withColumn(
+        marks = _marks(fixed, admitted, keys).withColumn(
             "mark", F.struct("alive", F.col("pos").alias("at"))
         )
         carried = carry_forward(marks, [*keys, "name"], "pos", F.col("mark"), "held", width)
@@ -138,8 +133,14 @@ def lifetimes(
     starts: DataFrame, ends: DataFrame, renames: DataFrame, keys: list[str], width: int
 ) -> Lifetimes:
     """`starts` and `ends` hold (keys, name, pos), `renames` (keys, pos, old_name, new_name)."""
-    took = _effective(starts, ends, renames, keys, width)
-    marks = _marks(starts, ends, took, keys)
+    fixed = materialize(
+        starts.select(*keys, "pos", "name", F.lit(True).alias("alive")).unionByName(
+            ends.select(*keys, "pos", "name", F.lit(False).alias("alive"))
+        ),
+        "marks",
+    )
+    took = _effective(fixed, renames, keys, width)
+    marks = materialize(_marks(fixed, took, keys), "marks")
     last = marks.groupBy(*keys, "name").agg(F.max(F.struct("pos", "alive")).alias("last"))
     final = last.where("last.alive").select(*keys, "name", F.col("last.pos").alias("start_pos"))
     return Lifetimes(keys, marks, _origins(starts, took, keys), final, width)
