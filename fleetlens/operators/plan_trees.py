@@ -7,7 +7,7 @@ decoded by a helper inside Arrow batches. Documents are independent: no shuffle
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,31 +116,38 @@ def _shape(plan: dict) -> str:
     return " ".join(w for w in (*words, below and f"-> ({below})") if w)
 
 
-def describe_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
-    """(keys, plan_fingerprint, normalized_shape); both null for an unusable document.
+def _canonical(plan: dict) -> str:
+    return json.dumps(_identity(plan), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-    The fingerprint covers node kinds, relations, indexes, joins, directions, keys and the
-    tree itself; costs, row counts and filter text play no part.
-    """
+
+def _per_document(
+    documents: DataFrame, keys: list[str], text: str, out: str, describe: Callable[[dict], str]
+) -> DataFrame:
     types = dict(documents.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", canonical string, shape string"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {out} string"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            plans = [_root(value) for value in batch[text]]
-            out = batch[keys].copy()
-            out["canonical"] = [
-                json.dumps(_identity(p), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                if p
-                else None
-                for p in plans
-            ]
-            out["shape"] = [_shape(p) if p else None for p in plans]
-            yield out
+            made = batch[keys].copy()
+            plans = (_root(value) for value in batch[text])
+            made[out] = [describe(plan) if plan else None for plan in plans]
+            yield made
+
+    return documents.select(*keys, text).mapInPandas(decode, schema)
 
-    decoded = documents.select(*keys, text).mapInPandas(decode, schema)
+
+def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
+    """(keys, plan_fingerprint); null for an unusable document.
+
+    The fingerprint covers node kinds, relations, indexes, joins, directions, keys and the
+    tree itself; costs, row counts and filter text play no part.
+    """
+    decoded = _per_document(documents, keys, text, "canonical", _canonical)
     return decoded.select(
-        *keys,
-        F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("plan_fingerprint"),
-        F.col("shape").alias("normalized_shape"),
+        *keys, F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("plan_fingerprint")
     )
+
+
+def plan_shapes(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
+    """(keys, normalized_shape): the readable form of what the fingerprint covers."""
+    return _per_document(documents, keys, text, "normalized_shape", _shape)

@@ -345,9 +345,7 @@ def _node_json(kind: str, children: str, join: str = "null", strategy: str = "nu
     SELECT o_orderkey, concat('sha256:', sha256({_node_json("Aggregate", _node_json("Sort", _node_json("Hash Join", "s", join='"Inner"'), sort='["created_at DESC"]'), strategy='"Hashed"')})) AS plan_fingerprint FROM j""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["o_orderkey"]).drop(
-        "normalized_shape"
-    )
+    return plan_trees.plan_fingerprints(plan_documents(spark, sf_dir), ["o_orderkey"])
 
 
 @query(
@@ -357,9 +355,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM n GROUP BY 1""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_trees.describe_plans(plan_documents(spark, sf_dir), ["o_orderkey"]).drop(
-        "plan_fingerprint"
-    )
+    return plan_trees.plan_shapes(plan_documents(spark, sf_dir), ["o_orderkey"])
 
 
 define(

@@ -79,7 +79,7 @@ def test_bench_documents(spark):
 
 def plan(spark, tree):
     df = spark.createDataFrame([("d", json.dumps([{"Plan": tree}]))], "k string, doc string")
-    return plan_trees.describe_plans(df, ["k"]).first()
+    return plan_trees.plan_fingerprints(df, ["k"]).join(plan_trees.plan_shapes(df, ["k"]), "k").first()
 
 
 def test_plan_identity_ignores_costs_but_not_indexes(spark):
@@ -89,7 +89,7 @@ def test_plan_identity_ignores_costs_but_not_indexes(spark):
     assert plan(spark, {"Node Type": "Limit", "Plans": [scan | {"Total Cost": 9.5, "Filter": "x"}]}).plan_fingerprint == base.plan_fingerprint
     assert plan(spark, {"Node Type": "Limit", "Plans": [scan | {"Index Name": "j"}]}).plan_fingerprint != base.plan_fingerprint
     broken = spark.createDataFrame([("d", "no json")], "k string, doc string")
-    assert plan_trees.describe_plans(broken, ["k"]).first().plan_fingerprint is None
+    assert plan_trees.plan_fingerprints(broken, ["k"]).first().plan_fingerprint is None
 
 
 PREDICATES = "app_id string, query_id string, ordinal int, table_id string, column_id string, kind string"
