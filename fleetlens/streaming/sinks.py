@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlens.sources.scratch import new_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,14 +49,23 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drain(stream: DataFrame, label: str, updates: bool = False, mode: str = "update") -> DataFrame:
-    """Run `stream` over all files there are, and return the table it wrote."""
+    """Run `stream` over all files there are, and return the table it wrote.
+
+    A stream keeps its number of state partitions for life and the adaptive planner does not
+    merge them, so it starts with one per core of the cluster.
+    """
     spark = stream.sparkSession
     path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
-    if updates:
-        query = start_updates(stream, path, checkpoint, mode)
-    else:
-        query = start_append(stream, path, checkpoint)
-    query.awaitTermination()
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    try:
+        if updates:
+            query = start_updates(stream, path, checkpoint, mode)
+        else:
+            query = start_append(stream, path, checkpoint)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PARTITIONS, before)
     if query.exception() is not None:
         raise query.exception()
     return spark.read.option("basePath", path).parquet(path)
