@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import fingerprints, packing, sharding, suffix_dedup
+from fleetlens.llm import fingerprints, jaccard_join, packing, sharding, suffix_dedup
 from fleetlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_fingerprint_documents")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@_query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))

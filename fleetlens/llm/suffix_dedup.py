@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetlens.llm.common import text_keys
+from fleetlens.llm.hashing import Rolling, mix
 from fleetlens.sources.scratch import materialize
 
 WINDOW = 200
@@ -38,38 +39,6 @@ CELLS = (26, 5, 1)
 #: Window starts worked on at once; a longer text is done in several overlapping parts.
 CHUNK = 1 << 20
 _U = np.uint64
-_ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-class _Rolling:
-    """Hashes of any substring of a byte array: sums of letter values times powers, modulo 2**64."""
-
-    def __init__(self, size: int) -> None:
-        letters = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
-        self.letters = letters * _U(2) + _U(1)
-        self.powers, self.inverses = [], []
-        for base in (_ONE, _TWO):
-            self.powers.append(self._powers(base, size))
-            self.inverses.append(self._powers(pow(base, -1, 1 << 64), size))
-
-    @staticmethod
-    def _powers(base: int, size: int) -> np.ndarray:
-        powers = np.full(size + 1, _U(base))
-        powers[0] = 1
-        return np.cumprod(powers, dtype=np.uint64)
-
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(data.size + 1, dtype=np.uint64)
-        np.cumsum(self.letters[which][data] * self.powers[which][: data.size], out=out[1:])
-        return out
-
-    def between(self, sums: np.ndarray, which: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return (sums[last] - sums[first]) * self.inverses[which][first]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -97,7 +66,7 @@ def _anchor_runs(
         for i, t in enumerate(texts)
         for s in range(0, max(len(t) - window + 1, 0), CHUNK)
     ]
-    rolling = _Rolling(2 * CHUNK + 2 * window)
+    rolling = Rolling(2 * CHUNK + 2 * window)
     first = 0
     while first < len(todo):
         last, size = first, 0
@@ -111,7 +80,7 @@ def _anchor_runs(
         sums = rolling.sums(data, 0)
         places = np.arange(size - anchor + 1)
         cores = rolling.between(sums, 0, places, places + anchor)
-        ranked = (_mix(cores) & _U(0xFFFFFFFF00000000)) | places.astype(np.uint64)
+        ranked = (mix(cores) & _U(0xFFFFFFFF00000000)) | places.astype(np.uint64)
         chosen = _sliding_least(ranked, width) & _U(0xFFFFFFFF)
         counts = lengths - window + 1
         starts = np.repeat(begins - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
@@ -127,7 +96,7 @@ def _anchor_runs(
         if not digests:
             yield (core,)
             continue
-        spread = _mix(((at - high) * (window + 1) + (at - low)).astype(np.uint64) + _U(1))
+        spread = mix(((at - high) * (window + 1) + (at - low)).astype(np.uint64) + _U(1))
         others = rolling.sums(data, 1)
         c1 = rolling.between(sums, 0, low, high + window) ^ spread
         c2 = rolling.between(others, 1, low, high + window) + spread
@@ -155,15 +124,15 @@ def _cell_rows(
                 high.append(begin + min(run_high, place - cell * width) - origin)
                 core_low.append(begin + place - cell * width - origin)
                 core_high.append(begin + place - cell * width - width + 1 + window - origin)
-    rolling = _Rolling(joined.size + 1)
+    rolling = Rolling(joined.size + 1)
     sums, others = rolling.sums(joined, 0), rolling.sums(joined, 1)
     low, high, core_low, core_high = (np.array(x, dtype=np.int64) for x in (low, high, core_low, core_high))
     number = np.array(number, dtype=np.int64)
     place = np.array([r[1] - r[2] for r in rows], dtype=np.int64)
     local = begins - np.array([r[2] for r in rows], dtype=np.int64)
     cell = (place[number] + begins[number] - high) // width
-    spread = _mix(((place[number] + begins[number] - high) * (window + 1) + (place[number] + begins[number] - low)).astype(np.uint64) + _U(1))
-    core = rolling.between(sums, 0, core_low, core_high) ^ _mix(cell.astype(np.uint64) + _U(3))
+    spread = mix(((place[number] + begins[number] - high) * (window + 1) + (place[number] + begins[number] - low)).astype(np.uint64) + _U(1))
+    core = rolling.between(sums, 0, core_low, core_high) ^ mix(cell.astype(np.uint64) + _U(3))
     c1 = rolling.between(sums, 0, low, high + window) ^ spread
     c2 = rolling.between(others, 1, low, high + window) + spread
     return {
