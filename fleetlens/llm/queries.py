@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import fingerprints, jaccard_join, packing, sharding, suffix_dedup
+from fleetlens.llm import fingerprints, jaccard_join, packing, quality_rules, sharding, suffix_dedup
 from fleetlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_documents(read(spark, sf_dir, "documents"))
 
 
+@_query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @_query("op7_shard_documents")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
