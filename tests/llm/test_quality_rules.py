@@ -97,7 +97,7 @@ def test_query(spark, sf_dir):
 
 
 def test_held_out_labels(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality_rules.judge_documents(docs, labels.where("doc_id % 2 = 0")).collect()}
     held = labels.where("doc_id % 2 = 1").collect()
