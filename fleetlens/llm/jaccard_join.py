@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")
     )
     keyed = keyed.select("doc_id", *text_keys(F.col("_text")))
-    texts = linked_texts(docs, id_col=id_col, text_col=text_col, **options)
+    # Written, so that the join below has two plain shuffles and a text of many copies can be split.
+    texts = materialize(linked_texts(docs, id_col=id_col, text_col=text_col, **options), "classes")
     return keyed.join(texts, ["k1", "k2"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import fingerprints, jaccard_join, packing, quality_rules, sharding, suffix_dedup
+from fleetlens.llm import fingerprints, jaccard_join, packing, pii, quality_rules, sharding, suffix_dedup
 from fleetlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The key of the pseudonyms; a real one comes from a vault.
+KEY = "a key for tests"
 
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +43,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_query("op5_pseudonyms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize_documents(read(spark, sf_dir, "documents"), KEY)
+
+
 @_query("op7_shard_documents")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
