@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from fleetlens.llm import fingerprints, jaccard_join, packing, pii, quality_rules, sharding, suffix_dedup
+from pyspark.sql import functions as F
+
+from fleetlens.llm import (
+    fingerprints,
+    jaccard_join,
+    licenses,
+    lm_scoring,
+    packing,
+    piece_coding,
+    pii,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+)
 from fleetlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +50,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_documents(read(spark, sf_dir, "documents"))
 
 
+@_query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    target = labels.where(lm_scoring.good_documents(labels)).select("doc_id")
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"), target)
+
+
 @_query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -48,6 +67,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize_documents(read(spark, sf_dir, "documents"), KEY)
 
 
+@_query("op6_piece_coding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_coding.coded_documents(read(spark, sf_dir, "documents"), path)
+
+
 @_query("op7_shard_documents")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
@@ -61,3 +86,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@_query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A document's path in its tree: source, language, id.
+    placed = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licenses.scan_documents(placed, "path")

@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from fleetlens.llm import lm_scoring, queries
+
+SCHEMA = "doc_id long, text string, target string, gram int"
+
+
+def model(texts):
+    """Log probability of a byte behind two others, by plain counting."""
+    tri = Counter()
+    for t in texts:
+        data = lm_scoring.START + (t or "").encode()
+        tri.update(data[i : i + 3] for i in range(len(data) - 2))
+    pair, two, context, one, behind = Counter(), Counter(), Counter(), Counter(), Counter()
+    for g, n in tri.items():
+        context[g[:2]] += n
+        pair[g[1:]] += n
+        behind[g[1:2]] += n
+        one[g[2:]] += n
+    total, a = sum(tri.values()), lm_scoring.PRIOR
+
+    def log_p(g):
+        p1 = (one[g[2:]] + a / 256) / (total + a)
+        p2 = (pair[g[1:]] + a * p1) / (behind[g[1:2]] + a)
+        return math.log((tri[g] + a * p2) / (context[g[:2]] + a))
+
+    return log_p
+
+
+def brute(rows, target):
+    good, every = model([t for i, t in rows if i in target]), model([t for _, t in rows])
+    out = []
+    for i, t in rows:
+        data = lm_scoring.START + (t or "").encode()
+        losses = [every(data[k : k + 3]) - good(data[k : k + 3]) for k in range(len(data) - 2)]
+        out.append((i, len(losses), sum(losses) / len(losses) if losses else None))
+    return out
+
+
+def same(got, want):
+    def key(r):
+        return (r[0] is None, r[0] or 0, r[1])
+
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert (g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 1e-4)
+
+
+def test_small_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 300)
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choice("abc é\n" if i % 2 else "xyz 😀") for _ in range(rnd.randrange(90)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "abc"), (7, rows[7][1])]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).repartition(4)
+    ids = spark.createDataFrame([(i,) for i in [1, 3, 5, 7, 7, None, 999]], "id long")
+    got = lm_scoring.score_documents(docs, ids).collect()
+    same(got, brute(rows, {1, 3, 5, 7}))
+    scores = {r.doc_id: r.score for r in got if r.n_tokens > 20}
+    assert max(s for i, s in scores.items() if i % 2) < min(s for i, s in scores.items() if not i % 2)
+
+
+@pytest.mark.parametrize("ids", [[], [1]])
+def test_no_target_and_no_rows(spark, ids):
+    docs = spark.createDataFrame([(1, "ab", "x", 1), (2, "cd", "x", 1)], SCHEMA)
+    target = spark.createDataFrame([(i,) for i in ids], "id long")
+    same(lm_scoring.score_documents(docs, target).collect(), brute([(1, "ab"), (2, "cd")], set(ids)))
+    assert lm_scoring.score_documents(docs.limit(0), target).collect() == []
+
+
+def test_probabilities_add_up():
+    import numpy as np
+
+    logs = lm_scoring.log_model(np.array([5, 700, 66000]), np.array([3, 1, 9])).reshape(-1, 256)
+    assert abs(np.exp(logs[[0, 2, 257, 9]].astype(float)).sum(axis=1) - 1).max() < 1e-5
+
+
+def test_query(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    target = {r.doc_id for r in labels if r.quality == 1 and r.toxic == 0}
+    same(queries.op3(spark, sf_dir).collect(), brute(rows, target))
