@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,17 @@ def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")
 
 
-def strings(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each text of an Arrow column."""
-    return column.cast(pa.binary()).to_pylist()
+def portions(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` with at most `limit` bytes of text in `column`, or one row."""
+    sizes = np.fromiter((n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()), dtype=np.int64)
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > limit:
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += size
+    if batch.num_rows > first:
+        yield batch.slice(first)
 
 
 def number_rows(rows: DataFrame, order: Sequence[str], label: str) -> tuple[DataFrame, int]:

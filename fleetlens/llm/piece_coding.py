@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import texts_of
+from fleetlens.llm.common import portions, texts_of
 from fleetlens.sources.scratch import materialize
 
 #: Characters of a chunk; a longer text is a giant one.
@@ -189,14 +189,15 @@ def encode_documents(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
         for batch in batches:
-            texts = [" " + t if t else "" for t in batch.column(1).to_pylist()]
-            ids = pa.array(coder.encode(texts), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            for part in portions(batch, "text"):
+                texts = [" " + t if t else "" for t in part.column(1).to_pylist()]
+                ids = pa.array(coder.encode(texts), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
-        for batch in batches:
-            for doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+        for part in (part for batch in batches for part in portions(batch, "text")):
+            for doc, text in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True):
                 text = " " + text
                 places = cuts(text, chunk, coder)
                 reach = coder.reach
@@ -218,9 +219,9 @@ def encode_documents(
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
-        for batch in batches:
+        for part in (part for batch in batches for part in portions(batch, "body")):
             out = []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 text, start = row["before"] + row["body"] + row["behind"], len(row["before"])
                 end = start + len(row["body"])
                 out.append([
@@ -233,7 +234,7 @@ def encode_documents(
                     for e in row["entries"]
                 ])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("chunk"), pa.array(out, pa.list_(pa.list_(pa.float64())))],
+                [part.column("doc"), part.column("chunk"), pa.array(out, pa.list_(pa.list_(pa.float64())))],
                 names=["doc", "chunk", "matrix"],
             )
 
@@ -249,16 +250,16 @@ def encode_documents(
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
-        for batch in batches:
+        for part in (part for batch in batches for part in portions(batch, "body")):
             out = []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 text, start = row["before"] + row["body"] + row["behind"], len(row["before"])
                 entry, exit_ = row["entries"][row["entry"]], row["exits"][row["exit"]]
                 out.append(coder.between(
                     text, start, start + len(row["body"]), (entry["a"], entry["b"]), (exit_["a"], exit_["b"])
                 ))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("chunk"), pa.array(out, pa.list_(pa.int32()))],
+                [part.column("doc"), part.column("chunk"), pa.array(out, pa.list_(pa.int32()))],
                 names=["doc", "chunk", "ids"],
             )
 
