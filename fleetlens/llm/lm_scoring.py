@@ -107,7 +107,8 @@ def score_documents(
     spark = docs.sparkSession
     chosen = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("doc_id"), F.lit(True).alias("target"))
     own = texts_of(docs, id_col, text_col)
-    marked = own.join(chosen.distinct(), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Ids of the target grow with the corpus, so they are shuffled at every size.
+    marked = own.join(chosen.distinct().hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     # At most 256**3 rows, one for each trigram there can be.
     counts = count_trigrams(marked).toArrow()
     grams = counts.column("gram").to_numpy()
