@@ -219,11 +219,13 @@ def inherit(found: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")
     )
     folders = placed.where("license is null and _parent is not null").select("_parent").distinct()
-    heirs = (
+    # Written, so that documents of one folder can be split over tasks in the last join.
+    heirs = materialize(
         folders.withColumn("folder", F.explode(F.array_distinct(above)))
         .join(spoken, "folder")
         .groupBy("_parent")
-        .agg(F.max_by(F.struct("folder", "_license", "_similarity"), F.length("folder")).alias("_from"))
+        .agg(F.max_by(F.struct("folder", "_license", "_similarity"), F.length("folder")).alias("_from")),
+        "heirs",
     )
     taken = F.col("license").isNull() & F.col("_from").isNotNull()
     return placed.join(heirs, "_parent", "left").select(
