@@ -252,4 +252,7 @@ def kept_documents(
     rules = learn_rules(docs, labels, id_col, text_col, sample)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     given = whole.withColumn("_given", F.col(f"_row.`{text_col}`"))
-    return judged(given, rules, "_given").where("kept").select("_row.*")
+    # A filter is not moved below a column of row numbers. Moved further down it would hold, in
+    # place of each column it reads, that column's whole expression, many times over.
+    numbered = judged(given, rules, "_given").withColumn("_number", F.monotonically_increasing_id())
+    return numbered.where("kept and _number >= 0").select("_row.*")
