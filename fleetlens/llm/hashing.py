@@ -54,7 +54,7 @@ def words(data: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     return first, mix(hashes + (end - first).astype(np.uint64))
 
 
-def shingles(texts: list[bytes], size: int, chunk: int = 1 << 20):
+def shingles(texts: list[bytes], size: int, chunk: int = 1 << 18):
     """Lists of texts in turn: (number of the first text, shingle hashes, count for each text).
 
     A shingle is `size` words in a row; a text of fewer words, if any, is one shingle by itself.

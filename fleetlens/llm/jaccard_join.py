@@ -45,7 +45,7 @@ def prefixes(texts: list[bytes], size: int, trees: int, depth: int) -> Iterator[
     random = np.random.Generator(np.random.PCG64(9))
     factors = random.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     masks = random.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
-    for first, hashes, counts in shingles(texts, size, chunk=1 << 18):
+    for first, hashes, counts in shingles(texts, size):
         own = np.flatnonzero(counts)
         if not own.size:
             continue

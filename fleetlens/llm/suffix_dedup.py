@@ -37,7 +37,7 @@ ANCHOR = 50
 #: Offsets of a window's start before its anchor, by pass; the first cell holds all of them.
 CELLS = (26, 5, 1)
 #: Window starts worked on at once; a longer text is done in several overlapping parts.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 
