@@ -25,6 +25,8 @@ from fleetlens.sources.scratch import materialize
 
 #: Characters of a chunk; a longer text is a giant one.
 CHUNK = 1 << 15
+#: Rows decoded at once.
+DECODED = 64
 #: How far a cut is moved to come to stand before a blank.
 SEEK = 256
 _SPACE = "▁"
@@ -189,7 +191,7 @@ def encode_documents(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", 1 << 18):
                 texts = [" " + t if t else "" for t in part.column(1).to_pylist()]
                 ids = pa.array(coder.encode(texts), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
@@ -291,12 +293,13 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model.value)
-        for batch in batches:
-            lists = batch.column(1)
+        for batch, first in ((b, i) for b in batches for i in range(0, b.num_rows, DECODED)):
+            part = batch.slice(first, DECODED)
+            lists = part.column(1)
             rows = [(lists[i].values.to_numpy() if lists[i].is_valid else np.empty(0)).astype("<u4") for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array([r.size for r in rows], pa.int64()),
                     pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64()),
                     pa.array([coder.decode(r.tolist()) for r in rows], pa.string()),
