@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import identity
 from fleetlens.functions.identity import encode_identity, frame_components, type_family
+from fleetlens.functions.nesting import inside_out, outer_pair_dropped
 from fleetlens.operators.profile import key_pool
 from fleetlens.plans.graphs import cycle_members, peel
 from fleetlens.plans.ordering import position_by_sequence, running_total
@@ -156,13 +157,14 @@ def recognize_checks(constraints: DataFrame, expression: str = "expression") ->
         r"::(?:character varying|double precision|timestamp (?:with|without) time zone|[a-z_]+)(?:\(\d+(?:, ?\d+)?\))?(?:\[\])?",
         "",
     )
-    for _ in range(4):
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_])\(({_NAME})\)", "$1")
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_])\(({_LITERAL})\)(?=\)| |$)", "$1")
     single = rf"{_NAME} (?:=|>=|<=|>|<) {_LITERAL}"
-    text = F.regexp_replace(text, rf"(?<!NOT |not |[A-Za-z0-9_])\(({single})\)", "$1")
-    for _ in range(3):
-        text = F.regexp_replace(text, r"^\(([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*)\)$", "$1")
+
+    def step(part: Column) -> Column:
+        part = F.regexp_replace(part, rf"(?<![A-Za-z0-9_])\(({_NAME})\)", "$1")
+        part = F.regexp_replace(part, rf"(?<![A-Za-z0-9_])\(({_LITERAL})\)(?=\)| |$)", "$1")
+        return F.regexp_replace(part, rf"(?<!NOT |not |[A-Za-z0-9_])\(({single})\)", "$1")
+
+    text = inside_out(inside_out(text, step), outer_pair_dropped)
     listed = rf"^({_NAME}) (?:IN|in) \(({_LITERAL}(?:, ?{_LITERAL})*+)\)$"
     array = rf"^({_NAME}) = (?:ANY|any) \(+(?:ARRAY|array)\[({_LITERAL}(?:, ?{_LITERAL})*+)\]\)+$"
     equality = rf"({_NAME}) = ({_LITERAL})"

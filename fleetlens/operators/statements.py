@@ -18,6 +18,7 @@ from fleetlens.functions.identity import (
     comparison_type,
     encode_identity,
 )
+from fleetlens.functions.nesting import inside_out
 from fleetlens.sources.scratch import materialize
 
 # Group loops are possessive: those run in constant stack space on texts of any length.
@@ -116,9 +117,7 @@ def _marked(statement: Column) -> Column:
 
 def statement_class(canonical: Column) -> Column:
     """read, write, schema, transaction, control or unsupported, from the leading words."""
-    body = canonical
-    for _ in range(8):
-        body = F.regexp_replace(body, r"\([^()]*\)", "")
+    body = inside_out(canonical, lambda text: F.regexp_replace(text, r"\([^()]*\)", ""))
     after_with = F.regexp_extract(body, r"\b(select|insert|update|delete|merge|values)\b", 1)
     first = F.regexp_extract(canonical, r"^\(*\s*([a-z]+)", 1)
     word = F.when(first == "with", after_with).otherwise(first)
@@ -346,11 +345,13 @@ def describe_statements(
 
 def where_terms(normalized: Column) -> Column:
     """AND-ed terms of the outer WHERE; groups with OR, NOT or a subquery are left out."""
-    flat = normalized
-    for _ in range(6):
-        flat = F.regexp_replace(flat, r"\((?=[^()]*\b(?:or|select)\b)[^()]*\)", "skipped")
-        flat = F.regexp_replace(flat, r"\bnot \([^()]*\)", "skipped")
-        flat = F.regexp_replace(flat, r"\(((?:(?!\b(?:or|select)\b)[^()])*+)\)", "$1")
+
+    def step(text: Column) -> Column:
+        text = F.regexp_replace(text, r"\((?=[^()]*\b(?:or|select)\b)[^()]*\)", "skipped")
+        text = F.regexp_replace(text, r"\bnot \([^()]*\)", "skipped")
+        return F.regexp_replace(text, r"\(((?:(?!\b(?:or|select)\b)[^()])*+)\)", "$1")
+
+    flat = inside_out(normalized, step)
     where = F.regexp_extract(
         F.regexp_replace(flat, " +", " "),
         r"\bwhere (.*?)(?: group by .*| order by .*| limit .*| offset .*| having .*"

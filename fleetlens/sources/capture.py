@@ -61,7 +61,8 @@ def parse_capture_lines(lines: DataFrame) -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD},
     )
     return (
-        lines.where(F.trim("value") != "")
+        # No-break and other wide blanks count as blank too.
+        lines.where(F.col("value").rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"))
         .withColumn("event", parsed)
         .withColumn("is_valid", F.col(f"event.{_BAD}").isNull() & _valid(F.col("event")))
         .withColumn("event", F.col("event").dropFields(_BAD))
