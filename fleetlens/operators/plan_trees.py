@@ -1,7 +1,8 @@
 """Recorded query plans: one row per node, a fingerprint and a readable shape per document.
 
 A plan document is a small recursive JSON tree that no fixed Spark schema covers, so each is
-decoded by a helper inside Arrow batches. Documents are independent: no shuffle is needed.
+decoded once, inside Arrow batches, to the flat list of its nodes; what is computed of a plan are
+Spark expressions over that list. Documents are independent: no shuffle is needed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Plan fields that identify a plan, and diagnostic fields that do not.
@@ -59,13 +60,16 @@ def _root(text: str | None) -> dict | None:
 
 
 def _nodes(plan: dict) -> list[dict]:
-    """Nodes in pre-order with their parent position and depth."""
+    """Nodes in pre-order with their parent position and depth.
+
+    `last` is the position of the last node below; `label` holds what identifies the node alone.
+    """
     found: list[dict] = []
     stack: list[tuple[dict, int | None, int]] = [(plan, None, 0)]
     while stack:
         node, parent, depth = stack.pop()
-        row = {"node": len(found), "parent": parent, "depth": depth, "node_type": node["Node Type"]}
-        row |= {name: node.get(field) for name, field in IDENTITY_FIELDS.items()}
+        own = {name: node.get(field) for name, field in IDENTITY_FIELDS.items()}
+        row = {"node": len(found), "parent": parent, "depth": depth, "node_type": node["Node Type"]} | own
         row |= {name: json.dumps(node.get(field, [])) for name, field in KEY_FIELDS.items()}
         row |= {name: node.get(field) for name, field in NUMBER_FIELDS.items()}
         has = {"wal": any(k in node for k in ("WAL Records", "WAL Bytes"))}
@@ -73,67 +77,61 @@ def _nodes(plan: dict) -> list[dict]:
         for name, field in COUNT_FIELDS.items():
             present = has["blocks"] if name.endswith("blocks") else has["wal"]
             row[name] = node.get(field, 0) if present else None
+        own |= {name: node.get(field) or [] for name, field in KEY_FIELDS.items()}
+        own["node_type"] = row["node_type"]
+        row["last"] = row["node"]
+        row["label"] = json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         found.append(row)
         children = node.get("Plans", [])
         stack.extend((child, row["node"], depth + 1) for child in reversed(children))
+    for row in reversed(found[1:]):
+        above = found[row["parent"]]
+        above["last"] = max(above["last"], row["last"])
     return found
 
 
-def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
-    """One row per plan node: position, parent, depth, identity and diagnostic fields."""
+def _decoded(documents: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, nodes): the nodes of each document in pre-order, null for an unusable one."""
     types = dict(documents.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + _NODE_COLUMNS
-    columns = [part.split()[0] for part in schema.split(", ")]
+    fields = _NODE_COLUMNS.replace(" ", ":").replace(",:", ",")
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    schema += f", nodes array<struct<{fields},last:int,label:string>>"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                plan = _root(record[text])
-                own = {k: record[k] for k in keys}
-                rows.extend(own | node for node in (_nodes(plan) if plan else []))
-            out = pd.DataFrame(rows, columns=columns)
-            for name in ("node", "parent", "depth", *COUNT_FIELDS):
-                out[name] = out[name].astype("Int64")
-            yield out
+            made = batch[keys].copy()
+            plans = (_root(value) for value in batch[text])
+            made["nodes"] = [_nodes(plan) if plan else None for plan in plans]
+            yield made
 
     return documents.select(*keys, text).mapInPandas(decode, schema)
 
 
-def _identity(plan: dict) -> dict:
-    entry = {name: plan.get(field) for name, field in IDENTITY_FIELDS.items()}
-    entry |= {name: list(plan.get(field, ())) for name, field in KEY_FIELDS.items()}
-    entry["node_type"] = plan["Node Type"]
-    entry["children"] = [_identity(child) for child in plan.get("Plans", ())]
-    return entry
+def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
+    """One row per plan node: position, parent, depth, identity and diagnostic fields."""
+    rows = _decoded(documents, keys, text).select(*keys, F.inline("nodes"))
+    return rows.drop("last", "label")
 
 
-def _shape(plan: dict) -> str:
-    strategy, index, relation = (plan.get(k) for k in ("Strategy", "Index Name", "Relation Name"))
-    place = f"using {index}" if index else f"on {relation}" if relation else None
-    words = (plan.get("Join Type"), plan["Node Type"], strategy and f"({strategy})", place)
-    below = ", ".join(map(_shape, plan.get("Plans", ())))
-    return " ".join(w for w in (*words, below and f"-> ({below})") if w)
+def _written(opening: Callable[[Column], Column], closing: Callable[[Column], Column]) -> Column:
+    """What is written when a walk enters a node and when it leaves it, in the walk's order.
 
+    A node is left behind the last node below it; of nodes left at once the deepest goes first.
+    """
 
-def _canonical(plan: dict) -> str:
-    return json.dumps(_identity(plan), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    def entered(x: Column) -> Column:
+        return F.struct(x["node"].alias("at"), F.lit(0).alias("leaves"), F.lit(0).alias("up"), opening(x).alias("text"))
 
+    def left(x: Column) -> Column:
+        return F.struct(x["last"].alias("at"), F.lit(1).alias("leaves"), (-x["depth"]).alias("up"), closing(x).alias("text"))
 
-def _per_document(
-    documents: DataFrame, keys: list[str], text: str, out: str, describe: Callable[[dict], str]
-) -> DataFrame:
-    types = dict(documents.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {out} string"
+    events = F.array_sort(F.concat(F.transform("nodes", entered), F.transform("nodes", left)))
+    return F.array_join(F.transform(events, lambda e: e["text"]), "")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = batch[keys].copy()
-            plans = (_root(value) for value in batch[text])
-            made[out] = [describe(plan) if plan else None for plan in plans]
-            yield made
 
-    return documents.select(*keys, text).mapInPandas(decode, schema)
+def _by_place(x: Column, root: str, first: str, later: str) -> Column:
+    """A text for the root, for a first child and for its later siblings."""
+    return F.when(x["parent"].isNull(), root).when(x["node"] == x["parent"] + 1, first).otherwise(later)
 
 
 def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
@@ -142,12 +140,30 @@ def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc")
     The fingerprint covers node kinds, relations, indexes, joins, directions, keys and the
     tree itself; costs, row counts and filter text play no part.
     """
-    decoded = _per_document(documents, keys, text, "canonical", _canonical)
-    return decoded.select(
-        *keys, F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("plan_fingerprint")
+    canonical = _written(
+        lambda x: F.concat(_by_place(x, "", "", ","), F.lit('{"children":[')),
+        lambda x: F.concat(F.lit("],"), F.substring(x["label"], F.lit(2), F.length(x["label"]))),
+    )
+    return _decoded(documents, keys, text).select(
+        *keys, F.concat(F.lit("sha256:"), F.sha2(canonical, 256)).alias("plan_fingerprint")
     )
 
 
 def plan_shapes(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """(keys, normalized_shape): the readable form of what the fingerprint covers."""
-    return _per_document(documents, keys, text, "normalized_shape", _shape)
+
+    def words(x: Column) -> Column:
+        def given(name: str) -> Column:
+            return F.nullif(x[name], F.lit(""))
+
+        place = F.coalesce(
+            F.concat(F.lit("using "), given("index_name")), F.concat(F.lit("on "), given("relation_name"))
+        )
+        strategy = F.concat(F.lit("("), given("strategy"), F.lit(")"))
+        return F.concat_ws(" ", given("join_type"), x["node_type"], strategy, place)
+
+    shape = _written(
+        lambda x: F.concat(_by_place(x, "", " -> (", ", "), words(x)),
+        lambda x: F.when(x["last"] > x["node"], ")").otherwise(""),
+    )
+    return _decoded(documents, keys, text).select(*keys, shape.alias("normalized_shape"))
