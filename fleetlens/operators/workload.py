@@ -3,6 +3,9 @@
 An operation is one (app, run, test node, phase). All rollups start from one pre-aggregation
 by (operation, query), so a hot operation is combined before its rows are shuffled. What a
 query is (class, relations, text) comes from `queries`, one row per query id.
+
+Events are in order of `sequence`, then of `arrival` (the place of the line in the log, any type
+with an order) where the events have that column, then of the query id.
 """
 
 from __future__ import annotations
@@ -19,6 +22,11 @@ OPERATION = [*RUN, "node_id", "phase"]
 MIN_REPETITIONS = 5
 
 
+def _ties(events: DataFrame) -> list[str]:
+    """The columns that order events of equal sequence."""
+    return [*[c for c in events.columns if c == "arrival"], "query_id"]
+
+
 def executions_by_query(events: DataFrame) -> DataFrame:
     """One row per (operation, query): executions, duration and first sequence number.
 
@@ -38,12 +46,13 @@ def query_catalog(events: DataFrame, queries: DataFrame) -> DataFrame:
     reduced to distinct code places before they are listed.
     """
     counts = events.groupBy(*RUN, "query_id").agg(F.count("*").alias("executions"))
+    arrival = _ties(events)[:-1]
     sites = (
-        events.select(*RUN, "query_id", "sequence", F.posexplode("call_sites").alias("at", "site"))
+        events.select(*RUN, "query_id", "sequence", *arrival, F.posexplode("call_sites").alias("at", "site"))
         .groupBy(*RUN, "query_id", "site")
-        .agg(F.min("sequence").alias("sequence"), F.min_by("at", "sequence").alias("at"))
+        .agg(F.min(F.struct("sequence", *arrival, "at")).alias("seen"))
         .groupBy(*RUN, "query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("sequence", "at", "site"))).alias("_sites"))
+        .agg(F.array_sort(F.collect_list(F.struct("seen", "site"))).alias("_sites"))
     )
     facts = queries.select("query_id", "statement_class", "normalized_sql", "parse_error")
     return (
@@ -81,7 +90,9 @@ def operation_rollup(events: DataFrame, queries: DataFrame) -> DataFrame:
     entries = (
         events.where(F.size("call_sites") > 0)
         .groupBy(*OPERATION)
-        .agg(F.min_by(F.get("call_sites", F.lit(0)), "sequence").alias("entry_point"))
+        .agg(
+            F.min_by(F.get("call_sites", F.lit(0)), F.struct("sequence", *_ties(events))).alias("entry_point")
+        )
     )
     return rolled.join(entries, OPERATION, "left")
 
@@ -100,11 +111,11 @@ def transaction_rollup(
     counts as not committed. Events outside a transaction are left out.
     """
     inside = events.where("transaction_id IS NOT NULL").select(
-        *OPERATION, "transaction_id", "sequence", "query_id"
+        *OPERATION, "transaction_id", "sequence", *_ties(events)
     )
     placed = position_by_sequence(
-        inside, [*OPERATION, "transaction_id"], "sequence", "position", width
-    )
+        inside, [*OPERATION, "transaction_id"], "sequence", "position", width, _ties(events)
+    ).drop("arrival")
     known = outcomes.select(*RUN, "transaction_id", "committed")
     return placed.join(known, [*RUN, "transaction_id"], "left").withColumn(
         "committed", F.coalesce("committed", F.lit(False))
@@ -143,6 +154,7 @@ def detect_amplification(
     of `width` sequence numbers, so a hot operation never meets in one task, and a first
     occurrence that opens its piece looks at the end of the piece before.
     """
+    ties = _ties(events)
     first_mark, second_mark = _bind_marks(F.col("bind_signature"))
     piece = F.floor(F.col("sequence") / width).alias("piece")
     marked = events.select(
@@ -161,16 +173,20 @@ def detect_amplification(
         "repeated",
     )
     slim = events.select(
-        *OPERATION, piece, "sequence", F.struct("query_id", "statement_class", "rowcount").alias("record")
+        *OPERATION, piece, "sequence", *ties, F.struct("query_id", "statement_class", "rowcount").alias("record")
     )
-    order = Window.partitionBy(*OPERATION, "piece").orderBy("sequence")
+    order = Window.partitionBy(*OPERATION, "piece").orderBy("sequence", *ties)
+    nth = Window.partitionBy(*OPERATION, "piece", "query_id").orderBy("sequence", *ties)
+    # A first occurrence is in the piece of the least sequence number of its query.
     ordered = (
         slim.join(repeated.select(*OPERATION, "piece").distinct(), [*OPERATION, "piece"], "left_semi")
         .withColumn("near", F.lag("record").over(order))
-        .drop("record")
+        .withColumn("nth", F.row_number().over(nth))
+        .where("nth = 1")
+        .select(*OPERATION, "piece", "query_id", "near")
     )
     found = materialize(
-        repeated.join(ordered, [*OPERATION, "piece", "sequence"]), "first-occurrences"
+        repeated.join(ordered, [*OPERATION, "piece", "query_id"]), "first-occurrences"
     )
     openers = found.where("near IS NULL AND piece > 0").select(*OPERATION).distinct()
     if openers.isEmpty():
@@ -179,7 +195,7 @@ def detect_amplification(
         edges = (
             slim.join(openers, OPERATION, "left_semi")
             .groupBy(*OPERATION, "piece")
-            .agg(F.max_by("record", "sequence").alias("last"))
+            .agg(F.max_by("record", F.struct("sequence", *ties)).alias("last"))
             .withColumn("far", F.lag("last").over(Window.partitionBy(*OPERATION).orderBy("piece")))
             .drop("last")
         )
@@ -200,12 +216,19 @@ def detect_amplification(
 
 def amplification_call_sites(amplifications: DataFrame, events: DataFrame) -> DataFrame:
     """Add `call_site`, the first call site of the first repeated event itself."""
-    sites = events.select(
-        *OPERATION,
-        F.col("sequence").alias("first_sequence"),
-        F.get("call_sites", F.lit(0)).alias("call_site"),
+    child = [*OPERATION, "child_query"]
+    firsts = events.withColumnsRenamed({"query_id": "child_query", "sequence": "first_sequence"}).join(
+        amplifications.select(*child, "first_sequence"), [*child, "first_sequence"], "left_semi"
+    )
+    # The struct keeps an event without any site in its place.
+    site = F.struct(F.get("call_sites", F.lit(0)).alias("call_site"))
+    place = F.struct(*[c for c in ("arrival",) if c in events.columns], "first_sequence")
+    sites = firsts.groupBy(*child).agg(F.min_by(site, place).alias("_first"))
+    return (
+        amplifications.join(sites, child)
+        .withColumn("call_site", F.col("_first.call_site"))
+        .drop("_first")
     )
-    return amplifications.join(sites, [*OPERATION, "first_sequence"])
 
 
 def name_relationships(

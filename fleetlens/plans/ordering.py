@@ -56,12 +56,18 @@ def running_total(
 
 
 def position_by_sequence(
-    df: DataFrame, keys: Sequence[str], sequence: str, out: str, width: int = SEQUENCE_WIDTH
+    df: DataFrame,
+    keys: Sequence[str],
+    sequence: str,
+    out: str,
+    width: int = SEQUENCE_WIDTH,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add `out`, the 1-based position inside the key, ordered by a whole-number column.
 
     The order column itself names the piece (`sequence div width`), so nothing is written.
-    Sequence numbers are unique inside a key, which bounds a piece to `width` rows.
+    Rows of equal sequence follow in the order of `ties`; few share a number, which bounds a
+    piece to about `width` rows.
     """
     keys = list(keys)
     laid = df.withColumn("_piece", F.floor(F.col(sequence) / width))
@@ -72,7 +78,7 @@ def position_by_sequence(
         .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .select(*keys, "_piece", "_before")
     )
-    inside = Window.partitionBy(*keys, "_piece").orderBy(sequence)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(sequence, *ties)
     return (
         laid.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_piece"])

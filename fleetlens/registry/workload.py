@@ -244,23 +244,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.operation_query_counts(captured(spark, sf_dir))
 
 
-@query(
-    "c14_transaction_rollup",
-    inputs="capture",
-    sql="""WITH t AS (SELECT transaction_id, max(rowcount) >= 50 AS committed FROM capture GROUP BY 1 HAVING max(rowcount) >= 20),
+_TRANSACTION_SQL = """WITH t AS (SELECT transaction_id, max(rowcount) >= 50 AS committed FROM capture GROUP BY 1 HAVING max(rowcount) >= 20),
     c AS (SELECT *, row_number() OVER (PARTITION BY app_id, run_id, node_id, phase, transaction_id ORDER BY sequence) AS position FROM capture)
     SELECT app_id, run_id, node_id, phase, c.transaction_id, position, query_id, coalesce(committed, false) AS committed
-    FROM c LEFT JOIN t USING (transaction_id)""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = captured(spark, sf_dir)
-    outcomes = (
+    FROM c LEFT JOIN t USING (transaction_id)"""
+
+
+def _outcomes(events: DataFrame) -> DataFrame:
+    return (
         events.groupBy(*workload.RUN, "transaction_id")
         .agg(F.max("rowcount").alias("top"))
         .where("top >= 20")
         .select(*workload.RUN, "transaction_id", (F.col("top") >= 50).alias("committed"))
     )
-    return workload.transaction_rollup(events, outcomes, width=4096).drop("sequence")
+
+
+@query("c14_transaction_rollup", inputs="capture", sql=_TRANSACTION_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = captured(spark, sf_dir)
+    return workload.transaction_rollup(events, _outcomes(events), width=4096).drop("sequence")
 
 
 AMPLIFICATION_SQL = """
@@ -316,16 +318,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "c17_amplification_call_site",
-    inputs="capture",
-    sql=AMPLIFICATION_SQL.replace("{extra}", ", call_site").replace(
-        "SELECT app_id, run_id, node_id, phase, parent_query, query_id AS child_query, n AS repetitions,",
-        "SELECT app_id, run_id, node_id, phase, query_id AS child_query, n AS repetitions,",
-    ),
+_CALL_SITE_SQL = AMPLIFICATION_SQL.replace("{extra}", ", call_site").replace(
+    "SELECT app_id, run_id, node_id, phase, parent_query, query_id AS child_query, n AS repetitions,",
+    "SELECT app_id, run_id, node_id, phase, query_id AS child_query, n AS repetitions,",
 )
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = captured(spark, sf_dir)
+
+
+def _call_sites(events: DataFrame) -> DataFrame:
     found = workload.amplification_call_sites(workload.detect_amplification(events, width=1024), events)
     site = F.col("call_site")
     return found.select(
@@ -337,6 +336,39 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("c17_amplification_call_site", inputs="capture", sql=_CALL_SITE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _call_sites(captured(spark, sf_dir))
+
+
+def sharing_numbers(events: DataFrame) -> DataFrame:
+    """The same log with numbers that up to three events share, arriving in the opposite order."""
+    return events.withColumns(
+        {"sequence": F.floor(F.col("sequence") / 3), "arrival": 2 - F.col("sequence") % 3}
+    )
+
+
+def _shared(sql: str) -> str:
+    return sql.replace("ORDER BY sequence", "ORDER BY sequence // 3, sequence % 3 DESC")
+
+
+@query("c14_transaction_shared_numbers", inputs="capture", sql=_shared(_TRANSACTION_SQL))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sharing_numbers(captured(spark, sf_dir))
+    return workload.transaction_rollup(events, _outcomes(events), width=1024).drop("sequence")
+
+
+@query("c15_amplification_shared_numbers", inputs="capture", sql=_shared(AMPLIFICATION_SQL).replace("{extra}", ""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = workload.detect_amplification(sharing_numbers(captured(spark, sf_dir)), width=64)
+    return found.select(*_AMPLIFICATION)
+
+
+@query("c17_call_site_shared_numbers", inputs="capture", sql=_shared(_CALL_SITE_SQL))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _call_sites(sharing_numbers(captured(spark, sf_dir)))
+
+
 # One run per user and day for run-level checks.
 define(
     "run_facts",
@@ -455,6 +487,14 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("rowcount") % 29 == 0, "between").otherwise(F.col("phase")).alias("phase"),
         F.lit(1).alias("process_id"),
         F.lit(1).alias("thread_id"),
+        F.when(F.col("rowcount") % 37 == 0, "").alias("error_class"),
+        F.array(
+            F.struct(
+                F.lit("app/a.py").alias("path"),
+                F.when(F.col("rowcount") % 41 == 0, 0).otherwise(F.col("rowcount") + 1).alias("line"),
+                F.concat(F.lit("sha256:"), F.sha2("query_id", 256)).alias("content_hash"),
+            )
+        ).alias("call_sites"),
     )
     plain = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
     text = F.when(
@@ -462,14 +502,15 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace(plain, F.lit('"thread_id":1'), F.lit('"thread_id":"many"')),
     ).otherwise(plain)
     line = (
-        F.when(F.col("rowcount") % 23 == 0, "   ")
+        F.when(F.col("rowcount") % 46 == 0, "\t")
+        .when(F.col("rowcount") % 23 == 0, "   ")
         .when(F.col("rowcount") % 17 == 0, F.substring(text, 1, 40))
         .otherwise(text)
     )
     return events.select(line.alias("value"))
 
 
-_GOOD = "rowcount % 23 <> 0 AND rowcount % 17 <> 0 AND rowcount % 19 <> 0 AND rowcount % 29 <> 0 AND rowcount % 31 <> 0"
+_GOOD = " AND ".join(f"rowcount % {n} <> 0" for n in (23, 17, 19, 29, 31, 37, 41))
 
 
 @query(

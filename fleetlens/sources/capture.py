@@ -29,6 +29,13 @@ def _valid(event: Column) -> Column:
     """Field rules of one captured event; null counts as invalid."""
     parameters = F.coalesce(event["parameters"], F.array())
     sites = F.coalesce(event["call_sites"], F.array())
+
+    def not_empty(text: Column) -> Column:
+        return F.coalesce(F.length(text) > 0, F.lit(True))
+
+    def line_number(line: Column) -> Column:
+        return F.coalesce(line >= 1, F.lit(True))
+
     rules = (
         event["sequence"].isNotNull()
         & (event["duration_us"] >= 0)
@@ -38,16 +45,23 @@ def _valid(event: Column) -> Column:
         & event["phase"].isin(PHASES)
         & event["process_id"].isNotNull()
         & event["thread_id"].isNotNull()
-        & (F.coalesce(F.length(event["transaction_id"]), F.lit(1)) > 0)
+        & not_empty(event["transaction_id"])
+        & not_empty(event["error_class"])
+        & not_empty(event["task_id"])
         & F.forall(
             parameters,
             lambda p: (F.length(p["python_type"]) > 0)
             & (F.length(p["position"]) > 0)
-            & F.coalesce(p["value_hash"].rlike(SHA256_PATTERN), F.lit(True)),
+            & F.coalesce(p["value_hash"].rlike(SHA256_PATTERN), F.lit(True))
+            & not_empty(p["redacted_value"]),
         )
         & F.forall(
             sites,
-            lambda s: is_repository_path(s["path"]) & s["content_hash"].rlike(SHA256_PATTERN),
+            lambda s: is_repository_path(s["path"])
+            & s["content_hash"].rlike(SHA256_PATTERN)
+            & line_number(s["line"])
+            & line_number(s["end_line"])
+            & not_empty(s["symbol"]),
         )
     )
     return F.coalesce(rules, F.lit(False))
@@ -70,10 +84,22 @@ def parse_capture_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_capture_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, malformed): valid events, and the count of bad lines per file."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    """(events, malformed): valid events, and the count of bad lines per file.
+
+    `arrival` is the place of an event's line: file, start of the piece of the file that a task
+    reads, and a number that grows along that piece. It orders events of equal sequence.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.input_file_name().alias("file"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("arrival"),
+    )
     parsed = parse_capture_lines(lines)
-    events = parsed.where("is_valid").select("event.*")
+    events = parsed.where("is_valid").select("event.*", "arrival")
     malformed = parsed.groupBy("file").agg(F.count_if(~F.col("is_valid")).alias("malformed_lines"))
     return events, malformed
 

@@ -78,6 +78,28 @@ def test_parent_is_the_nearest_earlier_query(frame, width):
     }
 
 
+@pytest.mark.parametrize("width", [2, 1 << 20])
+def test_equal_sequence_numbers_go_by_arrival(frame, width):
+    numbers = [(2, "parent"), (2, "child"), (3, "child"), (3, "child"), (4, "child"), (4, "child")]
+    rows = [event(1, "other", rowcount=1)]
+    rows += [
+        event(n, q, rowcount=5, binds=[str(i)], sites=[(f"app/{i}.py", 1, "f")]) for i, (n, q) in enumerate(numbers)
+    ]
+    # The site tells the place in the log.
+    place = "coalesce(cast(regexp_extract(get(call_sites, 0).path, '[0-9]+', 0) as int), -1)"
+    log = frame(rows).selectExpr("*", f"{place} as arrival")
+    hits = workload.detect_amplification(log, width=width)
+    assert found(hits) == {("parent", "child", 5, "observed_n_plus_one")}
+    assert [r.call_site.path for r in workload.amplification_call_sites(hits, log).collect()] == ["app/1.py"]
+    catalog = {r.query_id: [s.path for s in r.call_sites] for r in workload.query_catalog(log, log.dropDuplicates(["query_id"])).collect()}
+    assert catalog["child"] == [f"app/{i}.py" for i in range(1, 6)]
+
+
+def test_equal_sequence_numbers_without_arrival_give_one_row(frame):
+    rows = [event(2, "a", rowcount=5)] + [event(2, "b", binds=[str(i)]) for i in range(5)]
+    assert found(workload.detect_amplification(frame(rows))) == {("a", "b", 5, "observed_n_plus_one")}
+
+
 def test_relationship_needs_one_key_between_single_relations(spark, frame):
     rows = [event(1, "p", rowcount=5, relations=["public.o"])]
     rows += [event(2 + i, "c", binds=[str(i)], relations=["public.i"]) for i in range(5)]
