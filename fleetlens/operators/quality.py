@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.identity import SCHEMA_VERSION_PATTERN, sha256_text
 from fleetlens.plans.ordering import SEQUENCE_WIDTH, previous_row
-from fleetlens.sources.scratch import materialize
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
 
 SUPPORTED_MAJOR = 1
 READER_VERSION = "1.3"
@@ -277,91 +270,66 @@ def share_inventory(files: DataFrame) -> DataFrame:
 
 
 _WORDS = "([A-Za-z0-9]+)"
-NEEDLE_BYTES = 32 << 20
-CANDIDATE_BYTES = 64 << 20
+GRAM = 3
 
 
-def leak_scan(texts: DataFrame, needles: DataFrame, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
-    """(text_id, needle_id): which forbidden strings occur in which text, as plain substrings.
+def _rarest(parts: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, needle_id, needle): each needle once, by its part that is in the fewest texts.
 
-    Texts (text_id, text) are read whole. Needles of up to `needle_bytes` in total travel to the
-    tasks, which look for all of them in one pass over each text; more needles than that are
-    joined by a shared word.
+    `parts` holds needle_id, needle and key, `held` the distinct keys of each text.
     """
-    wanted = needles.where("needle <> ''").select("needle_id", "needle")
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
-    if ahocorasick is not None and size <= needle_bytes:
-        return _scan_in_tasks(texts, wanted)
-    return scan_by_word(texts, wanted)
-
-
-def _scan_in_tasks(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    kinds = dict(texts.dtypes) | dict(needles.dtypes)
-    # The size was checked by the caller.
-    listed = [(row["needle_id"], row["needle"]) for row in needles.collect()]
-    shared = texts.sparkSession.sparkContext.broadcast(listed)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = ahocorasick.Automaton()
-        for identity, needle in shared.value:
-            machine.add_word(needle, [*machine.get(needle, []), identity])
-        if shared.value:
-            machine.make_automaton()
-        for batch in batches:
-            hits = [
-                (text_id, identity)
-                for text_id, text in zip(batch["text_id"], batch["text"], strict=True)
-                if text is not None and shared.value
-                for identity in {i for _end, ids in machine.iter(text) for i in ids}
-            ]
-            yield pd.DataFrame(hits, columns=["text_id", "needle_id"])
-
-    schema = f"text_id {kinds['text_id']}, needle_id {kinds['needle_id']}"
-    return texts.select("text_id", "text").mapInPandas(scan, schema)
+    spread = held.join(parts.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("texts"))
+    rank = F.struct(F.coalesce("texts", F.lit(0).cast("long")).alias("n"), "key")
+    return (
+        parts.join(spread, "key", "left")
+        .groupBy("needle_id", "needle")
+        .agg(F.min_by("key", rank).alias("key"))
+    )
 
 
-def scan_by_word(texts: DataFrame, needles: DataFrame, candidate_bytes: int = CANDIDATE_BYTES) -> DataFrame:
-    """The same scan for any number of needles, by equality joins; `contains` decides.
+def leak_scan(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(text_id, needle_id): which forbidden strings occur in which text, as plain substrings.
 
-    A word with other characters on both sides inside the needle must be a whole word of any
-    text that holds the needle. Of those words the one in the fewest texts is the join key; a
-    needle with such a word in no text is in no text. A needle without an inner word is found
-    by its first three characters (or fewer, when it is shorter).
+    Texts (text_id, text) are read whole. Candidates come from equality joins for any number of
+    needles, and `contains` decides. A word with other characters on both sides inside the needle
+    must be a whole word of any text that holds the needle; of those words the one in the fewest
+    texts is the join key. A needle without an inner word goes by the one of its three-character
+    strings (itself when it is shorter) that is in the fewest texts. Null and empty needles and
+    null texts are in no result; a needle given twice counts once.
     """
+    wanted = needles.where("needle <> ''").select("needle_id", "needle").distinct()
     inner = F.regexp_extract_all(
         F.regexp_replace("needle", "^[A-Za-z0-9]+|[A-Za-z0-9]+$", ""), F.lit(_WORDS), F.lit(1)
     )
-    keyed = needles.where("needle <> ''").select("needle_id", "needle", F.array_distinct(inner).alias("words"))
+    keyed = wanted.withColumn("words", F.array_distinct(inner))
+    by_word = keyed.select("needle_id", "needle", F.explode("words").alias("key"))
     words = texts.select(
         "text_id",
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(1)))).alias("key"),
     )
-    spread = words.groupBy("key").agg(F.count("*").alias("texts"))
-    anchors = (
-        keyed.select("needle_id", "needle", F.explode("words").alias("key"))
-        .join(spread, "key", "left")
-        .groupBy("needle_id", "needle")
-        .agg(
-            F.min_by("key", F.struct(F.coalesce("texts", F.lit(0).cast("long")).alias("n"), "key")).alias("key")
-        )
-    )
-    short = keyed.where(F.size("words") == 0).select(
-        F.substring("needle", 1, 3).alias("key"), "needle_id", "needle"
+    starts = F.sequence(F.lit(1), F.greatest(F.length("needle") - GRAM + 1, F.lit(1)))
+    cuts = F.transform(starts, lambda at: F.substring("needle", at, F.lit(GRAM)))
+    by_gram = keyed.where(F.size("words") == 0).select(
+        "needle_id", "needle", F.explode(F.array_distinct(cuts)).alias("key")
     )
     grams = F.flatten(
-        F.array(*[F.regexp_extract_all("text", F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)])
+        F.array(
+            *[
+                F.regexp_extract_all("text", F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
+                for n in range(1, GRAM + 1)
+            ]
+        )
     )
-    by_gram = texts.select("text_id", F.explode(F.array_distinct(grams)).alias("key")).join(short, "key")
+    held = texts.select("text_id", F.explode(F.array_distinct(grams)).alias("key"))
     fields = ["text_id", "needle_id", "needle"]
-    candidates = materialize(
-        words.join(anchors, "key").select(*fields).unionByName(by_gram.select(*fields)), "candidates"
+    candidates = (
+        words.join(_rarest(by_word, words), "key")
+        .select(*fields)
+        .unionByName(held.join(_rarest(by_gram, held), "key").select(*fields))
     )
-    size = candidates.agg(F.coalesce(F.sum(F.octet_length("needle") + 32), F.lit(0))).first()[0]
-    # Few candidates go to the texts; many meet them in a shuffle by text.
-    side = F.broadcast(candidates) if size <= candidate_bytes else candidates
     return (
         texts.select("text_id", "text")
-        .join(side, "text_id")
+        .join(candidates, "text_id")
         .where(F.contains("text", "needle"))
         .select("text_id", "needle_id")
     )

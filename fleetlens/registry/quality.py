@@ -319,7 +319,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return quality.scan_by_word(texts, frame(spark, sf_dir, "needles"))
+    return quality.leak_scan(texts, frame(spark, sf_dir, "needles"))
+
+
+# Needles of one common beginning and without an inner word.
+define(
+    "prefixed_needles",
+    " UNION ALL ".join(
+        f"SELECT concat('{n}-', item_id) AS needle_id, concat('e ', split_part(text, ' ', {n})) AS needle FROM {{benchmark}}"
+        for n in range(1, 7)
+    ),
+)
+
+
+@query(
+    "q12_leak_scan_shared_prefix",
+    inputs="prefixed_needles",
+    sql="SELECT doc_id AS text_id, needle_id FROM documents JOIN prefixed_needles ON contains(text, needle)",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return quality.leak_scan(texts, frame(spark, sf_dir, "prefixed_needles"))
 
 
 define(
