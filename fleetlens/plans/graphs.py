@@ -1,8 +1,9 @@
 """Levels and cycles of many small directed graphs at once.
 
-Edges are (keys, child, parent). Each round is one join over the edges still open and one
-written table, so memory never depends on the size of one graph. The number of rounds is the
-longest dependency chain; rounds are driven by row counts, never by collected rows.
+Edges are (keys, child, parent). Rounds are joins over written tables, driven by row counts, never
+by collected rows, so memory does not depend on the size of one graph. Runs of nodes with one
+parent are followed by jumps that triple in length; what is left after each contraction is a graph
+of joints only. So rounds follow how deeply branches nest, and the logarithm of the longest run.
 """
 
 from __future__ import annotations
@@ -15,58 +16,106 @@ from pyspark.sql import functions as F
 
 from fleetlens.sources.scratch import materialize
 
-MAX_ROUNDS = 10_000
 
+def _follow(nodes: DataFrame, steps: DataFrame, keys: list[str], end: str, length: str) -> DataFrame:
+    """Move `end` of each row of `nodes` along the step that starts there; `moved` tells which did."""
+    step = steps.select(
+        *keys, F.col("node").alias(end), F.col("anchor").alias("_next"), F.col("distance").alias("_more")
+    )
+    return (
+        nodes.join(step, [*keys, end], "left")
+        .withColumn("moved", F.col("_more").isNotNull())
+        .withColumn(end, F.when(F.col("moved"), F.col("_next")).otherwise(F.col(end)))
+        .withColumn(length, F.col(length) + F.coalesce("_more", F.lit(0).cast("long")))
+        .drop("_next", "_more")
+    )
+
+
+def _anchored(singles: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, node, anchor, distance) with every anchor outside of the nodes, where there is one.
+
+    A node that runs into a cycle of such nodes keeps an anchor inside.
+    """
+    columns = [*keys, "node", "anchor", "distance"]
+    reach = 1
+    while True:
+        once = _follow(singles, singles, keys, "anchor", "distance").drop("moved")
+        twice = materialize(_follow(once, singles, keys, "anchor", "distance"), "anchors")
+        singles, reach = twice.select(*columns), reach * 3
+        if reach > size or twice.where("moved").isEmpty():
+            return singles
+
+
+def _longest(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """One edge for each (child, parent), the longest."""
+    return edges.groupBy(*keys, "child", "parent").agg(F.max("length").alias("length"))
 
-def peel(edges: DataFrame, keys: Sequence[str], rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+
+def peel(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(levels, stuck): levels of every child that depends on no cycle, and the edges left.
 
-    `levels` holds (keys, node, level) with level >= 1; nodes without parents are level 0 and
-    not listed. `stuck` holds the edges of nodes on or behind a cycle.
+    `levels` holds (keys, node, level) with level >= 1, the longest way from a node without
+    parents; those are level 0 and not listed. `stuck` holds the edges between nodes on or behind
+    a cycle. A parent of null stands for all nodes without parents.
     """
     keys = list(keys)
-    columns = [*keys, "child", "parent"]
-    pending = materialize(edges.select(*columns).distinct(), "edges")
-    size = pending.count()
-    levels: list[DataFrame] = []
-    for level in range(1, rounds + 1):
+    whole = materialize(edges.select(*keys, "child", "parent").distinct(), "edges")
+    inner = whole.select(*keys, F.col("child").alias("parent")).distinct().withColumn("_inner", F.lit(True))
+    pending = materialize(
+        _longest(
+            whole.join(inner, [*keys, "parent"], "left")
+            .withColumn("parent", F.when(F.col("_inner"), F.col("parent")))
+            .withColumn("length", F.lit(1).cast("long")),
+            keys,
+        ),
+        "edges",
+    )
+    solved: list[DataFrame] = []
+    while True:
+        singles = materialize(
+            pending.groupBy(*keys, F.col("child").alias("node"))
+            .agg(F.count("*").alias("_n"), F.max("parent").alias("anchor"), F.max("length").alias("distance"))
+            .where("_n = 1")
+            .drop("_n"),
+            "singles",
+        )
+        size = singles.count()
         if size == 0:
             break
-        waiting = pending.select(*keys, F.col("child").alias("parent")).distinct()
-        rest = materialize(pending.join(waiting, [*keys, "parent"], "left_semi").select(*columns), "edges")
-        left = rest.count()
-        if left == size:
-            break
-        done = (
-            pending.select(*keys, "child")
-            .distinct()
-            .join(rest.select(*keys, "child"), [*keys, "child"], "left_anti")
+        anchors = _anchored(singles, keys, size)
+        solved.append(anchors)
+        joints = pending.join(
+            anchors.select(*keys, F.col("node").alias("child")), [*keys, "child"], "left_anti"
         )
-        levels.append(done.select(*keys, F.col("child").alias("node"), F.lit(level).alias("level")))
-        pending, size = rest, left
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
-    empty = pending.select(*keys, F.col("child").alias("node"), F.lit(0).alias("level")).where("false")
-    return reduce(DataFrame.unionByName, levels, empty), pending
+        pending = materialize(
+            _longest(_follow(joints, anchors, keys, "parent", "length"), keys), "edges"
+        )
+    known = whole.select(*keys, F.col("child").alias("node"), F.lit(0).cast("long").alias("level")).where("false")
+    for anchors in reversed(solved):
+        first = anchors.where("anchor IS NULL").select(*keys, "node", F.col("distance").alias("level"))
+        bases = known.select(*keys, F.col("node").alias("anchor"), F.col("level").alias("_base"))
+        later = anchors.join(bases, [*keys, "anchor"]).select(
+            *keys, "node", (F.col("_base") + F.col("distance")).alias("level")
+        )
+        known = materialize(known.unionByName(first).unionByName(later), "levels")
+    levels = known.withColumn("level", F.col("level").cast("int"))
+    open_nodes = (
+        whole.select(*keys, F.col("child").alias("node"))
+        .distinct()
+        .join(known.select(*keys, "node"), [*keys, "node"], "left_anti")
+    )
+    stuck = whole.join(open_nodes.withColumnRenamed("node", "child"), [*keys, "child"], "left_semi").join(
+        open_nodes.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_semi"
+    )
+    return levels, stuck.select(*keys, "child", "parent")
 
 
 def _trim(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop edges that lie on no cycle because one end is a source or a sink."""
-    size = edges.count()
-    while size:
-        parents = edges.select(*keys, F.col("parent").alias("child")).distinct()
-        children = edges.select(*keys, F.col("child").alias("parent")).distinct()
-        kept = materialize(
-            edges.join(parents, [*keys, "child"], "left_semi").join(
-                children, [*keys, "parent"], "left_semi"
-            ),
-            "edges",
-        )
-        left = kept.count()
-        if left == size:
-            break
-        edges, size = kept, left
-    return edges
+    """The edges between nodes that are behind a cycle (or on it) and also before one."""
+    for _direction in range(2):
+        _levels, stuck = peel(edges, keys)
+        edges = stuck.select(*keys, F.col("parent").alias("child"), F.col("child").alias("parent"))
+    return materialize(edges, "edges")
 
 
 def _spread(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,7 +162,7 @@ def cycle_members(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     region is in that node's component; solved components are cut out until none is left.
     """
     keys = list(keys)
-    open_edges = _trim(materialize(edges.select(*keys, "child", "parent").distinct(), "edges"), keys)
+    open_edges = _trim(edges, keys)
     loops = open_edges.where("child = parent").select(
         *keys, F.col("child").alias("node"), F.col("child").alias("component")
     )
@@ -125,11 +174,8 @@ def cycle_members(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         found.append(solved.join(sizes.drop("n"), [*keys, "component"]).select(*keys, "node", "component"))
         gone = solved.select(*keys, "node")
         open_edges = _trim(
-            materialize(
-                open_edges.join(gone.withColumnRenamed("node", "child"), [*keys, "child"], "left_anti").join(
-                    gone.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_anti"
-                ),
-                "edges",
+            open_edges.join(gone.withColumnRenamed("node", "child"), [*keys, "child"], "left_anti").join(
+                gone.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_anti"
             ),
             keys,
         )

@@ -82,3 +82,50 @@ def test_levels_and_cycles(spark):
     assert members == {
         ("x", "p", "q"), ("x", "q", "q"), ("x", "t", "u"), ("x", "u", "u"), ("y", "z", "z"),
     }
+
+
+def _levels_by_walk(edges):
+    """(levels, stuck) of one graph, level by level."""
+    level, pending, at = {}, set(edges), 0
+    while pending:
+        at += 1
+        waiting = {child for child, _ in pending}
+        rest = {edge for edge in pending if edge[1] in waiting}
+        if rest == pending:
+            break
+        level |= {child: at for child in waiting - {c for c, _ in rest}}
+        pending = rest
+    return level, pending
+
+
+def test_levels_of_long_and_tangled_graphs(spark):
+    import random
+
+    chance = random.Random(5)
+    graphs_of = {"chain": [(f"n{i + 1}", f"n{i}") for i in range(2000)]}
+    diamonds = []
+    for i in range(60):
+        diamonds += [(f"a{i}", f"j{i}"), (f"b{i}", f"a{i}"), (f"c{i}", f"j{i}"), (f"j{i + 1}", f"b{i}"), (f"j{i + 1}", f"c{i}")]
+    graphs_of["diamonds"] = diamonds
+    graphs_of["loop behind a chain"] = [(f"n{i + 1}", f"n{i}") for i in range(30)] + [("n30", "n33"), ("n33", "n31"), ("n31", "n30"), ("z", "n5")]
+    graphs_of["self"] = [("a", "a"), ("b", "a"), ("c", "b"), ("c", "d")]
+    for k in range(8):
+        size = 12
+        graphs_of[f"tangle{k}"] = [(f"n{chance.randrange(size)}", f"n{chance.randrange(size)}") for _ in range(6 + 2 * k)]
+        pairs = (sorted(chance.sample(range(size), 2)) for _ in range(25))
+        graphs_of[f"order{k}"] = [(f"n{high}", f"n{low}") for low, high in pairs]
+    rows = [(app, child, parent) for app, edges in graphs_of.items() for child, parent in edges]
+    edges = spark.createDataFrame(rows, "app string, child string, parent string")
+    levels, stuck = graphs.peel(edges, ["app"])
+    got_levels = {(r.app, r.node): r.level for r in levels.collect()}
+    got_stuck = {(r.app, r.child, r.parent) for r in stuck.collect()}
+    want = {app: _levels_by_walk(pairs) for app, pairs in graphs_of.items()}
+    assert got_levels == {(app, node): at for app, (level, _) in want.items() for node, at in level.items()}
+    assert got_stuck == {(app, *edge) for app, (_, left) in want.items() for edge in left}
+
+
+def test_levels_of_no_edges(spark):
+    edges = spark.createDataFrame([], "app string, child string, parent string")
+    levels, stuck = graphs.peel(edges, ["app"])
+    assert levels.count() == 0 and stuck.count() == 0
+    assert graphs.cycle_members(edges, ["app"]).count() == 0
