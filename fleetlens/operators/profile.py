@@ -76,7 +76,7 @@ def equality_probes(freq: DataFrame, max_distinct: int = MAX_DISTINCT_VALUES) ->
         .select("column")
     )
     # One row per profiled column.
-    kept = freq.join(F.broadcast(small), "column")
+    kept = freq.join(small, "column")
     listed = kept.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("n", "value"))).alias("sorted")
     )
@@ -135,7 +135,7 @@ def percentile_cutoffs(freq: DataFrame) -> DataFrame:
         ),
     ).select("column", "tier", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"))
     # Six rows per profiled column.
-    hits = ranked.join(F.broadcast(wanted.distinct()), "column").where(
+    hits = ranked.join(wanted.distinct(), "column").where(
         (F.col("rank") < F.col("rank_end")) & (F.col("rank") >= F.col("rank_end") - F.col("n"))
     )
     points = hits.groupBy("column", "tier").agg(
@@ -186,7 +186,7 @@ def _recount(freq: DataFrame, tiers: DataFrame) -> DataFrame:
     )
     # Three rows per predicate.
     return (
-        freq.join(F.broadcast(tiers), "column")
+        freq.join(tiers, "column")
         .groupBy("column", "operator", "parameter_position", "method", "cutoff")
         .agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long").alias("row_count"))
     )
@@ -244,7 +244,7 @@ def realized(probes: DataFrame, totals: DataFrame, reveal: bool = False) -> Data
     shown = F.col("value") if reveal else F.lit(None).cast("string")
     # One row per table.
     return (
-        probes.join(F.broadcast(totals), "table_id")
+        probes.join(totals, "table_id")
         .withColumn("selectivity", share)
         .withColumn("value_hash", sha256_text("value"))
         .withColumn("is_redacted", F.lit(not reveal))
@@ -271,7 +271,7 @@ def realize_probes(
                 [(p.column, p.operator, p.parameter_position) for p in equal],
                 "column string, operator string, parameter_position int",
             )
-            found.append(equality_probes(freq).join(F.broadcast(wanted), "column").select(*fields))
+            found.append(equality_probes(freq).join(wanted, "column").select(*fields))
         if numeric:
             freq = materialize(
                 frequencies(df, sorted({p.column for p in numeric}), "double"), "frequencies"
