@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetlens.llm.common import text_keys
+from fleetlens.llm.common import portions, text_keys
 from fleetlens.llm.hashing import Rolling, mix
 from fleetlens.sources.scratch import materialize
 
@@ -269,7 +269,7 @@ def removed_spans(
                 )
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             out, owners = [], []
             columns = {n: batch.column(n).to_pylist() for n in ("text", "k1", "k2", "settled", "open")}
             for i, (text, k1, k2, settled, todo) in enumerate(zip(*columns.values(), strict=True)):
@@ -312,7 +312,7 @@ def removed_spans(
         return run
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             columns = [batch.column(n).to_pylist() for n in ("text", "settled", "later")]
             out = [
                 _digest(text.encode(), [(r["low"], r["high"]) for r in (now or []) + (later or [])], window, keep_text)
