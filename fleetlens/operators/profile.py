@@ -15,11 +15,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.identity import sha256_text
 from fleetlens.plans.ordering import running_total
-from fleetlens.sources.scratch import materialize
 
-# An equality predicate over more distinct values than this gets no probe; the
-# two windows in days; the three cutoff fractions.
-MAX_DISTINCT_VALUES = 10_000
+# The two windows in days; the three cutoff fractions.
 RECENT_DAYS = 7
 MONTHLY_DAYS = 30
 FRACTIONS = {"low": 0.1, "mid": 0.5, "high": 0.9}
@@ -63,66 +60,70 @@ def frequencies(df: DataFrame, columns: Sequence[str], value_type: str) -> DataF
     )
 
 
-def equality_probes(freq: DataFrame, max_distinct: int = MAX_DISTINCT_VALUES) -> DataFrame:
+def _spread(freq: DataFrame) -> DataFrame:
+    """(column, distinct_values, rare, common, median_count): one row per profiled column."""
+    return freq.groupBy("column").agg(
+        F.count("*").alias("distinct_values"),
+        F.min(F.struct("n", "value")).alias("rare"),
+        F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("common"),
+        # Counted from the top, the middle of an even number is the upper one.
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").cast("long").alias("median_count"),
+    )
+
+
+def equality_probes(freq: DataFrame, max_distinct: int | None = None) -> DataFrame:
     """Least frequent, median-frequency and most frequent value of each column.
 
-    A column with more than `max_distinct` values has no probe, so the per-column list built
-    below holds at most that many entries. Ties go to the smaller value.
+    Only extremes and a median of counts are gathered for a column, so any number of values has
+    its probe. With `max_distinct`, columns of more values have none; `unprobed_columns` names
+    them. Ties go to the smaller value.
     """
-    small = (
-        freq.groupBy("column")
-        .agg(F.count("*").alias("distinct_values"))
-        .where(F.col("distinct_values") <= max_distinct)
-        .select("column")
-    )
-    # One row per profiled column.
-    kept = freq.join(small, "column")
-    listed = kept.groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct("n", "value"))).alias("sorted")
+    spread = _spread(freq)
+    if max_distinct is not None:
+        spread = spread.where(F.col("distinct_values") <= max_distinct)
+    gap = F.abs(F.col("n") - F.col("median_count")).alias("gap")
+    nearest = (
+        freq.join(spread.select("column", "median_count"), "column")
+        .groupBy("column")
+        .agg(F.min(F.struct(gap, "n", "value")).alias("nearest"))
     )
-    middle = F.element_at("sorted", (F.floor(F.size("sorted") / 2) + 1).cast("int"))["n"]
-    nearest = F.array_min(
-        F.transform(
-            "sorted",
-            lambda e: F.struct(
-                F.abs(e["n"] - F.col("median_count")).alias("gap"),
-                e["n"].alias("n"),
-                e["value"].alias("value"),
-            ),
-        )
-    )
-    top = F.element_at("sorted", -1)["n"]
-    most = F.array_min(F.filter("sorted", lambda e: e["n"] == F.element_at("sorted", -1)["n"]))
 
-    def tier(method: str, entry: Column) -> Column:
+    def tier(method: str, entry: str, count: Column) -> Column:
         return F.struct(
-            F.lit(method).alias("method"),
-            entry["value"].alias("value"),
-            entry["n"].alias("row_count"),
+            F.lit(method).alias("method"), F.col(f"{entry}.value").alias("value"), count.alias("row_count")
         )
 
-    return listed.withColumn("median_count", middle).select(
+    return spread.join(nearest, "column").select(
         "column",
         F.inline(
             F.array(
-                tier("highly_selective", F.element_at("sorted", 1)),
-                tier("moderate_selectivity", nearest),
-                tier("most_common_value", F.when(top.isNotNull(), most)),
+                tier("highly_selective", "rare", F.col("rare.n")),
+                tier("moderate_selectivity", "nearest", F.col("nearest.n")),
+                tier("most_common_value", "common", -F.col("common.n")),
             )
         ),
     )
 
 
-def percentile_cutoffs(freq: DataFrame) -> DataFrame:
-    """(column, low, mid, high): exact interpolated 10, 50 and 90 percent points.
+def unprobed_columns(freq: DataFrame, max_distinct: int) -> DataFrame:
+    """(column, distinct_values, reason) of the columns that `equality_probes` leaves out."""
+    counted = freq.groupBy("column").agg(F.count("*").alias("distinct_values"))
+    reason = F.concat(F.col("distinct_values"), F.lit(f" distinct values, more than {max_distinct}"))
+    return counted.where(F.col("distinct_values") > max_distinct).withColumn("reason", reason)
+
 
-    Ranks come from a range-partitioned running count over the frequencies, so no column is
-    gathered into one task; at most six frequency rows per column hold the wanted ranks.
+def ranked_cutoffs(freq: DataFrame) -> DataFrame:
+    """(column, tier, cutoff, size, under, up_to): exact interpolated 10, 50 and 90 percent points.
+
+    `under` and `up_to` are the rows less than, and no more than, the cutoff. Ranks come from a
+    range-partitioned running count over the frequencies, so no column is gathered into one
+    task; at most six frequency rows per column hold the wanted ranks.
     """
     ranked = running_total(freq, ["column"], ["value"], "rank_end", weight=F.col("n"))
-    sizes = freq.groupBy("column").agg(F.sum("n").alias("size"))
+    sizes = ranked.groupBy("column").agg(F.max("rank_end").alias("size"))
     wanted = sizes.select(
         "column",
+        "size",
         F.inline(
             F.array(
                 *[
@@ -133,47 +134,61 @@ def percentile_cutoffs(freq: DataFrame) -> DataFrame:
                 ]
             )
         ),
-    ).select("column", "tier", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"))
+    ).select("column", "size", "tier", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"))
     # Six rows per profiled column.
     hits = ranked.join(wanted.distinct(), "column").where(
         (F.col("rank") < F.col("rank_end")) & (F.col("rank") >= F.col("rank_end") - F.col("n"))
     )
-    points = hits.groupBy("column", "tier").agg(
-        F.min_by("value", "rank").alias("below"),
-        F.max_by("value", "rank").alias("above"),
+    hit = F.struct("value", "n", "rank_end")
+    points = hits.groupBy("column", "size", "tier").agg(
+        F.min_by(hit, "rank").alias("below"),
+        F.max_by(hit, "rank").alias("above"),
         F.max(F.col("at") - F.floor("at")).alias("share"),
     )
-    value = F.col("below") + F.col("share") * (F.col("above") - F.col("below"))
-    return points.groupBy("column").pivot("tier", list(FRACTIONS)).agg(F.max(value))
+    below, above, cutoff = F.col("below.value"), F.col("above.value"), F.col("cutoff")
+    return (
+        points.withColumn("cutoff", below + F.col("share") * (above - below))
+        .withColumn(
+            "under",
+            F.when(cutoff > below, F.col("below.rank_end")).otherwise(F.col("below.rank_end") - F.col("below.n")),
+        )
+        .withColumn("up_to", F.when(cutoff >= above, F.col("above.rank_end")).otherwise(F.col("below.rank_end")))
+        .select("column", "tier", "cutoff", "size", "under", "up_to")
+    )
 
 
-def numeric_range_probes(
-    freq: DataFrame, cutoffs: DataFrame, predicates: Sequence[Predicate]
-) -> DataFrame:
-    """Each tier of each range predicate, re-counted with its own operator."""
-    spark = freq.sparkSession
-    wanted = spark.createDataFrame(
+def percentile_cutoffs(freq: DataFrame) -> DataFrame:
+    """(column, low, mid, high): the cutoffs of a column in one row."""
+    return ranked_cutoffs(freq).groupBy("column").pivot("tier", list(FRACTIONS)).agg(F.max("cutoff"))
+
+
+def numeric_range_probes(cutoffs: DataFrame, predicates: Sequence[Predicate]) -> DataFrame:
+    """Each tier of each range predicate with the rows its own operator takes.
+
+    `cutoffs` is `ranked_cutoffs`, whose ranks already are the counts.
+    """
+    wanted = cutoffs.sparkSession.createDataFrame(
         [(p.column, p.operator, p.parameter_position) for p in predicates],
         "column string, operator string, parameter_position int",
     )
-    ascending = F.col("operator").isin(">", ">=")
-
-    def tier(method: str, cutoff: Column) -> Column:
-        return F.struct(F.lit(method).alias("method"), cutoff.alias("cutoff"))
-
-    tiers = wanted.join(cutoffs, "column").select(
-        "column",
-        "operator",
-        "parameter_position",
-        F.inline(
-            F.array(
-                tier("highly_selective", F.when(ascending, F.col("high")).otherwise(F.col("low"))),
-                tier("moderate_selectivity", F.col("mid")),
-                tier("broad_selectivity", F.when(ascending, F.col("low")).otherwise(F.col("high"))),
-            )
-        ),
+    op, tier = F.col("operator"), F.col("tier")
+    selective = F.when(op.isin(">", ">="), "high").otherwise("low")
+    method = (
+        F.when(tier == "mid", "moderate_selectivity")
+        .when(tier == selective, "highly_selective")
+        .otherwise("broad_selectivity")
+    )
+    count = (
+        F.when(op == ">", F.col("size") - F.col("up_to"))
+        .when(op == ">=", F.col("size") - F.col("under"))
+        .when(op == "<", F.col("under"))
+        .when(op == "<=", F.col("up_to"))
+        .otherwise(0)
     )
-    return _recount(freq, tiers)
+    return wanted.join(cutoffs, "column").select(
+        "column", "operator", "parameter_position", method.alias("method"), "cutoff",
+        count.cast("long").alias("row_count"),
+    )
 
 
 def _recount(freq: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -273,10 +288,8 @@ def realize_probes(
             )
             found.append(equality_probes(freq).join(wanted, "column").select(*fields))
         if numeric:
-            freq = materialize(
-                frequencies(df, sorted({p.column for p in numeric}), "double"), "frequencies"
-            )
-            probes = numeric_range_probes(freq, percentile_cutoffs(freq), numeric)
+            freq = frequencies(df, sorted({p.column for p in numeric}), "double")
+            probes = numeric_range_probes(ranked_cutoffs(freq), numeric)
             found.append(probes.withColumn("value", F.col("cutoff").cast("string")).select(*fields))
         if moments:
             probes = timestamp_window_probes(df, moments)

@@ -9,7 +9,6 @@ from fleetlens.operators import profile
 from fleetlens.operators.profile import Predicate
 from fleetlens.registry.base import query
 from fleetlens.registry.inputs import table
-from fleetlens.sources.scratch import materialize
 
 _EQUAL = {
     "orders": ["o_orderstatus", "o_orderpriority", "o_custkey"],
@@ -35,7 +34,7 @@ def _equality_sql(name: str, column: str) -> str:
       SELECT * FROM (SELECT 'highly_selective' AS method, value, n FROM f ORDER BY n, value LIMIT 1)
       UNION ALL SELECT * FROM (SELECT 'moderate_selectivity', value, n FROM f, s ORDER BY abs(n - med), n, value LIMIT 1)
       UNION ALL SELECT * FROM (SELECT 'most_common_value', value, n FROM f ORDER BY n DESC, value LIMIT 1)
-    ) m WHERE (SELECT count(DISTINCT {column}) FROM {name}) <= 10000"""
+    ) m"""
 
 
 def _numeric_sql(p: Predicate) -> str:
@@ -92,10 +91,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p03_numeric_range_probes", sql=" UNION ALL ".join(_numeric_sql(p) for p in _NUMERIC))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [p.column for p in _NUMERIC]
-    freq = materialize(
-        profile.frequencies(table(spark, sf_dir, "lineitem"), columns, "double"), "frequencies"
-    )
-    probes = profile.numeric_range_probes(freq, profile.percentile_cutoffs(freq), _NUMERIC)
+    freq = profile.frequencies(table(spark, sf_dir, "lineitem"), columns, "double")
+    probes = profile.numeric_range_probes(profile.ranked_cutoffs(freq), _NUMERIC)
     return probes.withColumn("cutoff", F.round("cutoff", 6)).withColumn(
         "table_id", F.lit("lineitem")
     )

@@ -151,7 +151,25 @@ def test_equality_probe_median_is_the_upper_middle(spark):
         "highly_selective": ("x", 1), "moderate_selectivity": ("y", 3), "most_common_value": ("w", 9),
     }
     many = spark.range(30).select(F.col("id").cast("string").alias("c"))
-    assert profile.equality_probes(profile.frequencies(many, ["c"], "string"), 29).isEmpty()
+    freq = profile.frequencies(many, ["c"], "string")
+    assert profile.equality_probes(freq, 29).isEmpty()
+    assert profile.equality_probes(freq).count() == 3
+    assert [tuple(r) for r in profile.unprobed_columns(freq, 29).collect()] == [
+        ("c", 30, "30 distinct values, more than 29")
+    ]
+    assert profile.unprobed_columns(freq, 30).isEmpty()
+
+
+@pytest.mark.parametrize("values", [range(1, 11), range(11), [2] * 9 + [5], [7], [1, 1, 2, 3, 3, 3, 8]])
+def test_range_counts_are_those_of_the_operator(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "c double")
+    kinds = [profile.Predicate("t", "c", i, op, "numeric_range") for i, op in enumerate((">", ">=", "<", "<="))]
+    cutoffs = profile.ranked_cutoffs(profile.frequencies(df, ["c"], "double"))
+    rows = profile.numeric_range_probes(cutoffs, kinds).collect()
+    holds = {">": lambda v, c: v > c, ">=": lambda v, c: v >= c, "<": lambda v, c: v < c, "<=": lambda v, c: v <= c}
+    assert len(rows) == 12
+    for r in rows:
+        assert r.row_count == sum(holds[r.operator](v, r.cutoff) for v in values)
 
 
 def test_percentiles_interpolate(spark):
