@@ -75,7 +75,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _arriving(_stage_rows(spark, sf_dir), "pos", "stage-files", "json")
     events = stages.stage_stream(spark, path, 2)
     sinks.use_rocksdb(events)
-    return sinks.drain(stages.stage_moves(events), "stage-moves").drop("started_at")
+    return sinks.drain(stages.stage_moves(events), "stage-moves").drop("started_at", "late")
 
 
 @query(

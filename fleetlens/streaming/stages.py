@@ -16,36 +16,43 @@ from fleetlens.sources.capture import parse_capture_lines
 STAGE_SCHEMA = "run_id string, stage string, status string, pos bigint, at string, detail string"
 
 
-def stage_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stage transitions from an append-only JSON-lines folder."""
-    reader = spark.readStream.schema(STAGE_SCHEMA)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def stage_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """Stage transitions from an append-only JSON-lines folder; the files bound a batch."""
+    reader = spark.readStream.schema(STAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
 
 
-_MOVES = "run_id string, stage string, pos bigint, previous string, status string, legal boolean, started_at string"
+_MOVES = (
+    "run_id string, stage string, pos bigint, previous string, status string, legal boolean, "
+    "started_at string, late boolean"
+)
 
 
 class StageState(StatefulProcessor):
-    """Keeps the last status and the start of one (run, stage); its state is one small row."""
+    """Keeps the last status, place and start of one (run, stage); its state is one small row.
+
+    A row that arrives after rows of later places is `late`: it is passed on without a verdict
+    and leaves the state as it is, so it is never judged against a status from its future.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "status string, started_at string")
+        self._last = handle.getValueState("last", "status string, started_at string, pos bigint")
 
     def handleInputRows(  # noqa: N802
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        held = self._last.get() if self._last.exists() else None
-        previous, started = (held[0], held[1]) if held is not None else ("pending", None)
+        previous, started, seen = self._last.get() if self._last.exists() else ("pending", None, None)
         moves = []
         # One batch of one stage; a batch is bounded by the trigger's file limit.
         for row in pd.concat(list(rows)).sort_values("pos").itertuples():
+            if seen is not None and row.pos < seen:
+                moves.append((*key, row.pos, None, row.status, None, None, True))
+                continue
             started = row.at if started is None else started
             legal = row.status in STAGE_MOVES.get(previous, ())
-            moves.append((*key, row.pos, previous, row.status, legal, started))
-            previous = row.status
-        self._last.update((previous, started))
+            moves.append((*key, row.pos, previous, row.status, legal, started, False))
+            previous, seen = row.status, int(row.pos)
+        self._last.update((previous, started, seen))
         yield pd.DataFrame(moves, columns=[part.split()[0] for part in _MOVES.split(", ")])
 
     def close(self) -> None:
@@ -53,7 +60,7 @@ class StageState(StatefulProcessor):
 
 
 def stage_moves(events: DataFrame) -> DataFrame:
-    """Every transition with the status before it, as files arrive in log order."""
+    """Every transition with the status before it; rows that come too late for one are marked."""
     return events.groupBy("run_id", "stage").transformWithStateInPandas(
         statefulProcessor=StageState(), outputStructType=_MOVES, outputMode="Append", timeMode="None"
     )
