@@ -1,9 +1,15 @@
-"""Scores of documents by the difference of their cross-entropy under two n-gram models.
+"""Scores of documents by the difference of their cross-entropy under two pairs of n-gram models.
 
-Both models are trained alike: the vocabulary is the 256 byte values, the order is three, counts
-are taken over every document of the corpus (background) and over those of the target, and each
-order is smoothed with the next lower one. A table of the two models' difference has one number
-for each of the 256**3 trigrams, so the broadcast has a fixed size, 64 MiB, whatever the corpus is.
+Counts are taken over every document of the corpus (background) and over those of the target.
+
+The byte models have the 256 byte values as vocabulary and the order three; each order is smoothed
+with the next lower one. A table of the two models' difference has one number for each of the
+256**3 trigrams, so it is made on the driver and its broadcast has a fixed size, 64 MiB.
+
+The word models grow with the corpus: each word is judged behind the word before it, over one
+vocabulary of all words of all documents. Words and pairs of words are counted where their rows
+meet, and the losses go back to the documents as sums; neither model leaves the executors. Pairs
+and words that very many documents have are counted by themselves and known to every task.
 """
 
 from __future__ import annotations
@@ -12,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import texts_of
+from fleetlens.llm.common import portions, texts_of
+from fleetlens.llm.hashing import Rolling, mix, words
+from fleetlens.sources.scratch import materialize
 
 #: Weight of the next lower order, in tokens.
 PRIOR = 16.0
@@ -24,6 +32,16 @@ START = b"\n\n"
 #: Bytes of texts worked on at once.
 CHUNK = 1 << 22
 _BYTES = 256
+#: Weight of an even distribution over the vocabulary, in words.
+WORD_PRIOR = 16.0
+#: What stands before the first and behind the last word of a text, as hashes.
+_FIRST, _LAST = np.uint64(1), np.uint64(2)
+#: A word or pair in this share of the documents looked at first is counted by itself.
+COMMON = 1 / 64
+#: Documents looked at first; which ones they are changes no result.
+LOOKED_AT = 4096
+#: Different words a task gathers before it passes them on.
+HELD = 1 << 18
 
 
 def _trigrams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,24 +109,176 @@ def log_model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tri.ravel()
 
 
+def _word_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram, how often it is there, hashes of all words, number of words of each text).
+
+    Grams of a text are each word (and the start) as what stands before another, and each pair of
+    neighbours. Grams are 63-bit hashes; those of pairs are negative.
+    """
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at, hashed = words(data, Rolling(data.size + 1))
+    n_words = np.diff(np.searchsorted(at, begins))
+    some = np.flatnonzero(n_words)
+    text = np.repeat(some, n_words[some] + 1)
+    ends = np.cumsum(n_words[some])
+    before = np.insert(hashed, ends - n_words[some], _FIRST)
+    behind = np.insert(hashed, ends, _LAST)
+    single = (mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + _FIRST) >> np.uint64(1)).astype(np.int64)
+    pair = ~(mix(before * np.uint64(0x9E3779B97F4A7C15) + behind) >> np.uint64(1)).astype(np.int64)
+    text, grams = np.concatenate((text, text)), np.concatenate((single, pair))
+    order = np.lexsort((grams, text))
+    text, grams = text[order], grams[order]
+    new = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]) if grams.size else order
+    return text[new], grams[new], np.diff(np.append(new, grams.size)), hashed, n_words
+
+
+def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def vocabulary_size(docs: DataFrame) -> int:
+    """How many different words all texts have, and one more for the end of a text."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            for part in portions(batch, "text"):
+                data = np.frombuffer(b"\n".join(_texts(part)), dtype=np.uint8)
+                held = np.union1d(held, words(data, Rolling(data.size + 1))[1])
+                if held.size > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], names=["word"])
+                    held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], names=["word"])
+
+    return docs.select("text").mapInArrow(found, "word long").distinct().count() + 1
+
+
+def common_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, target, background) of the grams that very many documents have, sorted by gram.
+
+    They are chosen by a look at some documents and counted over all. A share of the documents
+    bounds how many there can be: those looked at have so many grams on the whole.
+    """
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text"):
+                grams, n = np.unique(_word_grams(_texts(part))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+
+    rows = docs.count()
+    looked = docs.select("text").sample(min(1.0, LOOKED_AT / max(rows, 1)), 3)
+    least = max(2.0, COMMON * min(rows, LOOKED_AT))
+    seen = looked.mapInArrow(present, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    chosen = np.sort(seen.where(F.col("n") >= least).select("gram").toArrow().column("gram").to_numpy())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, chosen.size), dtype=np.int64)
+        for batch in batches:
+            for part in portions(batch, "text"):
+                target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
+                text, grams, n, _, _ = _word_grams(_texts(part))
+                at, known = _places(chosen, grams)
+                for i, own in enumerate((known & target[text], known)):
+                    sums[i] += np.bincount(at[own], weights=n[own], minlength=chosen.size).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chosen), pa.array(sums[0]), pa.array(sums[1])], names=["gram", "target", "background"]
+        )
+
+    counts = docs.select("text", "target").mapInArrow(counted, "gram long, target long, background long")
+    sums = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    table = sums.toArrow().sort_by("gram")
+    return tuple(table.column(c).to_numpy() for c in ("gram", "target", "background"))
+
+
+def _places(known: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each gram in `known` (sorted), and whether it is there."""
+    if not known.size:
+        return np.zeros(grams.size, dtype=np.int64), np.zeros(grams.size, dtype=bool)
+    at = np.minimum(np.searchsorted(known, grams), known.size - 1)
+    return at, known[at] == grams
+
+
+def word_scores(docs: DataFrame) -> DataFrame:
+    """(_row, word_score): mean over a text's words and its end of target loss minus background loss.
+
+    `docs` is a written table with _row (a number), text and target; texts without a word have no
+    row here. P(word | word before) = (count of the pair + prior / vocabulary) / (count of the word
+    before + prior), so a loss is a sum of a pair's part and its first word's part, and each row of
+    a document and a gram meets the counts of that gram alone.
+    """
+    size = vocabulary_size(docs)
+    even = WORD_PRIOR / size
+    common, target, background = common_grams(docs)
+    pairs = common < 0
+    known = np.log(np.where(pairs, background + even, target + WORD_PRIOR)) - np.log(
+        np.where(pairs, target + even, background + WORD_PRIOR)
+    )
+    table = docs.sparkSession.sparkContext.broadcast((common, known))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, known = table.value
+        for batch in batches:
+            for part in portions(batch, "text"):
+                rows = part.column("_row").to_numpy()
+                sign = np.where(part.column("target").to_numpy(zero_copy_only=False).astype(bool), 1, -1)
+                text, own, n, _, n_words = _word_grams(_texts(part))
+                at, there = _places(common, own)
+                # One row for each text, with what its common grams add and its number of tokens.
+                some = np.flatnonzero(n_words)
+                sums = np.zeros(n_words.size)
+                if there.any():
+                    sums = np.bincount(text[there], weights=known[at[there]] * n[there], minlength=n_words.size)
+                rest = ~there
+                nothing = np.zeros(int(rest.sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate((rows[text[rest]], rows[some]))),
+                        pa.array(np.concatenate((own[rest], rows[some]))),
+                        pa.array(np.concatenate((sign[text[rest]] * n[rest], np.zeros(some.size, dtype=np.int64))).astype(np.int32)),
+                        pa.array(np.concatenate((nothing, sums[some]))),
+                        pa.array(np.concatenate((nothing, n_words[some] + 1)).astype(np.int32)),
+                    ],
+                    names=["_row", "gram", "n", "known", "tokens"],
+                )
+
+    rows = docs.select("_row", "text", "target").mapInArrow(grams, "_row long, gram long, n int, known double, tokens int")
+    # Rows of one gram are fewer than those of a common one; rows of n = 0 add nothing to a gram.
+    same = Window.partitionBy("gram")
+    good, every = F.sum(F.greatest("n", F.lit(0))).over(same), F.sum(F.abs("n")).over(same)
+    n = F.abs(F.col("n"))
+    loss = F.when(
+        F.col("gram") < 0, F.log(F.col("_every") + F.lit(even)) - F.log(F.col("_good") + F.lit(even))
+    ).otherwise(F.log(F.col("_good") + F.lit(WORD_PRIOR)) - F.log(F.col("_every") + F.lit(WORD_PRIOR)))
+    lost = rows.withColumn("_good", good).withColumn("_every", every).select("_row", (F.col("known") + n * loss).alias("loss"), "tokens")
+    return lost.groupBy("_row").agg((F.sum("loss") / F.sum("tokens")).alias("word_score"))
+
+
 def score_documents(
     docs: DataFrame,
     target_ids: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_tokens, score): mean over a text's bytes of target loss minus background loss.
+    """(doc_id, n_tokens, score, word_score): means of target loss minus background loss.
 
-    Low scores are like the target. `target_ids` has one column, the ids of the target documents;
+    `score` is the mean over a text's bytes, of which there are `n_tokens`, under the byte models;
+    `word_score` is that over its words and its end under the word models. Low scores are like the target. `target_ids` has one column, the ids of the target documents;
     repeated and null ids in it add nothing. Background are all documents, repeated rows each for
-    itself. A null or empty text has no tokens and a null score. With no target text all target
+    itself. A null or empty text has no tokens and a null score, a text without a word a null
+    word score. With no target text all target
     losses are those of an even distribution. An empty table gives no rows.
     """
     spark = docs.sparkSession
     chosen = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("doc_id"), F.lit(True).alias("target"))
     own = texts_of(docs, id_col, text_col)
     # Ids of the target grow with the corpus, so they are shuffled at every size.
-    marked = own.join(chosen.distinct().hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = own.join(chosen.distinct().hint("merge"), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")
+    )
+    # Written, so that the rows' numbers stay as they are.
+    marked = materialize(marked.withColumn("_row", F.monotonically_increasing_id()), "marked")
     # At most 256**3 rows, one for each trigram there can be.
     counts = count_trigrams(marked).toArrow()
     grams = counts.column("gram").to_numpy()
@@ -128,12 +298,15 @@ def score_documents(
                     losses = table.value[own_grams].astype(np.float64)
                     scores[first + some] = np.add.reduceat(losses, begins) / lengths[some]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens), pa.array(scores, mask=np.isnan(scores))],
-                names=["doc_id", "n_tokens", "score"],
+                [batch.column(0), pa.array(n_tokens), pa.array(scores, mask=np.isnan(scores)), batch.column(2)],
+                names=["doc_id", "n_tokens", "score", "_row"],
             )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(scored, f"doc_id {kind}, n_tokens long, score double")
+    by_bytes = marked.select("doc_id", "text", "_row").mapInArrow(
+        scored, f"doc_id {kind}, n_tokens long, score double, _row long"
+    )
+    return by_bytes.join(word_scores(marked), "_row", "left").select("doc_id", "n_tokens", "score", "word_score")
 
 
 def good_documents(labels: DataFrame) -> Column:
