@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosines of text segments to templates, then inheritance along paths.
 
-The vocabulary is that of the templates, a fixed list; inverse document frequencies of its words
-are counted over all documents, and a word outside of it weighs as one that no document has.
+Inverse document frequencies of all words are counted over all documents. Those of the templates'
+words, a fixed list, are known to every task; a segment that could be near enough to a template,
+whatever its other words weigh, then meets the frequencies of these in a join.
 Segments of a document are its lines, its paragraphs (lines between blank ones) and the whole
 text. A document that is a license text as a whole is a license file and speaks for its folder; a
 document without a license of its own takes that of the nearest folder above it that has one.
@@ -78,35 +79,45 @@ TEMPLATES = {
 }
 
 VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in WORDS.findall(t.lower())})
+#: Different words a task counts before it passes them on.
+HELD = 1 << 17
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
-    """In how many documents each word of the vocabulary is, and how many documents there are."""
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, int], int]:
+    """(word, n), in how many documents each word is; that of the vocabulary; number of documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, n = frozenset(VOCABULARY), Counter(), 0
+        found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"]
+            )
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n += 1
-                found.update(known.intersection(WORDS.findall((text or "").lower())))
-        rows = [("", n), *sorted(found.items())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in rows]), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"]
-        )
+                found[""] += 1
+                found.update(set(WORDS.findall((text or "").lower())))
+                if len(found) > HELD:
+                    yield rows()
+                    found.clear()
+        yield rows()
 
     sums = docs.select(F.col(f"`{text_col}`")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(sums, "words")
     # One row for each word of the vocabulary and one for all documents.
-    counts = {r["word"]: r["n"] for r in sums.collect()}
-    return counts, counts.pop("", 0)
+    known = words.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in ["", *VOCABULARY]], "word string")), "word")
+    counts = {r["word"]: r["n"] for r in known.collect()}
+    n = counts.pop("", 0)
+    return words, counts, n
 
 
 class Matcher:
-    """Cosines of segments to all templates."""
+    """Segments that can be near enough to a template, with all that the templates say of them."""
 
     def __init__(self, frequencies: dict[str, int], n: int, similarity: float) -> None:
         self.similarity = similarity
         self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in VOCABULARY}
-        self.rare = math.log(1 + n) + 1
         self.by_word: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
         for name, texts in TEMPLATES.items():
@@ -116,50 +127,84 @@ class Matcher:
                 for w, x in weights.items():
                     self.by_word.setdefault(w, []).append((len(self.names), x / norm))
                 self.names.append(name)
+        self.most = {w: max(x for _, x in own) for w, own in self.by_word.items()}
+
+    def near(self, counts: Counter) -> tuple[str, float, float, str] | None:
+        """(license, product, square of the known words' norm, other words with their counts).
 
-    def best(self, counts: Counter) -> tuple[float, str] | None:
-        """(cosine, license) of the nearest template, if near enough; ties by name."""
-        inside = outside = 0.0
+        The license is that of the nearest template, ties by name. None if even with other words
+        of the least weight, 1, no template is near enough.
+        """
+        inside = peak = 0.0
+        outside = 0
         for w, c in counts.items():
             idf = self.idf.get(w)
             if idf is None:
                 outside += c * c
             else:
                 inside += (c * idf) ** 2
-        norm = inside + outside * self.rare**2
-        # No template can come nearer than the part of the segment that the vocabulary covers.
-        if not inside or inside < self.similarity**2 * norm:
+                peak += c * idf * self.most[w]
+        least = self.similarity * math.sqrt(inside + outside) * (1 - 1e-9)
+        if not inside or peak < least:
             return None
         dots = [0.0] * len(self.names)
         for w, c in counts.items():
             for i, x in self.by_word.get(w, ()):
                 dots[i] += c * self.idf[w] * x
         top = min((-d, self.names[i]) for i, d in enumerate(dots))
-        cosine = -top[0] / math.sqrt(norm)
-        return (min(cosine, 1.0), top[1]) if cosine >= self.similarity else None
+        if -top[0] < least:
+            return None
+        others = " ".join(f"{w}:{c}" for w, c in sorted(counts.items()) if w not in self.idf)
+        return top[1], -top[0], inside, others
 
-    def scan(self, text: str) -> tuple[float, str, bool] | None:
-        """(cosine, license, whole text?) of the nearest segment; a whole text goes first."""
+    def scan(self, text: str) -> list[tuple[bool, str, float, float, str]]:
+        """(whole text?, and what `near` says) of each different segment that can be near enough."""
         whole: Counter = Counter()
         block: Counter = Counter()
-        found: list[tuple[float, str]] = []
+        found: set[tuple[bool, str, float, float, str]] = set()
         lines = 0
         for line in [*text.lower().split("\n"), ""]:
             words = WORDS.findall(line)
             if words:
                 counts = Counter(words)
-                if hit := self.best(counts):
-                    found.append(hit)
+                if hit := self.near(counts):
+                    found.add((False, *hit))
                 block.update(counts)
                 lines += 1
             elif lines:
-                if lines > 1 and (hit := self.best(block)):
-                    found.append(hit)
+                if lines > 1 and (hit := self.near(block)):
+                    found.add((False, *hit))
                 whole.update(block)
                 block, lines = Counter(), 0
-        if hit := self.best(whole):
-            return (*hit, True)
-        return (*min(found, key=lambda h: (-h[0], h[1])), False) if found else None
+        if hit := self.near(whole):
+            found.add((True, *hit))
+        return sorted(found)
+
+
+_SEGMENT = pa.struct([("whole", pa.bool_()), ("license", pa.string()), ("dot", pa.float64()), ("inside", pa.float64()), ("others", pa.string())])
+
+
+def nearest(scanned: DataFrame, words: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(_row, license, similarity, whole) of each row of `scanned` (_row, found) that has a license.
+
+    A whole text goes before its parts; then the highest cosine, then the first license.
+    """
+    segments = scanned.select("_row", F.explode("found").alias("_segment")).select("_row", "_segment.*")
+    # Each different list of other words once. Written, so that a word or list of many rows can be split.
+    lists = materialize(
+        segments.where("others <> ''").select("others").distinct()
+        .withColumn("_word", F.explode(F.split("others", " ")))
+        .select("others", F.split("_word", ":")[0].alias("word"), F.split("_word", ":")[1].cast("long").alias("_c")),
+        "lists",
+    )
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
+    norms = materialize(
+        lists.join(words, "word").groupBy("others").agg(F.sum(F.pow(F.col("_c") * idf, F.lit(2.0))).alias("outside")), "norms"
+    )
+    cosine = F.col("dot") / F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
+    near = segments.join(norms, "others", "left").withColumn("similarity", cosine).where(F.col("similarity") >= similarity)
+    order = F.struct(~F.col("whole"), -F.col("similarity"), F.col("license"))
+    return near.groupBy("_row").agg(F.min_by(F.struct("license", F.least("similarity", F.lit(1.0)).alias("similarity"), "whole"), order).alias("_best")).select("_row", "_best.*")
 
 
 def scan_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -175,29 +220,27 @@ def scan_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path}`").cast("string").alias("path"),
         F.col(f"`{text_col}`").alias("text"),
     )
-    frequencies, n = document_frequencies(own, "text")
+    words, frequencies, n = document_frequencies(own, "text")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(frequencies, n, similarity)
+        names = _SEGMENT.names
         for batch in batches:
-            hits = [matcher.scan(text) if text else None for text in batch.column(2).to_pylist()]
+            found = [[dict(zip(names, s, strict=True)) for s in matcher.scan(t)] if t else [] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([h[1] if h else None for h in hits], pa.string()),
-                    pa.array([h[0] if h else None for h in hits], pa.float64()),
-                    pa.array([("file" if h[2] else "header") if h else None for h in hits], pa.string()),
-                ],
-                names=["doc_id", "path", "license", "similarity", "origin"],
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(_SEGMENT))], names=["doc_id", "path", "found"]
             )
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    found = materialize(
-        own.mapInArrow(scanned, f"doc_id {kind}, path string, license string, similarity double, origin string"),
-        "licenses",
+    segment = "array<struct<whole:boolean,license:string,dot:double,inside:double,others:string>>"
+    # Written, so that the rows' numbers stay as they are.
+    rows = materialize(
+        own.mapInArrow(scanned, f"doc_id {kind}, path string, found {segment}").withColumn("_row", F.monotonically_increasing_id()),
+        "segments",
     )
-    return inherit(found)
+    origin = F.when(F.col("whole"), "file").when(~F.col("whole"), "header").alias("origin")
+    found = rows.join(nearest(rows, words, n, similarity), "_row", "left")
+    return inherit(materialize(found.select("doc_id", "path", "license", "similarity", origin), "licenses"))
 
 
 def inherit(found: DataFrame) -> DataFrame:
