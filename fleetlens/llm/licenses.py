@@ -4,8 +4,8 @@ Inverse document frequencies of all words are counted over all documents. Those
 words, a fixed list, are known to every task; a segment that could be near enough to a template,
 whatever its other words weigh, then meets the frequencies of these in a join.
 Segments of a document are its lines, its paragraphs (lines between blank ones) and the whole
-text. A document that is a license text as a whole is a license file and speaks for its folder; a
-document without a license of its own takes that of the nearest folder above it that has one.
+text. A document that is a notice or a license text as a whole is a license file and speaks for its
+folder; a document without a license of its own takes that of the nearest folder above it that has one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -78,7 +79,15 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in WORDS.findall(t.lower())})
+#: Whole license texts, which a whole document is held against beside the notices.
+FULL_TEXTS = {
+    name: resources.files("fleetlens.llm").joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+    for name in (
+        "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0", "ISC", "CC0-1.0", "Unlicense",
+    )
+}
+
+VOCABULARY = sorted({w for texts in [*TEMPLATES.values(), FULL_TEXTS.values()] for t in texts for w in WORDS.findall(t.lower())})
 #: Different words a task counts before it passes them on.
 HELD = 1 << 17
 
@@ -118,23 +127,27 @@ class Matcher:
     def __init__(self, frequencies: dict[str, int], n: int, similarity: float) -> None:
         self.similarity = similarity
         self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in VOCABULARY}
-        self.by_word: dict[str, list[tuple[int, float]]] = {}
-        self.names: list[str] = []
-        for name, texts in TEMPLATES.items():
-            for text in texts:
-                weights = {w: c * self.idf[w] for w, c in Counter(WORDS.findall(text.lower())).items()}
-                norm = math.sqrt(sum(x * x for x in weights.values()))
-                for w, x in weights.items():
-                    self.by_word.setdefault(w, []).append((len(self.names), x / norm))
-                self.names.append(name)
-        self.most = {w: max(x for _, x in own) for w, own in self.by_word.items()}
-
-    def near(self, counts: Counter) -> tuple[str, float, float, str] | None:
+        notices = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
+        self.notices, self.all = self.weighed(notices), self.weighed([*notices, *FULL_TEXTS.items()])
+
+    def weighed(self, templates: list[tuple[str, str]]) -> tuple[list[str], dict[str, list[tuple[int, float]]], dict[str, float]]:
+        """Names of templates, (template, share of its norm) of each word, the largest of these."""
+        by_word: dict[str, list[tuple[int, float]]] = {}
+        for i, (_, text) in enumerate(templates):
+            weights = {w: c * self.idf[w] for w, c in Counter(WORDS.findall(text.lower())).items()}
+            norm = math.sqrt(sum(x * x for x in weights.values()))
+            for w, x in weights.items():
+                by_word.setdefault(w, []).append((i, x / norm))
+        return [name for name, _ in templates], by_word, {w: max(x for _, x in own) for w, own in by_word.items()}
+
+    def near(self, counts: Counter, whole: bool = False) -> tuple[str, float, float, str] | None:
         """(license, product, square of the known words' norm, other words with their counts).
 
-        The license is that of the nearest template, ties by name. None if even with other words
-        of the least weight, 1, no template is near enough.
+        The license is that of the nearest template, ties by name; full texts are templates of
+        whole texts alone. None if even with other words of the least weight, 1, no template is
+        near enough.
         """
+        names, by_word, most = self.all if whole else self.notices
         inside = peak = 0.0
         outside = 0
         for w, c in counts.items():
@@ -143,15 +156,15 @@ class Matcher:
                 outside += c * c
             else:
                 inside += (c * idf) ** 2
-                peak += c * idf * self.most[w]
+                peak += c * idf * most.get(w, 0.0)
         least = self.similarity * math.sqrt(inside + outside) * (1 - 1e-9)
         if not inside or peak < least:
             return None
-        dots = [0.0] * len(self.names)
+        dots = [0.0] * len(names)
         for w, c in counts.items():
-            for i, x in self.by_word.get(w, ()):
+            for i, x in by_word.get(w, ()):
                 dots[i] += c * self.idf[w] * x
-        top = min((-d, self.names[i]) for i, d in enumerate(dots))
+        top = min((-d, names[i]) for i, d in enumerate(dots))
         if -top[0] < least:
             return None
         others = " ".join(f"{w}:{c}" for w, c in sorted(counts.items()) if w not in self.idf)
@@ -176,7 +189,7 @@ class Matcher:
                     found.add((False, *hit))
                 whole.update(block)
                 block, lines = Counter(), 0
-        if hit := self.near(whole):
+        if hit := self.near(whole, True):
             found.add((True, *hit))
         return sorted(found)
 
