@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for private values, by keyed Feistel permutations.
 
 A value is found by its pattern and taken only if it is valid: card numbers by their check digit,
-addresses by their octets, dates by the calendar. Its characters are permuted within their own
+addresses by their octets, dates by the calendar, phone numbers by their number of digits. Its characters are permuted within their own
 alphabets: the halves of the value take turns, and each character of one half moves on by an
 amount that a keyed hash of the other half gives. So a pseudonym has the value's format, equal
 values have equal pseudonyms in all documents, and the key leads back. Only built-in functions run.
@@ -27,11 +27,13 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-\p{L}])[A-Za-z0-9._%+\-\p{L}]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/\-]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?!(?!T[0-9])[0-9A-Za-z/\-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+1[ .\-]?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+]|[0-9][.\-])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
+    r"|\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]){5,12}"
+    r"|(?:1[ .\-])?(?:\([2-9][0-9]{2}\)[ .\-]?|[2-9][0-9]{2}[ .\-])[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
@@ -130,7 +132,8 @@ def _with_check_digit(payload: Column) -> Column:
 
 def _into(shape: Column, digits: Column) -> Column:
     """`shape` with its digits replaced in turn by `digits` (no digit of it is left over)."""
-    grouped = F.regexp_replace(digits, "(.{4})(?=.)", "$1-")
+    by_four = F.regexp_replace(digits, "(.{4})(?=.)", "$1-")
+    grouped = F.when(F.length(digits) == 15, F.regexp_replace(digits, "^(.{4})(.{6})", "$1-$2-")).otherwise(by_four)
     return (
         F.when(F.instr(shape, " ") > 0, F.replace(grouped, F.lit("-"), F.lit(" ")))
         .when(F.instr(shape, "-") > 0, grouped)
@@ -163,7 +166,7 @@ def kind_of(value: Column) -> Column:
         "secret": value.rlike("[0-9]") & value.rlike("[A-Fa-f]"),
         "date": _day(value).between(0, grid - 1),
         "ip": (octets[0] < 256) & (octets[1] < 256) & (octets[2] < 256) & (octets[3] < 256),
-        "phone": F.lit(True),
+        "phone": F.length(_digits(value)).between(8, 15),
         "ssn": (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0),
         "card": F.pmod(_luhn(_digits(value), 1), F.lit(10)) == 0,
     }
@@ -189,8 +192,10 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
     )
     # Leading zeros of an octet are dropped, so equal addresses are linked however they are written.
     ip = numbers("ip", _parts(value, "\\.", 4), [256] * 4, lambda n: F.array_join(n.cast("array<string>"), "."))
+    # A country code, or the first digit of an area, which is never 0 or 1, stays.
+    head = F.regexp_extract(value, r"^(?:\+1|\+[1-9][0-9]{0,2}(?=[ .\-(])|\+[1-9]|(?:1[ .\-])?\(?[2-9])", 0)
     phone = F.concat(
-        F.lit("+1"), permuted_text(F.substring(value, F.lit(3), F.length(value)), key, "phone", [_DIGITS], inverse)
+        head, permuted_text(F.substring(value, F.length(head) + 1, F.length(value)), key, "phone", [_DIGITS], inverse)
     )
     area, group, serial = _parts(value, "-", 3)
     ssn = numbers(
@@ -256,8 +261,11 @@ def pseudonymize_documents(docs: DataFrame, key: str, id_col: str = "doc_id", te
     """(doc_id, text, n_email, n_secret, n_date, n_ip, n_phone, n_ssn, n_card) of every document.
 
     Valid values are replaced, all else stays as it is: numbers whose check digit is wrong, octets
-    over 255, days that no calendar has or outside of 1900 to 2099. The domain of an e-mail address
-    and the country code of a phone number stay. A null text stays null with no values. Repeated
+    over 255, days that no calendar has or outside of 1900 to 2099. Not known are dates as d/m/yyyy or
+    m/d/yyyy, with names of months or two digits for the year, and phone numbers without a country code
+    other than in groups of 3, 3 and 4 digits. The domain of an e-mail address, the country code of a
+    phone number (its first digit, where nothing parts it from the rest) and the first digit of an area
+    without one stay. A null text stays null with no values. Repeated
     rows get equal results; an empty table gives no rows.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
