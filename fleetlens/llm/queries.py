@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
+    filter_audit,
     fingerprints,
     jaccard_join,
     licenses,
@@ -93,3 +94,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document's path in its tree: source, language, id.
     placed = read(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
     return licenses.scan_documents(placed, "path")
+
+
+@_query("op13_filter_audit", filter_audit.AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
