@@ -31,7 +31,7 @@ def failed_bits(text: Column) -> Column:
     words = F.array_remove(F.split(F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE)), " "), "")
 
     def tests(own: Column) -> Column:
-        n = F.size(own)
+        n = F.size(own).cast("long")
         return F.when(n < LEAST_WORDS, 1).otherwise(0) + F.when(
             100 * F.size(F.array_distinct(own)) < DISTINCT_PERCENT * n, 2
         ).otherwise(0)
@@ -41,7 +41,7 @@ def failed_bits(text: Column) -> Column:
     capitals = 100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long")
     return (
         of_words
-        + F.when(capitals > CAPITAL_PERCENT * F.length(text), 4).otherwise(0)
+        + F.when(capitals > CAPITAL_PERCENT * F.length(text).cast("long"), 4).otherwise(0)
         + F.when(text.rlike(SYMBOLS), 8).otherwise(0)
     )
 
