@@ -20,6 +20,7 @@ from fleetlens.llm import (
     quality_rules,
     sharding,
     suffix_dedup,
+    vector_codes,
 )
 from fleetlens.llm.common import read
 
@@ -96,6 +97,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(placed, "path")
 
 
+@_query("op12_vector_codes", vector_codes.CODE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @_query("op13_filter_audit", filter_audit.AUDIT_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
