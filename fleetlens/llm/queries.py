@@ -18,6 +18,7 @@ from fleetlens.llm import (
     piece_coding,
     pii,
     quality_rules,
+    secret_scan,
     sharding,
     suffix_dedup,
     vector_codes,
@@ -97,6 +98,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(placed, "path")
 
 
+@_query("op11_secret_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.find_secrets(read(spark, sf_dir, "documents")))
+
+
 @_query("op12_vector_codes", vector_codes.CODE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
