@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions import minimizers
 from fleetlens.functions.identity import SCHEMA_VERSION_PATTERN, sha256_text
 from fleetlens.plans.ordering import SEQUENCE_WIDTH, previous_row
+from fleetlens.sources.scratch import materialize
 
 SUPPORTED_MAJOR = 1
 READER_VERSION = "1.3"
@@ -269,66 +273,86 @@ def share_inventory(files: DataFrame) -> DataFrame:
     )
 
 
-_WORDS = "([A-Za-z0-9]+)"
-GRAM = 3
-
-
-def _rarest(parts: DataFrame, held: DataFrame) -> DataFrame:
-    """(key, needle_id, needle): each needle once, by its part that is in the fewest texts.
-
-    `parts` holds needle_id, needle and key, `held` the distinct keys of each text.
-    """
-    spread = held.join(parts.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("texts"))
-    rank = F.struct(F.coalesce("texts", F.lit(0).cast("long")).alias("n"), "key")
-    return (
-        parts.join(spread, "key", "left")
-        .groupBy("needle_id", "needle")
-        .agg(F.min_by("key", rank).alias("key"))
-    )
+def _needle_names(needles: DataFrame) -> DataFrame:
+    """(needle_id, needle, size, name): the names of all windows of each needle, of one length."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("needle").cast(pa.binary()).to_pylist()
+            sizes = [minimizers.size_for(len(t)) for t in texts]
+            names = [minimizers.names_of(t, s) for t, s in zip(texts, sizes, strict=True)]
+            own = pa.array(np.repeat(np.arange(len(texts)), [n.size for n in names]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("needle_id").take(own),
+                    batch.column("needle").take(own),
+                    pa.array(sizes, pa.int32()).take(own),
+                    pa.array(np.concatenate(names).view(np.int64) if names else [], pa.int64()),
+                ],
+                names=["needle_id", "needle", "size", "name"],
+            )
+
+    id_type = needles.schema["needle_id"].dataType.simpleString()
+    return needles.select("needle_id", "needle").mapInArrow(named, f"needle_id {id_type}, needle string, size int, name long")
+
+
+def _sieve(names: DataFrame) -> minimizers.Sieve:
+    """The names as a set of fixed size, put together on the executors."""
+    word = F.shiftright("name", 6).bitwiseAND(F.lit(minimizers.BITS // 64 - 1)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(name & 63L AS int))")
+    words = np.zeros(minimizers.BITS // 64, dtype=np.uint64)
+    for r in names.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
+    return minimizers.Sieve(words)
+
+
+def window_names(texts: DataFrame, sizes: list[int], sieve: minimizers.Sieve) -> DataFrame:
+    """(text_id, name) of the windows of each text that the sieve holds; texts without null."""
+    if not sizes:
+        return texts.select("text_id", F.lit(0).cast("long").alias("name")).where(F.lit(False))
+    sent = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("text").cast(pa.binary()).to_pylist()
+            low, total = 0, 0
+            for high in range(1, len(data) + 1):
+                total += len(data[high - 1])
+                if total < minimizers.SLICE and high < len(data):
+                    continue
+                ids = batch.column("text_id").slice(low, high - low)
+                for text, name in minimizers.names_in(data[low:high], sizes, sent.value):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(text)), pa.array(name.view(np.int64))], names=["text_id", "name"]
+                    )
+                low, total = high, 0
+
+    id_type = texts.schema["text_id"].dataType.simpleString()
+    return texts.select("text_id", "text").mapInArrow(named, f"text_id {id_type}, name long")
 
 
 def leak_scan(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle_id): which forbidden strings occur in which text, as plain substrings.
 
-    Texts (text_id, text) are read whole. Candidates come from equality joins for any number of
-    needles, and `contains` decides. A word with other characters on both sides inside the needle
-    must be a whole word of any text that holds the needle; of those words the one in the fewest
-    texts is the join key. A needle without an inner word goes by the one of its three-character
-    strings (itself when it is shorter) that is in the fewest texts. Null and empty needles and
-    null texts are in no result; a needle given twice counts once.
+    Texts (text_id, text) are read whole and may be looked at by any number of needles. Both sides
+    name their windows by least hashes (`minimizers`); a needle takes the longest window that fits
+    into it, and of its names the one in the fewest texts is its join key, so a phrase that every
+    text has does not become the key. A sieve of fixed size keeps texts from sending names that no
+    needle has. `contains` decides. Null and empty needles and null texts are in no result; a
+    needle given twice counts once. A repeated row of `texts` is found as often.
     """
     wanted = needles.where("needle <> ''").select("needle_id", "needle").distinct()
-    inner = F.regexp_extract_all(
-        F.regexp_replace("needle", "^[A-Za-z0-9]+|[A-Za-z0-9]+$", ""), F.lit(_WORDS), F.lit(1)
-    )
-    keyed = wanted.withColumn("words", F.array_distinct(inner))
-    by_word = keyed.select("needle_id", "needle", F.explode("words").alias("key"))
-    words = texts.select(
-        "text_id",
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(1)))).alias("key"),
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.length("needle") - GRAM + 1, F.lit(1)))
-    cuts = F.transform(starts, lambda at: F.substring("needle", at, F.lit(GRAM)))
-    by_gram = keyed.where(F.size("words") == 0).select(
-        "needle_id", "needle", F.explode(F.array_distinct(cuts)).alias("key")
-    )
-    grams = F.flatten(
-        F.array(
-            *[
-                F.regexp_extract_all("text", F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1))
-                for n in range(1, GRAM + 1)
-            ]
-        )
-    )
-    held = texts.select("text_id", F.explode(F.array_distinct(grams)).alias("key"))
-    fields = ["text_id", "needle_id", "needle"]
-    candidates = (
-        words.join(_rarest(by_word, words), "key")
-        .select(*fields)
-        .unionByName(held.join(_rarest(by_gram, held), "key").select(*fields))
-    )
+    named = materialize(_needle_names(wanted), "needle-names")
+    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())
+    given = texts.where("text IS NOT NULL")
+    held = materialize(window_names(given, sizes, _sieve(named)), "text-names")
+    spread = held.groupBy("name").agg(F.count("*").alias("texts"))
+    rank = F.struct(F.coalesce("texts", F.lit(0).cast("long")).alias("n"), "name")
+    keyed = named.join(spread, "name", "left").groupBy("needle_id", "needle").agg(F.min_by("name", rank).alias("name"))
+    # Both written, so that a name in very many texts can be split in the join.
+    candidates = held.join(materialize(keyed, "needle-keys"), "name").select("text_id", "needle_id", "needle").distinct()
     return (
-        texts.select("text_id", "text")
+        given.select("text_id", "text")
         .join(candidates, "text_id")
         .where(F.contains("text", "needle"))
         .select("text_id", "needle_id")

@@ -312,16 +312,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.leak_scan(texts, frame(spark, sf_dir, "needles"))
 
 
-@query(
-    "q12_leak_scan_by_word",
-    inputs="needles",
-    sql="SELECT doc_id AS text_id, needle_id FROM documents JOIN needles ON needle <> '' AND contains(text, needle)",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return quality.leak_scan(texts, frame(spark, sf_dir, "needles"))
-
-
 # Needles of one common beginning and without an inner word.
 define(
     "prefixed_needles",
