@@ -31,7 +31,14 @@ def _arriving(df: DataFrame, order: str, label: str, form: str) -> str:
 
 def _event_files(spark: SparkSession, sf_dir: str) -> str:
     log = frame(spark, sf_dir, "capture").select(
-        *OPERATION, "sequence", "duration_us", "query_id", "statement_class", "rowcount", "bind"
+        *OPERATION,
+        "sequence",
+        "duration_us",
+        "query_id",
+        "statement_class",
+        "rowcount",
+        "bind",
+        F.col("ts").cast("timestamp").alias("at"),
     )
     return _arriving(log, "sequence", "event-files", "json")
 
@@ -64,10 +71,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l03_stream_amplification", inputs="capture", sql=AMPLIFICATION_SQL.replace("{extra}", ""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = workload.event_stream(spark, _event_files(spark, sf_dir), 2)
+    path = _event_files(spark, sf_dir)
+    # A row of no operation, long after all others, as a log's last line: it closes what is open.
+    last = frame(spark, sf_dir, "capture").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 100 DAYS")).alias("at"))
+    last.write.mode("append").json(path)
+    events = workload.event_stream(spark, path, 2)
     sinks.use_rocksdb(events)
-    summaries = sinks.drain(workload.piece_summaries(events, 1024), "pieces", updates=True)
-    return workload.amplification(summaries.drop("epoch"))
+    return sinks.drain(workload.amplification(events, gap="40 DAYS", width=1024), "amplifications")
 
 
 @query("l04_stream_stage_state", inputs="stage_events", sql=TRANSITIONS_SQL)

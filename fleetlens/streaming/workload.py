@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,7 +15,7 @@ from fleetlens.operators.workload import MIN_REPETITIONS, OPERATION, amplificati
 
 EVENT_SCHEMA = (
     "app_id string, run_id string, node_id string, phase string, sequence bigint, duration_us bigint, "
-    "query_id string, statement_class string, rowcount bigint, bind string"
+    "query_id string, statement_class string, rowcount bigint, bind string, at timestamp"
 )
 PIECE_WIDTH = 4096
 
@@ -38,127 +39,223 @@ def operation_rollup(events: DataFrame) -> DataFrame:
     )
 
 
-_STORED = "sequence bigint, query_id string, statement_class string, rowcount bigint, bind string"
-_SUMMARY = (
-    "app_id string, run_id string, node_id string, phase string, piece bigint, version bigint, "
+_EVENT = ["sequence", "query_id", "statement_class", "rowcount", "bind"]
+_PIECE = (
+    "app_id string, run_id string, node_id string, phase string, piece bigint, opened int, "
     "query_id string, executions bigint, first_sequence bigint, low_bind string, high_bind string, "
-    "has_null_bind boolean, near_query string, near_class string, near_rowcount bigint, "
-    "last_query string, last_class string, last_rowcount bigint"
+    "has_null_bind boolean, near_query string, near_class string, near_rowcount string, "
+    "last_sequence bigint, last_query string, last_class string, last_rowcount string"
 )
+_FOUND = (
+    "app_id string, run_id string, node_id string, phase string, child_query string, repetitions bigint, "
+    "same_binds boolean, parent_query string, parent_class string, parent_rowcount string"
+)
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_names(schema), dtype=object)
+    whole = {part.split()[0]: "Int64" for part in schema.split(", ") if part.split()[1] in ("bigint", "int")}
+    return out.astype(whole)
 
 
-class PieceSummaries(StatefulProcessor):
-    """Summarizes one piece (a range of `PIECE_WIDTH` sequence numbers) of one operation.
+def _records(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    rows = pd.concat(list(frames))[columns].astype(object)
+    return list(rows.where(rows.notna(), None).itertuples(index=False, name=None))
 
-    Sequence numbers are unique in an operation, so the buffer of a piece is bounded however
-    large the operation is, and files may arrive in any order.
+
+class PieceBuffers(StatefulProcessor):
+    """Holds the events of one piece (a range of sequence numbers) of one operation while it is open.
+
+    The first events of a piece send a row `opened` = 1. A timer stands at the time of the last
+    event plus `gap`; when the watermark passes it, the piece is summarized once, with a row for
+    each query and `opened` = -1 in one of them, and all its state goes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._events = handle.getListState("events", _STORED)
+        self._handle = handle
+        self._events = handle.getListState(
+            "events", "sequence bigint, query_id string, statement_class string, rowcount string, bind string"
+        )
+        self._until = handle.getValueState("until", "until bigint")
 
     def handleInputRows(  # noqa: N802
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        fields = ["sequence", "query_id", "statement_class", "rowcount", "bind"]
-        fresh = pd.concat(list(rows))[fields].astype(object)
-        fresh = fresh.where(fresh.notna(), None)
-        self._events.appendList([tuple(r) for r in fresh.itertuples(index=False)])
+        fresh = _records(rows, [*_EVENT, "until_ms"])
+        # A filter before would be moved below the watermark, and the row would not move the clock.
+        if key[2] is None:
+            return
+        self._events.appendList([r[:-1] for r in fresh])
+        known = self._until.get()
+        until = max(r[-1] for r in fresh)
+        if known is not None and known[0] < until:
+            self._handle.deleteTimer(known[0])
+        if known is None or known[0] < until:
+            self._until.update((until,))
+            self._handle.registerTimer(until)
+        if known is None:
+            yield _table([(*key, 1, None, 0, 0, None, None, False, None, None, None, 0, None, None, None)], _PIECE)
+
+    def handleExpiredTimer(  # noqa: N802
+        self, key: Any, timerValues: Any, expiredTimerInfo: Any  # noqa: N803
+    ) -> Iterator[pd.DataFrame]:
         held = sorted((tuple(r) for r in self._events.get()), key=lambda r: r[0])
-        yield _summarize(key, held)
+        self._events.clear()
+        self._until.clear()
+        yield _table(_summary(key, held), _PIECE)
 
     def close(self) -> None:
         pass
 
 
-def _summarize(key: Any, held: list[tuple]) -> pd.DataFrame:
+def _summary(key: Any, held: list[tuple]) -> list[tuple]:
+    """Rows of a closed piece from its events in order."""
     found: dict[str, dict] = {}
     before: tuple = (None, None, None)
     for sequence, query, kind, rowcount, bind in held:
-        entry = found.setdefault(
-            query,
-            {"executions": 0, "first_sequence": sequence, "binds": set(), "near": before},
-        )
+        entry = found.setdefault(query, {"executions": 0, "first": sequence, "binds": set(), "near": before})
         entry["executions"] += 1
         entry["binds"].add(bind)
         before = (query, kind, rowcount)
     rows = []
     for query, entry in found.items():
-        binds = sorted(b for b in entry["binds"] if b is not None)
+        binds = [b for b in entry["binds"] if b is not None]
         rows.append(
-            (*key, len(held), query, entry["executions"], entry["first_sequence"])
-            + (binds[0] if binds else None, binds[-1] if binds else None, None in entry["binds"])
-            + entry["near"]
-            + before
+            (*key, 0 if rows else -1, query, entry["executions"], entry["first"])
+            + (min(binds, default=None), max(binds, default=None), None in entry["binds"])
+            + (*entry["near"], held[-1][0], *before)
         )
-    out = pd.DataFrame(rows, columns=[part.split()[0] for part in _SUMMARY.split(", ")], dtype=object)
-    whole = ("piece", "version", "executions", "first_sequence", "near_rowcount", "last_rowcount")
-    return out.astype({name: "Int64" for name in whole})
+    return rows
 
 
-def piece_summaries(events: DataFrame, width: int = PIECE_WIDTH) -> DataFrame:
-    """Stream of piece summaries; a piece is written again whenever it grows."""
-    return (
-        events.withColumn("piece", F.floor(F.col("sequence") / width))
-        .groupBy(*OPERATION, "piece")
-        .transformWithStateInPandas(
-            statefulProcessor=PieceSummaries(), outputStructType=_SUMMARY, outputMode="Update", timeMode="None"
+class Operations(StatefulProcessor):
+    """Merges the summaries of one operation's pieces, and answers when none of them is open.
+
+    What is kept is a row for each query and one for each closed piece; it goes with the answer.
+    """
+
+    def __init__(self, min_repetitions: int) -> None:
+        self._least = min_repetitions
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._open = handle.getValueState("open", "open bigint")
+        self._queries = handle.getMapState(
+            "queries",
+            "query_id string",
+            "executions bigint, first_sequence bigint, low string, high string, with_null boolean, "
+            "piece bigint, near_query string, near_class string, near_rowcount string",
+        )
+        self._lasts = handle.getMapState(
+            "lasts", "piece bigint", "sequence bigint, query_id string, statement_class string, rowcount string"
         )
-    )
 
+    def handleInputRows(  # noqa: N802
+        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
+    ) -> Iterator[pd.DataFrame]:
+        known = self._open.get()
+        still = known[0] if known is not None else 0
+        lasts: dict[int, tuple] = {}
+        for piece, opened, query, *summary, sequence, last_query, last_class, last_rowcount in _records(
+            rows, _names(_PIECE)[4:]
+        ):
+            still += opened
+            if opened == 1:
+                continue
+            self._merge(query, piece, summary)
+            lasts[piece] = (sequence, last_query, last_class, last_rowcount)
+        for piece, last in lasts.items():
+            self._lasts.updateValue((piece,), last)
+        if still:
+            self._open.update((still,))
+            return
+        answer = self._answer(key)
+        for state in (self._open, self._queries, self._lasts):
+            state.clear()
+        if answer:
+            yield _table(answer, _FOUND)
 
-def amplification(summaries: DataFrame, min_repetitions: int = MIN_REPETITIONS) -> DataFrame:
-    """Amplification from the written piece summaries; the same answer as over the whole log.
+    def _merge(self, query: str, piece: int, summary: list) -> None:
+        executions, first, low, high, with_null, *near = summary
+        if near[0] is None and self._lasts.containsKey((piece,)):
+            # The piece had been closed before and got later events since.
+            near = list(self._lasts.getValue((piece,))[1:])
+        if self._queries.containsKey((query,)):
+            n, known_first, known_low, known_high, known_null, *place = self._queries.getValue((query,))
+            executions += n
+            low = min((b for b in (low, known_low) if b is not None), default=None)
+            high = max((b for b in (high, known_high) if b is not None), default=None)
+            with_null = with_null or known_null
+            if known_first < first:
+                first, (piece, *near) = known_first, place
+        self._queries.updateValue((query,), (executions, first, low, high, with_null, piece, *near))
+
+    def _answer(self, key: Any) -> list[tuple]:
+        often = [(q[0], tuple(v)) for q, v in self._queries.iterator() if v[0] >= self._least]
+        if not often:
+            return []
+        ends = sorted((p[0], tuple(v)) for p, v in self._lasts.iterator())
+        places = [p for p, _ in ends]
+        rows = []
+        for query, (executions, _first, low, high, with_null, piece, *near) in often:
+            if near[0] is None:
+                at = bisect_left(places, piece)
+                near = ends[at - 1][1][1:] if at else near
+            if near[0] is not None:
+                rows.append((*key, query, executions, low is None or (low == high and not with_null), *near))
+        return rows
+
+    def close(self) -> None:
+        pass
 
-    The summary of a piece that has seen the most events is its current one.
+
+def amplification(
+    events: DataFrame,
+    gap: str = "10 minutes",
+    delay: str = "1 minute",
+    width: int = PIECE_WIDTH,
+    min_repetitions: int = MIN_REPETITIONS,
+) -> DataFrame:
+    """Stream of amplifications, each operation's once it is complete.
+
+    An operation is complete when the watermark (`delay` behind the latest event) lies `gap` after
+    its last event; then all of its state goes. Files may come in any order within the delay. An
+    operation is cut into pieces of `width` sequence numbers, whose events are held and summarized
+    apart, so a hot one spreads over the cluster; only a row for each query of each piece meets in
+    one place. Rows without a node_id move the clock and nothing else. Events of an operation that
+    come more than `gap` after the others are one of their own, as are their answers.
     """
-    current = summaries.join(
-        summaries.groupBy(*OPERATION, "piece").agg(F.max("version").alias("version")),
-        [*OPERATION, "piece", "version"],
-        "left_semi",
-    ).dropDuplicates([*OPERATION, "piece", "query_id"])
-    record = F.struct(
-        F.col("last_query").alias("query_id"),
-        F.col("last_class").alias("statement_class"),
-        F.col("last_rowcount").alias("rowcount"),
-    )
-    edges = (
-        current.groupBy(*OPERATION, "piece")
-        .agg(F.max(record).alias("last"))
-        .withColumn("far", F.lag("last").over(Window.partitionBy(*OPERATION).orderBy("piece")))
-        .drop("last")
+    piece = F.floor(F.coalesce("sequence", F.lit(0)) / width).alias("piece")
+    until = F.coalesce(F.unix_millis(F.col("at") + F.expr(f"INTERVAL {gap}")), F.lit(0)).alias("until_ms")
+    # A column of whole numbers with a null among them comes to pandas as one of floats.
+    whole = {
+        "sequence": F.coalesce("sequence", F.lit(0)).alias("sequence"),
+        "rowcount": F.col("rowcount").cast("string").alias("rowcount"),
+    }
+    columns = [whole.get(name, F.col(name)) for name in _EVENT]
+    pieces = (
+        events.withWatermark("at", delay)
+        .select(*OPERATION, piece, *columns, until, "at")
+        .groupBy(*OPERATION, "piece")
+        .transformWithStateInPandas(
+            statefulProcessor=PieceBuffers(), outputStructType=_PIECE, outputMode="Append", timeMode="EventTime"
+        )
     )
-    near = F.struct(
-        F.col("near_query").alias("query_id"),
-        F.col("near_class").alias("statement_class"),
-        F.col("near_rowcount").alias("rowcount"),
+    found = pieces.groupBy(*OPERATION).transformWithStateInPandas(
+        statefulProcessor=Operations(min_repetitions), outputStructType=_FOUND, outputMode="Append", timeMode="None"
     )
-    merged = (
-        current.groupBy(*OPERATION, "query_id")
-        .agg(
-            F.sum("executions").alias("repetitions"),
-            F.min("low_bind").alias("low"),
-            F.max("high_bind").alias("high"),
-            F.bool_or("has_null_bind").alias("with_null"),
-            F.min_by(F.struct("piece", near.alias("near")), "first_sequence").alias("first"),
-        )
-        .where(F.col("repetitions") >= min_repetitions)
-        .withColumn("piece", F.col("first.piece"))
+    parent = F.struct(
+        F.col("parent_query").alias("query_id"),
+        F.col("parent_class").alias("statement_class"),
+        F.col("parent_rowcount").cast("bigint").alias("rowcount"),
     )
-    same = (F.col("low") == F.col("high")) & ~F.col("with_null")
-    all_null = F.col("low").isNull()
-    parent = F.when(F.col("first.near.query_id").isNotNull(), F.col("first.near")).otherwise(F.col("far"))
-    return (
-        merged.join(edges, [*OPERATION, "piece"])
-        .withColumn("parent", parent)
-        .where("parent.query_id IS NOT NULL")
-        .select(
-            *OPERATION,
-            F.col("parent.query_id").alias("parent_query"),
-            F.col("query_id").alias("child_query"),
-            "repetitions",
-            amplification_class(
-                F.col("repetitions"), F.coalesce(all_null | same, F.lit(False)), F.col("parent")
-            ).alias("classification"),
-        )
+    return found.select(
+        *OPERATION,
+        "parent_query",
+        "child_query",
+        "repetitions",
+        amplification_class(F.col("repetitions"), F.col("same_binds"), parent).alias("classification"),
     )
