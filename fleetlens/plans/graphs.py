@@ -4,12 +4,12 @@ Edges are (keys, child, parent). Rounds are joins over written tables, driven by
 by collected rows, so memory does not depend on the size of one graph. Runs of nodes with one
 parent are followed by jumps that triple in length; what is left after each contraction is a graph
 of joints only. So rounds follow how deeply branches nest, and the logarithm of the longest run.
+Cycles are contracted to one node each, whole ones at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,29 +155,87 @@ def _spread(edges: DataFrame, keys: list[str]) -> DataFrame:
             return labels
 
 
+def _picked_cycles(edges: DataFrame, keys: list[str], turn: int, size: int) -> DataFrame:
+    """(keys, node, best): nodes on cycles of the graph in which each child keeps one parent.
+
+    Every walk along picked parents ends or runs into such a cycle. After `size` steps all that
+    still walk stand on one, and have seen its greatest node; jumps triple in length.
+    """
+    chosen = F.max_by("parent", F.struct(F.xxhash64(F.lit(turn), "parent", "child"), "parent"))
+    walks = edges.groupBy(*keys, F.col("child").alias("node")).agg(chosen.alias("at")).withColumn("best", F.col("at"))
+
+    def further(rows: DataFrame, steps: DataFrame) -> DataFrame:
+        step = steps.select(*keys, F.col("node").alias("at"), F.col("at").alias("_next"), F.col("best").alias("_best"))
+        return rows.join(step, [*keys, "at"]).select(
+            *keys, "node", F.col("_next").alias("at"), F.greatest("best", "_best").alias("best")
+        )
+
+    walks, reach = materialize(walks, "walks"), 1
+    while reach < size and not walks.isEmpty():
+        walks, reach = materialize(further(further(walks, walks), walks), "walks"), reach * 3
+    on_cycle = walks.select(*keys, F.col("at").alias("node")).distinct()
+    return materialize(walks.join(on_cycle, [*keys, "node"], "left_semi").select(*keys, "node", "best"), "cycles")
+
+
+def _renamed(rows: DataFrame, names: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """`rows` with the values of `column` replaced that `names` (keys, node, best) has."""
+    name = names.select(*keys, F.col("node").alias(column), F.col("best").alias("_best"))
+    return (
+        rows.join(name, [*keys, column], "left")
+        .withColumn(column, F.coalesce("_best", column))
+        .drop("_best")
+    )
+
+
+def _solved(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, best): components that forward and backward labels of greatest nodes settle."""
+    return materialize(_spread(edges, keys).where("up = down").select(*keys, "node", F.col("up").alias("best")), "solved")
+
+
 def cycle_members(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, component): every node on a cycle, with the greatest node of its component.
 
-    `node` ids are text. A node that both reaches and is reached by the greatest node of its
-    region is in that node's component; solved components are cut out until none is left.
+    `node` ids are text. Each round every node keeps one of its parents, or in the next round one of
+    its children; the cycles of what is kept are cycles of the graph and become one node each. So a
+    cycle of any length goes in the logarithm of its length. Where that takes away few nodes, what
+    lies before or behind all cycles is trimmed off; and where that too does little, every node being
+    on many short ways, labels spread hop by hop.
     """
     keys = list(keys)
-    open_edges = _trim(edges, keys)
-    loops = open_edges.where("child = parent").select(
-        *keys, F.col("child").alias("node"), F.col("child").alias("component")
-    )
-    found = [loops]
-    while not open_edges.isEmpty():
-        labels = _spread(open_edges, keys)
-        solved = labels.where("up = down").select(*keys, "node", F.col("up").alias("component"))
-        sizes = solved.groupBy(*keys, "component").agg(F.count("*").alias("n")).where("n > 1")
-        found.append(solved.join(sizes.drop("n"), [*keys, "component"]).select(*keys, "node", "component"))
-        gone = solved.select(*keys, "node")
-        open_edges = _trim(
-            open_edges.join(gone.withColumnRenamed("node", "child"), [*keys, "child"], "left_anti").join(
-                gone.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_anti"
-            ),
-            keys,
+    whole = materialize(edges.select(*keys, "child", "parent").distinct(), "edges")
+    loops = whole.where("child = parent").select(*keys, F.col("child").alias("node"), F.col("child").alias("component"))
+    open_edges = whole.where("child <> parent")
+    members = loops.where(F.lit(False))
+    turn = 0
+    while True:
+        nodes = open_edges.select(*keys, F.explode(F.array("child", "parent")).alias("node")).distinct()
+        sizes = nodes.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        if not sizes.n:
+            break
+        names = _picked_cycles(open_edges, keys, turn, sizes.most)
+        groups = names.select(*keys, "best").distinct()
+        if 8 * (names.count() - groups.count()) < sizes.n:
+            open_edges = _trim(open_edges, keys)
+            left = open_edges.select(*keys, "child").distinct().count()
+            # The cycles that were found are found again, unless too little goes.
+            if 8 * (sizes.n - left) >= sizes.n:
+                continue
+            names = _solved(open_edges, keys)
+            gone = names.select(*keys, "node")
+            for end in ("child", "parent"):
+                open_edges = open_edges.join(gone.withColumnRenamed("node", end), [*keys, end], "left_anti")
+        joined = names.join(names.groupBy(*keys, "best").agg(F.count("*").alias("_n")).where("_n > 1"), [*keys, "best"])
+        found = joined.select(*keys, "node", F.col("best").alias("component"))
+        known = _renamed(members, names, keys, "component")
+        members = materialize(
+            known.unionByName(found.join(members.select(*keys, "node"), [*keys, "node"], "left_anti")), "members"
+        )
+        open_edges = materialize(
+            _renamed(_renamed(open_edges, names, keys, "child"), names, keys, "parent")
+            .where("child <> parent")
+            .select(*keys, F.col("parent").alias("child"), F.col("child").alias("parent"))
+            .distinct(),
+            "edges",
         )
-    members = reduce(DataFrame.unionByName, found)
-    return members.groupBy(*keys, "node").agg(F.max("component").alias("component"))
+        turn += 1
+    return members.unionByName(loops).groupBy(*keys, "node").agg(F.max("component").alias("component"))
