@@ -1,8 +1,10 @@
 """Recorded query plans: one row per node, a fingerprint and a readable shape per document.
 
-A plan document is a small recursive JSON tree that no fixed Spark schema covers, so each is
-decoded once, inside Arrow batches, to the flat list of its nodes; what is computed of a plan are
-Spark expressions over that list. Documents are independent: no shuffle is needed.
+A plan document is a recursive JSON tree that no fixed Spark schema covers. It is parsed once to a
+VARIANT; a fold takes its levels apart, each as one array of nodes in which the children of a node
+stand together, and builds its answer from the lowest level up. All of it is one expression over one
+row: no shuffle, no Python. What does not parse that way, or is deeper than `LEVELS`, is found by
+its missing answer and decoded apart, if there is any.
 """
 
 from __future__ import annotations
@@ -10,9 +12,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from fleetlens.plans.partitions import spread
+from fleetlens.sources.scratch import materialize
+
+#: Levels of a tree that the fold looks at.
+LEVELS = 12
 
 # Plan fields that identify a plan, and diagnostic fields that do not.
 IDENTITY_FIELDS = {
@@ -40,98 +49,203 @@ COUNT_FIELDS = {
 }
 NUMBER_FIELDS = {"plan_rows": "Plan Rows", "actual_rows": "Actual Rows", "total_cost": "Total Cost"}
 
-_NODE_COLUMNS = (
-    "node int, parent int, depth int, node_type string, "
-    + ", ".join(f"{name} string" for name in IDENTITY_FIELDS)
-    + ", sort_key string, group_key string, "
+_TEXTS = {"node_type": "Node Type", **IDENTITY_FIELDS}
+#: The order in which a node's own fields are written after its children.
+_LABEL = sorted([*_TEXTS, *KEY_FIELDS])
+
+_ROW = (
+    "depth int, "
+    + ", ".join(f"{name} string" for name in [*_TEXTS, *KEY_FIELDS])
+    + ", "
     + ", ".join(f"{name} double" for name in NUMBER_FIELDS)
     + ", "
     + ", ".join(f"{name} bigint" for name in COUNT_FIELDS)
+    + ", up int"
 )
 
 
-def _root(text: str | None) -> dict | None:
+Make = Callable[[Column, Column, int], Column]
+
+
+def _fold(documents: DataFrame, text: str, kinds: dict[str, str], make: Make, name: str) -> DataFrame:
+    """`documents` with `name`: `make` of the root, given what it made of its children, in order.
+
+    Nodes come to `make` as structs of the fields `kinds`. Null where there is no plan, or one with
+    more levels; `make` gets null for the children of nodes at `LEVELS`. Every level is a column of
+    its own, named twice by the next one, so that the optimizer keeps it: put in its place, it would
+    be worked out again for every node.
+    """
+    fields = ", ".join(f"`{field}`: {kind}" for field, kind in {**kinds, "Plans": "array<variant>"}.items())
+
+    def read(node: Column) -> Column:
+        return F.try_variant_get(node, "$", f"struct<{fields}>")
+
+    none = F.array().cast("array<variant>")
+    root = read(F.try_variant_get(F.try_parse_json(F.col(text)), "$[0].Plan", "variant"))
+    df = documents.withColumn("_root", root)
+    empty = F.filter(F.array("_root"), lambda n: F.lit(False))
+    df = df.withColumn("_level0", F.when(F.col("_root")["Node Type"].isNotNull(), F.array("_root")).otherwise(empty))
+    for k in range(LEVELS):
+        kids = F.when(F.size(f"_level{k}") > 0, F.transform(f"_level{k}", lambda n: F.coalesce(n["Plans"], none)))
+        df = df.withColumn(f"_kids{k}", kids).withColumn(
+            f"_level{k + 1}", F.transform(F.when(F.col(f"_kids{k}").isNotNull(), F.flatten(f"_kids{k}")).otherwise(none), read)
+        )
+
+    last = F.col(f"_level{LEVELS}")
+    deeper = F.exists(last, lambda n: F.coalesce(F.size(n["Plans"]), F.lit(0)) > 0)
+    df = df.withColumn(f"_made{LEVELS}", F.transform(last, lambda n: make(n, F.lit(None), LEVELS)))
+    for k in range(LEVELS - 1, -1, -1):
+        df = df.withColumn(f"_made{k}", _made(make, k))
+    return df.withColumn(name, F.when(~deeper, F.get("_made0", F.lit(0))))
+
+
+def _made(make: Make, level: int) -> Column:
+    """What is made of a level's nodes, from what is made of the next one's."""
+    kids, below = F.col(f"_kids{level}"), F.col(f"_made{level + 1}")
+
+    def own(node: Column, i: Column) -> Column:
+        first = F.aggregate(F.slice(kids, F.lit(1), i), F.lit(1), lambda n, others: n + F.size(others))
+        return make(node, F.slice(below, first, F.size(F.get(kids, i))), level)
+
+    return F.when(below.isNotNull(), F.transform(f"_level{level}", own))
+
+
+def _answers(
+    documents: DataFrame,
+    keys: list[str],
+    text: str,
+    name: str,
+    kinds: dict[str, str],
+    make: Make,
+    by_hand: Callable[[list[dict]], object],
+) -> DataFrame:
+    """(keys, `name`): the fold of each document, or `by_hand` of its nodes where that is null."""
+    folded = _fold(spread(documents.select(*keys, F.col(text).alias("_text"))), "_text", kinds, make, name)
+    made = materialize(folded.select(*keys, F.when(F.col(name).isNull(), F.col("_text")).alias("_text"), name), "plans")
+    kind: DataType = made.schema[name].dataType
+    answered, rest = made.where("_text IS NULL").drop("_text"), made.where("_text IS NOT NULL")
+    if rest.isEmpty():
+        return answered
+    key_types = ", ".join(f"{k} {t}" for k, t in made.select(*keys).dtypes)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plans = (_root(value) for value in batch.column("_text").to_pylist())
+            answers = [json.dumps(by_hand(_nodes(plan))) if plan else None for plan in plans]
+            columns = [*(batch.column(k) for k in keys), pa.array(answers, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "answer"])
+
+    decoded = rest.select(*keys, "_text").mapInArrow(decode, f"{key_types}, answer string")
+    answer = F.get(F.from_json(F.concat(F.lit("["), "answer", F.lit("]")), f"array<{kind.simpleString()}>"), F.lit(0))
+    return answered.unionByName(decoded.select(*keys, answer.alias(name)))
+
+
+def _root(text: str) -> dict | None:
     try:
-        document = json.loads(text or "")
-    except ValueError:
+        document = json.loads(text)
+    except (ValueError, RecursionError):
         return None
     first = document[0] if isinstance(document, list) and document else None
-    return first.get("Plan") if isinstance(first, dict) else None
+    plan = first.get("Plan") if isinstance(first, dict) else None
+    return plan if isinstance(plan, dict) and plan.get("Node Type") is not None else None
 
 
-def _nodes(plan: dict) -> list[dict]:
-    """Nodes in pre-order with their parent position and depth.
+def _written(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
-    `last` is the position of the last node below; `label` holds what identifies the node alone.
-    """
+
+def _plain(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else _written(value)
+
+
+def _nodes(plan: dict) -> list[dict]:
+    """Rows of the nodes in pre-order, with how far up the parent stands and how many are below."""
     found: list[dict] = []
-    stack: list[tuple[dict, int | None, int]] = [(plan, None, 0)]
+    stack: list[tuple[dict, int, int]] = [(plan, -1, 0)]
     while stack:
         node, parent, depth = stack.pop()
-        own = {name: node.get(field) for name, field in IDENTITY_FIELDS.items()}
-        row = {"node": len(found), "parent": parent, "depth": depth, "node_type": node["Node Type"]} | own
-        row |= {name: json.dumps(node.get(field, [])) for name, field in KEY_FIELDS.items()}
+        row = {name: _plain(node.get(field)) for name, field in _TEXTS.items()}
+        row |= {name: _written(node.get(field) or []) for name, field in KEY_FIELDS.items()}
         row |= {name: node.get(field) for name, field in NUMBER_FIELDS.items()}
-        has = {"wal": any(k in node for k in ("WAL Records", "WAL Bytes"))}
-        has["blocks"] = any(f in node for n, f in COUNT_FIELDS.items() if n.endswith("blocks"))
+        blocks, wal = (any(f in node for f in group) for group in _COUNT_GROUPS)
         for name, field in COUNT_FIELDS.items():
-            present = has["blocks"] if name.endswith("blocks") else has["wal"]
-            row[name] = node.get(field, 0) if present else None
-        own |= {name: node.get(field) or [] for name, field in KEY_FIELDS.items()}
-        own["node_type"] = row["node_type"]
-        row["last"] = row["node"]
-        row["label"] = json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            row[name] = node.get(field, 0) if (blocks if name.endswith("blocks") else wal) else None
+        row |= {"depth": depth, "up": len(found) - parent if found else None, "below": 0}
         found.append(row)
-        children = node.get("Plans", [])
-        stack.extend((child, row["node"], depth + 1) for child in reversed(children))
-    for row in reversed(found[1:]):
-        above = found[row["parent"]]
-        above["last"] = max(above["last"], row["last"])
+        stack.extend((child, len(found) - 1, depth + 1) for child in reversed(node.get("Plans") or []))
+    for i in range(len(found) - 1, 0, -1):
+        found[i - found[i]["up"]]["below"] += found[i]["below"] + 1
     return found
 
 
-def _decoded(documents: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, nodes): the nodes of each document in pre-order, null for an unusable one."""
-    types = dict(documents.dtypes)
-    fields = _NODE_COLUMNS.replace(" ", ":").replace(",:", ",")
-    schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    schema += f", nodes array<struct<{fields},last:int,label:string>>"
+def _joined(nodes: list[dict], own: Callable[[dict, str], str], between: str) -> str:
+    """A text built from the last node to the first: `own` of a node and of its children's texts."""
+    texts: list[list[str]] = [[] for _ in nodes]
+    for i in range(len(nodes) - 1, -1, -1):
+        text = own(nodes[i], between.join(reversed(texts[i])))
+        texts[i] = []
+        if i == 0:
+            return text
+        texts[i - nodes[i]["up"]].append(text)
+    return ""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = batch[keys].copy()
-            plans = (_root(value) for value in batch[text])
-            made["nodes"] = [_nodes(plan) if plan else None for plan in plans]
-            yield made
 
-    return documents.select(*keys, text).mapInPandas(decode, schema)
+_COUNT_GROUPS = (
+    [field for name, field in COUNT_FIELDS.items() if name.endswith("blocks")],
+    ["WAL Records", "WAL Bytes"],
+)
+
+
+def _list(node: Column, field: str) -> Column:
+    """A list field; one that is missing or null is empty."""
+    return F.when(F.is_variant_null(node[field]), None).otherwise(node[field])
 
 
 def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """One row per plan node: position, parent, depth, identity and diagnostic fields."""
-    rows = _decoded(documents, keys, text).select(*keys, F.inline("nodes"))
-    return rows.drop("last", "label")
-
 
-def _written(opening: Callable[[Column], Column], closing: Callable[[Column], Column]) -> Column:
-    """What is written when a walk enters a node and when it leaves it, in the walk's order.
+    def given(node: Column, group: list[str]) -> Column:
+        out = F.lit(False)
+        for field in group:
+            out = out | node[field].isNotNull()
+        return out
+
+    def own(node: Column, level: int) -> Column:
+        columns = [F.lit(level).alias("depth")]
+        columns += [node[field].alias(name) for name, field in _TEXTS.items()]
+        columns += [F.coalesce(F.to_json(_list(node, field)), F.lit("[]")).alias(name) for name, field in KEY_FIELDS.items()]
+        columns += [node[field].alias(name) for name, field in NUMBER_FIELDS.items()]
+        blocks, wal = (given(node, group) for group in _COUNT_GROUPS)
+        for name, field in COUNT_FIELDS.items():
+            count = F.coalesce(node[field], F.lit(0).cast("bigint"))
+            columns.append(F.when(blocks if name.endswith("blocks") else wal, count).alias(name))
+        return F.struct(*columns, F.lit(None).cast("int").alias("up")).cast(f"struct<{_typed(_ROW)}>")
 
-    A node is left behind the last node below it; of nodes left at once the deepest goes first.
-    """
+    def make(node: Column, below: Column, level: int) -> Column:
+        row = F.array(own(node, level))
+        if level == LEVELS:
+            return row
+        sizes = F.transform(below, lambda rows: F.size(rows))
 
-    def entered(x: Column) -> Column:
-        return F.struct(x["node"].alias("at"), F.lit(0).alias("leaves"), F.lit(0).alias("up"), opening(x).alias("text"))
+        def placed(rows: Column, i: Column) -> Column:
+            up = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, n: a + n)
+            return F.concat(
+                F.array(F.get(rows, F.lit(0)).withField("up", up)), F.slice(rows, F.lit(2), F.size(rows) - 1)
+            )
 
-    def left(x: Column) -> Column:
-        return F.struct(x["last"].alias("at"), F.lit(1).alias("leaves"), (-x["depth"]).alias("up"), closing(x).alias("text"))
+        return F.concat(row, F.flatten(F.transform(below, placed)))
 
-    events = F.array_sort(F.concat(F.transform("nodes", entered), F.transform("nodes", left)))
-    return F.array_join(F.transform(events, lambda e: e["text"]), "")
+    kinds = dict.fromkeys(_TEXTS.values(), "string") | dict.fromkeys(KEY_FIELDS.values(), "variant")
+    kinds |= dict.fromkeys(NUMBER_FIELDS.values(), "double") | dict.fromkeys(COUNT_FIELDS.values(), "bigint")
+    rows = _answers(documents, keys, text, "rows", kinds, make, lambda nodes: nodes)
+    out = rows.select(*keys, F.posexplode("rows").alias("node", "_row")).select(*keys, "node", "_row.*")
+    parent = (F.col("node") - F.col("up")).alias("parent")
+    rest = [c for c in out.columns if c not in (*keys, "node", "up", "depth")]
+    return out.select(*keys, "node", parent, "depth", *rest)
 
 
-def _by_place(x: Column, root: str, first: str, later: str) -> Column:
-    """A text for the root, for a first child and for its later siblings."""
-    return F.when(x["parent"].isNull(), root).when(x["node"] == x["parent"] + 1, first).otherwise(later)
+def _typed(columns: str) -> str:
+    return ", ".join(part.replace(" ", ":") for part in columns.split(", "))
 
 
 def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
@@ -140,30 +254,50 @@ def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc")
     The fingerprint covers node kinds, relations, indexes, joins, directions, keys and the
     tree itself; costs, row counts and filter text play no part.
     """
-    canonical = _written(
-        lambda x: F.concat(_by_place(x, "", "", ","), F.lit('{"children":[')),
-        lambda x: F.concat(F.lit("],"), F.substring(x["label"], F.lit(2), F.length(x["label"]))),
-    )
-    return _decoded(documents, keys, text).select(
-        *keys, F.concat(F.lit("sha256:"), F.sha2(canonical, 256)).alias("plan_fingerprint")
-    )
+
+    def make(node: Column, below: Column, level: int) -> Column:
+        empty = F.parse_json(F.lit("[]"))
+        values = [
+            F.coalesce(_list(node, KEY_FIELDS[n]), empty) if n in KEY_FIELDS else node[_TEXTS[n]] for n in _LABEL
+        ]
+        label = F.to_json(F.struct(*(v.alias(n) for n, v in zip(_LABEL, values, strict=True))), {"ignoreNullFields": "false"})
+        return F.concat(F.lit('{"children":['), _texts_of(below, level, ","), F.lit("],"), F.substr(label, F.lit(2)))
+
+    def own(row: dict, below: str) -> str:
+        label = "".join(f',"{n}":{row[n] if n in KEY_FIELDS else _written(row[n])}' for n in _LABEL)
+        return f'{{"children":[{below}]{label}}}'
+
+    kinds = dict.fromkeys([*_TEXTS.values(), *KEY_FIELDS.values()], "variant")
+    canonical = _answers(documents, keys, text, "canonical", kinds, make, lambda nodes: _joined(nodes, own, ","))
+    return canonical.select(*keys, F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("plan_fingerprint"))
+
+
+def _texts_of(below: Column, level: int, between: str) -> Column:
+    return F.lit("") if level == LEVELS else F.array_join(below, between)
 
 
 def plan_shapes(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """(keys, normalized_shape): the readable form of what the fingerprint covers."""
 
-    def words(x: Column) -> Column:
+    def make(node: Column, below: Column, level: int) -> Column:
         def given(name: str) -> Column:
-            return F.nullif(x[name], F.lit(""))
+            return F.nullif(node[_TEXTS[name]], F.lit(""))
 
         place = F.coalesce(
             F.concat(F.lit("using "), given("index_name")), F.concat(F.lit("on "), given("relation_name"))
         )
         strategy = F.concat(F.lit("("), given("strategy"), F.lit(")"))
-        return F.concat_ws(" ", given("join_type"), x["node_type"], strategy, place)
-
-    shape = _written(
-        lambda x: F.concat(_by_place(x, "", " -> (", ", "), words(x)),
-        lambda x: F.when(x["last"] > x["node"], ")").otherwise(""),
-    )
-    return _decoded(documents, keys, text).select(*keys, shape.alias("normalized_shape"))
+        words = F.concat_ws(" ", given("join_type"), given("node_type"), strategy, place)
+        if level == LEVELS:
+            return words
+        inner = F.concat(F.lit(" -> ("), _texts_of(below, level, ", "), F.lit(")"))
+        return F.concat(words, F.when(F.size(below) == 0, "").otherwise(inner))
+
+    def own(row: dict, below: str) -> str:
+        place = f"using {row['index_name']}" if row["index_name"] else row["relation_name"] and f"on {row['relation_name']}"
+        strategy = row["strategy"] and f"({row['strategy']})"
+        words = " ".join(w for w in (row["join_type"], row["node_type"], strategy, place) if w)
+        return f"{words} -> ({below})" if row["below"] else words
+
+    kinds = dict.fromkeys(_TEXTS.values(), "string")
+    return _answers(documents, keys, text, "normalized_shape", kinds, make, lambda nodes: _joined(nodes, own, ", "))

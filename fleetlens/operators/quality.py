@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import minimizers
 from fleetlens.functions.identity import SCHEMA_VERSION_PATTERN, sha256_text
 from fleetlens.plans.ordering import SEQUENCE_WIDTH, previous_row
+from fleetlens.plans.partitions import spread
 from fleetlens.sources.scratch import materialize
 
 SUPPORTED_MAJOR = 1
@@ -328,7 +329,7 @@ def window_names(texts: DataFrame, sizes: list[int], sieve: minimizers.Sieve) ->
                 low, total = high, 0
 
     id_type = texts.schema["text_id"].dataType.simpleString()
-    return texts.select("text_id", "text").mapInArrow(named, f"text_id {id_type}, name long")
+    return spread(texts.select("text_id", "text")).mapInArrow(named, f"text_id {id_type}, name long")
 
 
 def leak_scan(texts: DataFrame, needles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators import measure, plan_trees
+from fleetlens.plans.partitions import spread
 from fleetlens.registry.base import query
 from fleetlens.registry.inputs import define, frame, table
 from fleetlens.sources import bench_runs
@@ -304,9 +305,8 @@ def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.struct(
         F.lit("Aggregate").alias("Node Type"), F.lit("Hashed").alias("Strategy"), F.lit(7).alias("WAL Records"), F.array(sort).alias("Plans")
     )
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.to_json(F.array(F.struct(root.alias("Plan")))).alias("doc")
-    )
+    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return keys.select("o_orderkey", F.to_json(F.array(F.struct(root.alias("Plan")))).alias("doc"))
 
 
 _SCANS = """n AS (SELECT o_orderkey, i, CAST(i * 10 AS DOUBLE) AS plan_rows, concat('part_', (o_orderkey + i) % 5) AS rel, CASE WHEN (o_orderkey + i) % 3 = 0 THEN concat('ix_', (o_orderkey + i) % 4) END AS ix

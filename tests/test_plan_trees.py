@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 
 from fleetlens.operators import plan_trees
 
@@ -34,3 +36,60 @@ def test_shapes_and_fingerprints(spark):
     prints = {r.k: r.plan_fingerprint for r in plan_trees.plan_fingerprints(df, ["k"]).collect()}
     assert len({prints[k] for k in range(5)}) == 5
     assert [prints[k] for k in (5, 6, 7)] == [None] * 3
+
+
+def test_rows_of_shallow_and_deep_plans_agree(spark):
+    rnd = random.Random(6)
+
+    def tree(depth):
+        below = [tree(depth - 1) for _ in range(rnd.choice([0, 1, 2, 3]) if depth else 0)]
+        fields = {"Relation_Name": rnd.choice([None, "t\"é\n"]), "Plan_Rows": rnd.randrange(9), "Sort_Key": rnd.choice([[], None, ["a", "b"]])}
+        return node(rnd.choice("ABC"), *below, **fields, **rnd.choice([{}, {"Shared_Hit_Blocks": 3}, {"WAL_Bytes": 5}]))
+
+    def under(plan, times):
+        for _ in range(times):
+            plan = node("Limit", plan)
+        return plan
+
+    plans = [tree(rnd.randrange(6)) for _ in range(20)]
+    docs = [(f"{k}-{times}", json.dumps([{"Plan": under(p, times)}])) for k, p in enumerate(plans) for times in (0, plan_trees.LEVELS + 1)]
+    df = spark.createDataFrame(docs, "k string, doc string")
+    found = {}
+    for r in plan_trees.flatten_plans(df, ["k"]).collect():
+        found.setdefault(r.k, []).append(r.asDict())
+    more = plan_trees.LEVELS + 1
+    for k in range(20):
+        shallow, deep = (sorted(found[f"{k}-{times}"], key=lambda r: r["node"]) for times in (0, more))
+        assert [r["node"] for r in deep] == list(range(len(shallow) + more))
+        moved = [{**r, "k": r["k"].replace(f"-{more}", "-0"), "node": r["node"] - more, "depth": r["depth"] - more} for r in deep[more:]]
+        for r in moved:
+            r["parent"] = None if r["node"] == 0 else r["parent"] - more
+        assert moved == shallow
+    shapes = {r.k: r.normalized_shape for r in plan_trees.plan_shapes(df, ["k"]).collect()}
+    prints = {r.k: r.plan_fingerprint for r in plan_trees.plan_fingerprints(df, ["k"]).collect()}
+    for k, plan in enumerate(plans):
+        assert shapes[f"{k}-{more}"] == "Limit -> (" * more + shapes[f"{k}-0"] + ")" * more
+        for times in (0, more):
+            assert prints[f"{k}-{times}"] == "sha256:" + hashlib.sha256(canonical(under(plan, times)).encode()).hexdigest()
+
+
+def canonical(plan):
+    fields = {"group_key": "Group Key", "index_name": "Index Name", "join_type": "Join Type", "node_type": "Node Type", "relation_name": "Relation Name", "scan_direction": "Scan Direction", "sort_key": "Sort Key", "strategy": "Strategy"}
+    own = [f'"{n}":' + json.dumps((plan.get(f) or []) if n.endswith("_key") else plan.get(f), separators=(",", ":"), ensure_ascii=False) for n, f in fields.items()]
+    return '{"children":[' + ",".join(map(canonical, plan["Plans"])) + "]," + ",".join(own) + "}"
+
+
+def test_no_python_where_every_plan_parses(spark, monkeypatch):
+    plans = []
+    plain = plan_trees.materialize
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(plan_trees, "materialize", seen)
+    plan = json.dumps([{"Plan": node("Result")}])
+    df = spark.range(0, 10, 1, spark.sparkContext.defaultParallelism).selectExpr("id AS k", f"concat('{plan}', '') AS doc")
+    answer = plan_trees.plan_fingerprints(df, ["k"])
+    plans.append(answer._jdf.queryExecution().executedPlan().toString())
+    assert not any("Arrow" in p or "Python" in p or "Exchange" in p for p in plans)
