@@ -22,10 +22,19 @@ FIRST_DAY, DAY_GRID = "1900-01-01", (17, 4297)
 _DIGITS, _HEX, _HEX_UPPER = "0123456789", "0123456789abcdef", "0123456789ABCDEF"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Runs of letters beyond ASCII, each permuted within itself: Latin, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, Hiragana, Katakana, Han, Hangul. Other letters become ASCII ones.
+LETTER_RUNS = [
+    (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3AC, 0x3CE), (0x400, 0x481),
+    (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA),
+    (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+
 # Every pattern starts behind a character that cannot be part of a value, so that a long run of
 # such characters is looked through once and not from each of its places.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-\p{L}])[A-Za-z0-9._%+\-\p{L}]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    # A domain has 127 labels at most; without a bound the search would go one call deeper for each.
+    "email": r"(?<![A-Za-z0-9._%+\-\p{L}\p{M}])[A-Za-z0-9._%+\-\p{L}\p{M}]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){0,125}\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?!(?!T[0-9])[0-9A-Za-z/\-]|\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
@@ -68,13 +77,33 @@ def _amount(digest: Column, place: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, first, F.lit(digits)), 16, 10).cast("long")
 
 
-def permuted_text(value: Column, key: str, kind: str, alphabets: list[str], inverse: bool = False) -> Column:
-    """`value` with each character permuted within the alphabet that has it; others stay."""
+def _letter_beyond(char: Column, amount: Column) -> Column:
+    """What stands for a letter of `LETTER_RUNS` that moves on by `amount`, or for any other letter."""
+    runs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LETTER_RUNS))
+
+    def moved(code: Column) -> Column:
+        def within(run: Column) -> Column:
+            to = run["a"] + F.pmod(code - run["a"] + amount, run["b"] - run["a"] + 1)
+            return F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE")
+
+        return F.get(F.transform(F.filter(runs, lambda run: code.between(run["a"], run["b"])), within), F.lit(0))
+
+    other = F.substring(F.lit(_LOWER), (F.pmod(amount, F.lit(26)) + 1).cast("int"), F.lit(1))
+    return F.coalesce(_let(F.ascii(char), moved), F.when(char.rlike("\\p{L}"), other).otherwise(char))
+
+
+def permuted_text(
+    value: Column, key: str, kind: str, alphabets: list[str], inverse: bool = False, beyond: bool = False
+) -> Column:
+    """`value` with each character permuted within the alphabet that has it; others stay.
+
+    With `beyond` letters that are not ASCII move too, within their run of letters.
+    """
 
     def move(half: Column, other: Column, turn: int, sign: int, _side: int) -> Column:
         def with_digest(digest: Column) -> Column:
             def step(char: Column, i: Column) -> Column:
-                out = char
+                out = _letter_beyond(char, sign * _amount(digest, i, 4)) if beyond else char
                 for letters in alphabets:
                     at = F.instr(F.lit(letters), char)
                     to = F.pmod(at - 1 + sign * _amount(digest, i, 4), F.lit(len(letters))) + 1
@@ -184,9 +213,11 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
 
     at = F.instr(value, "@")
     local = F.substring(value, F.lit(1), at - 1)
-    email = F.concat(
-        permuted_text(local, key, "email", [_DIGITS, _LOWER, _UPPER], inverse), F.substring(value, at, F.length(value))
-    )
+    ascii_parts = [_DIGITS, _LOWER, _UPPER]
+    hidden = F.when(
+        local.rlike("[^\\x00-\\x7F]"), permuted_text(local, key, "email", ascii_parts, inverse, beyond=True)
+    ).otherwise(permuted_text(local, key, "email", ascii_parts, inverse))
+    email = F.concat(hidden, F.substring(value, at, F.length(value)))
     letters = F.when(value.rlike("[a-f]"), permuted_text(value, key, "secret", [_HEX], inverse)).otherwise(
         permuted_text(value, key, "secret", [_HEX_UPPER], inverse)
     )
@@ -263,7 +294,9 @@ def pseudonymize_documents(docs: DataFrame, key: str, id_col: str = "doc_id", te
     Valid values are replaced, all else stays as it is: numbers whose check digit is wrong, octets
     over 255, days that no calendar has or outside of 1900 to 2099. Not known are dates as d/m/yyyy or
     m/d/yyyy, with names of months or two digits for the year, and phone numbers without a country code
-    other than in groups of 3, 3 and 4 digits. The domain of an e-mail address, the country code of a
+    other than in groups of 3, 3 and 4 digits; nor are IPv6 addresses and IBANs. Letters of an e-mail
+    address beyond `LETTER_RUNS` become ASCII ones, and such an address is not led back by the key; its
+    combining marks stay. A domain of over 127 labels is none. The domain of an e-mail address, the country code of a
     phone number (its first digit, where nothing parts it from the rest) and the first digit of an area
     without one stay. A null text stays null with no values. Repeated
     rows get equal results; an empty table gives no rows.

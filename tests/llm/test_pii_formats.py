@@ -39,3 +39,29 @@ def test_equal_numbers_have_equal_pseudonyms(spark):
 
 def test_what_is_no_value_stays(spark):
     assert [r.text for r in run(spark, LEFT)] == LEFT
+
+
+def _pseudonyms(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in pii.pseudonymize_documents(docs, "k").collect()}
+
+
+def test_addresses_of_very_many_labels(spark):
+    texts = ["x@" + "a." * n + "com" for n in (1, 120, 2000, 200_000)] + ["x@" + "com." * 200_000 + "com", "a@b.com.1 c@d.org.x2"]
+    got = _pseudonyms(spark, texts)
+    assert [got[i].n_email for i in range(6)] == [1, 1, 0, 0, 1, 2]
+    assert got[2].text == texts[2] and got[0].text[0] != "x" and got[0].text[1:] == texts[0][1:]
+
+
+def test_no_letter_of_a_local_part_stays_by_rule(spark):
+    locals_ = ["李明", "jürgen", "иван", "αθηνά", "ju\u0308rgen", "𠮷野", "ñandú", "김철수", "משה", "Zoë.Å"]
+    got = _pseudonyms(spark, [f"see {x}@example.com now" for x in locals_])
+    for i, name in enumerate(locals_):
+        new = got[i].text.removeprefix("see ").removesuffix("@example.com now")
+        assert got[i].n_email == 1 and len(new) == len(name) and new != name
+        same = [a for a, b in zip(name, new) if a == b and a.isalpha()]
+        assert len(same) <= 1
+    docs = spark.createDataFrame([(0, "李明@example.com jürgen@example.com иван@x.org")], "doc_id long, text string")
+    there = pii.with_pseudonyms(docs, "k").drop("_kinds")
+    back = pii.with_pseudonyms(there, "k", inverse=True).first().text
+    assert there.first().text != back == "李明@example.com jürgen@example.com иван@x.org"
