@@ -10,6 +10,7 @@ length, which bounds their number by `capacity` at any size of the data.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,29 +26,43 @@ from fleetlens.sources.scratch import materialize
 CAPACITY = 2048
 #: Fixed value: how byte-level vocabularies part a text before their merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+PIECES = "piece int, start long, length long, ids_crc32 long, part int, place long"
+
+
+#: A run of so much white space is too deep for the faster library's search.
+_LONG_RUN = re.compile(r"\s{10000}")
 
 
 def encoder(vocabulary: bytes):
     """A function text to token ids (uint32) for a byte-level vocabulary file of `tokenizers`.
 
-    Ids of such a file follow the order of its merges, so they serve as the ranks of the
-    faster library; texts that look like special tokens are ordinary texts.
+    Ids of such a file follow the order of its merges, so they serve as the ranks of a faster
+    library, which gives the same ids for all but two kinds of texts: those that hold one of the
+    file's added tokens, which is one id, and those with a very long run of white space. These go to
+    `tokenizers` itself.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain}
     shown.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)})
     model = json.loads(vocabulary)
-    special = {token["content"] for token in model["added_tokens"]}
+    added = [token["content"] for token in model["added_tokens"]]
     ranks = {
-        bytes(shown[c] for c in token): rank
-        for token, rank in model["model"]["vocab"].items()
-        if token not in special
+        bytes(shown[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in added
     }
-    coding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(coding.encode_ordinary(text), dtype=np.uint32)
+    fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    whole: list[Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        if not any(token in text for token in added) and not _LONG_RUN.search(text):
+            return np.asarray(fast.encode_ordinary(text), dtype=np.uint32)
+        if not whole:
+            whole.append(Tokenizer.from_str(vocabulary.decode()))
+        return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    return encode
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -71,7 +86,8 @@ def token_pieces(
     with open(tokenizer_path, "rb") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     # `ids` comes last, so that a caller who leaves it out gets the other columns alone.
-    schema = PIECES + (", ids binary" if with_ids else "")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, {PIECES}" + (", ids binary" if with_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary.value), TaskContext.get().partitionId()
@@ -87,7 +103,7 @@ def token_pieces(
                     rows.append((*row, own) if with_ids else row)
                     seen[end - start] += 1
             columns = list(zip(*rows, strict=True)) if rows else [()] * (8 if with_ids else 7)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", "ids"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)]
@@ -189,7 +205,8 @@ def pack_documents(
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and `ids` on demand, as
     little-endian bytes, for writing out the sequences). A null or empty text is its end id
-    alone. Repeated rows are packed each on their own; an empty table gives no rows.
+    alone. Repeated rows are packed each on their own; an empty table gives no rows. Ids keep
+    their type.
     """
     spark = docs.sparkSession
     found = token_pieces(texts_of(docs, id_col, text_col), tokenizer_path, capacity, end_id, with_ids)

@@ -20,7 +20,6 @@ def reference():
     from tokenizers import Tokenizer
 
     coding = Tokenizer.from_file(PATH)
-    coding.encode_special_tokens = True
     return lambda text: coding.encode(text or "", add_special_tokens=False).ids
 
 
@@ -51,6 +50,7 @@ def check(rows, docs, reference, capacity):
 def test_small_table(spark, reference):
     rnd = random.Random(1)
     texts = [None, "", "a", "same text", "same text", "é😀 <|endoftext|>", "word " * 3000]
+    texts += ["a <|endoftext|> b<|endoftext|>", "<|endoftext|>" * 70, "\u3000" * 30_000 + " x", " \n" * 9000]
     texts += [" ".join(rnd.choice("lorem ipsum dolor".split()) for _ in range(rnd.randrange(60))) for _ in range(90)]
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     rows = packing.pack_documents(docs, PATH, capacity=64).collect()
@@ -98,3 +98,10 @@ def test_query(spark, sf_dir, reference):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     bins, tokens = check(queries.op1(spark, sf_dir).collect(), docs, reference, 2048)
     assert bins <= tokens / 2048 * 1.05 + 1
+
+
+def test_very_long_runs(spark, reference):
+    texts = [" " * 2_000_000 + "x", "\n" * 1_200_000, "ab" * 200_000]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    rows = packing.pack_documents(docs, PATH).collect()
+    check(rows, {f"d{i}": t for i, t in enumerate(texts)}, reference, packing.CAPACITY)
