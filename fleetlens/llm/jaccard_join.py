@@ -1,8 +1,9 @@
 """Near-duplicate documents: Jaccard similarity of word shingles, found by a MinHash LSH forest.
 
-Each text has a signature for each tree; a tree sorts texts by their signature as a trie does, and
-texts that share a prefix meet. The prefix starts at its full depth and is shortened until the
-chance that a pair right at the threshold meets in some tree reaches the target recall. Meeting is
+Each text has a signature for each tree, and texts that share a prefix of it meet. The prefix starts
+at its full depth and is shortened, by the formula alone and before any row is read, until the chance
+that a pair right at the threshold meets in some tree reaches the target recall; so all texts have
+prefixes of one length, as in banding, and no trie is walked up for single texts. Meeting is
 kept as a star around the least text of a prefix, not as pairs; the stars' connected components
 hold all texts that can be similar. Inside a component every pair is verified by exact
 intersection, in blocks, and only counts and links of a spanning forest leave a block.
@@ -112,10 +113,11 @@ def linked_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(k1, k2, n, first_id, class_id, links): each different text with a word, once.
+    """(k1, k2, n, first_id, class_id, component, links): each different text with a word, once.
 
     `n` counts its documents and `first_id` is their least id; `links` counts the documents of
-    other texts that are similar to it; `class_id` is the least id in its connected component.
+    other texts that are similar to it; `class_id` is the least id in its connected component, and
+    `component` names that by its texts, so that classes of equal or of null ids stay apart.
     """
     depth = prefix_depth(similarity, trees, depth, recall)
     keyed = docs.select(
@@ -202,10 +204,13 @@ def linked_texts(
     named = texts.withColumn("node", node("k1", "k2"))
     members = classes.join(named, "node")
     least = members.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    in_class = members.join(least, "component").join(links, ["k1", "k2"]).select("k1", "k2", "class_id", "links")
+    in_class = members.join(least, "component").join(links, ["k1", "k2"]).select(
+        "k1", "k2", "class_id", "component", "links"
+    )
     return texts.join(in_class, ["k1", "k2"], "left").select(
         "k1", "k2", "n", "first_id",
         F.coalesce("class_id", "first_id").alias("class_id"),
+        F.coalesce("component", node("k1", "k2")).alias("component"),
         F.coalesce("links", F.lit(0)).alias("links"),
     )
 
@@ -243,8 +248,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = keyed.where("_words").groupBy("k1", "k2").agg(F.min_by("_row", first).alias("_row"))
     texts = linked_texts(docs, id_col=id_col, text_col=text_col, **options)
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("k1"), F.col("k2"))
-    # A class has one least id; equal ids of different texts in it are told apart by their keys.
-    linked = texts.where("links > 0").groupBy("class_id").agg(F.min(order).alias("_least"))
+    # Equal ids of different texts in a class are told apart by their keys.
+    linked = texts.where("links > 0").groupBy("component").agg(F.min(order).alias("_least"))
     kept = texts.where("links = 0").select("k1", "k2").unionAll(linked.select("_least.k1", "_least.k2"))
     return (
         copies.join(kept, ["k1", "k2"], "left_semi")

@@ -114,3 +114,12 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = Counter(tuple(r) for r in queries.op9(spark, sf_dir).collect())
     assert got == brute([(r.doc_id, r.text) for r in docs])
+
+
+@pytest.mark.parametrize("ids", [(None, None, None, None), (1, 2, 1, 2)])
+def test_classes_of_equal_ids_stay_apart(spark, ids):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    texts = [one, one + " end", two, two + " end"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    kept = [r.text[0] for r in jaccard_join.one_of_each(docs).collect()]
+    assert sorted(kept) == ["a", "b"]
