@@ -85,9 +85,11 @@ def file_inventory(
     """(app_id, path, size, reason): reason is null for files taken in.
 
     Files are taken in path order while the app's total stays within `max_total`; one that does
-    not fit is skipped and later smaller ones may still be taken. Each round takes everything
-    up to the first file that does not fit, then goes on with what still could fit behind it,
-    so an app's files are never walked one by one.
+    not fit is skipped and later smaller ones may still be taken. What is left of the budget lies
+    between a power of two and its double: every file below that power fits, of those from it on at
+    most one can be taken, and either way the rest falls below the power in the end. One running total
+    of the small files tells where, so the rounds are as many as the budget has binary digits,
+    however many files are skipped.
     """
     reason = F.coalesce(
         exclusion_reason("path", work_folders),
@@ -101,21 +103,27 @@ def file_inventory(
         "app_id", "path", "size", F.lit(max_total).cast("long").alias("budget")
     )
     taken: list[DataFrame] = []
+    power = F.expr("shiftleft(1L, length(bin(greatest(budget, 1L))) - 1)")
     while not candidates.isEmpty():
-        totals = materialize(
-            running_total(candidates, ["app_id"], ["path"], "total", weight=F.col("size")), "totals"
+        parted = candidates.withColumn("power", power).withColumn(
+            "small", F.when(F.col("size") < F.col("power"), F.col("size")).otherwise(0)
         )
-        first = totals.groupBy("app_id").agg(
-            F.min(F.when(F.col("total") > F.col("budget"), F.col("path"))).alias("stop")
+        totals = materialize(running_total(parted, ["app_id"], ["path"], "total", weight=F.col("small")), "totals")
+        is_small = F.col("size") < F.col("power")
+        # A small file always fits; a larger one takes the rest below the power, as small ones do in the end.
+        ends = F.when(is_small, F.col("total") > F.greatest(F.col("budget") - F.col("power"), F.lit(0))).otherwise(
+            F.col("size") <= F.col("budget") - F.col("total")
         )
-        marked = totals.join(first, "app_id")
-        fits = marked.where(F.col("stop").isNull() | (F.col("path") < F.col("stop")))
+        first = totals.where(ends).groupBy("app_id").agg(F.min("path").alias("stop"))
+        marked = totals.join(first, "app_id", "left")
+        last = F.col("path") == F.col("stop")
+        fits = marked.where((is_small & (F.col("stop").isNull() | (F.col("path") <= F.col("stop")))) | last)
         taken.append(fits.select("app_id", "path"))
-        spent = fits.groupBy("app_id").agg(F.max("total").alias("spent"))
+        spent = marked.where(last).select("app_id", (F.col("total") + F.when(is_small, 0).otherwise(F.col("size"))).alias("spent"))
         candidates = materialize(
             marked.where(F.col("path") > F.col("stop"))
-            .join(spent, "app_id", "left")
-            .withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0).cast("long")))
+            .join(spent, "app_id")
+            .withColumn("budget", F.col("budget") - F.col("spent"))
             .where(F.col("size") <= F.col("budget"))
             .select("app_id", "path", "size", "budget"),
             "candidates",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,40 @@ def test_capture_folder(spark, tmp_path):
     assert malformed.first().malformed_lines == 2
 
 
+def _taken(sizes, budget):
+    left, out = budget, set()
+    for path, size in sorted(sizes.items()):
+        if size <= left:
+            left -= size
+            out.add(path)
+    return out
+
+
+def test_file_inventory_takes_few_rounds(spark, monkeypatch):
+    calls, plain = [], files.materialize
+
+    def counted(df, label):
+        calls.append(label)
+        return plain(df, label)
+
+    monkeypatch.setattr(files, "materialize", counted)
+    rnd = random.Random(2)
+    apps = {f"r{k}": {f"p{i:03}": rnd.choice([0, 1, 2, 3, 5, 8, 40, 90]) for i in range(60)} for k in range(12)}
+    # Every second file is a byte too large for what is left.
+    apps["misfits"], left = {}, 1_000_000
+    for i in range(0, 10_000, 2):
+        apps["misfits"] |= {f"p{i:05}": 50 + i % 7, f"p{i + 1:05}": left - 49 - i % 7}
+        left -= 50 + i % 7
+    rows = [(app, path, size) for app, sizes in apps.items() for path, size in sizes.items()]
+    df = spark.createDataFrame(rows, "app_id string, path string, size long")
+    for app, budget in (("misfits", 1_000_000), ("r", 100)):
+        calls.clear()
+        got = files.file_inventory(df.where(F.col("app_id").startswith(app)), max_file=10**7, max_total=budget).collect()
+        taken = {(r.app_id, r.path) for r in got if r.reason is None}
+        assert taken == {(a, p) for a, sizes in apps.items() if a.startswith(app) for p in _taken(sizes, budget)}
+        assert calls.count("totals") <= 28
+
+
 def test_file_inventory_skips_and_goes_on(spark):
     rows = [("a", "1.py", 60), ("a", "2.py", 50), ("a", "3.py", 30), ("a", "4.py", 20), ("a", "5.py", 10), ("b", ".git/x", 1), ("b", ".env", 1), ("b", "m.pyc", 1)]
     df = spark.createDataFrame(rows, "app_id string, path string, size bigint")
