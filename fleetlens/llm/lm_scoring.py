@@ -1,15 +1,15 @@
-"""Scores of documents by the difference of their cross-entropy under two pairs of n-gram models.
-
-Counts are taken over every document of the corpus (background) and over those of the target.
-
-The byte models have the 256 byte values as vocabulary and the order three; each order is smoothed
-with the next lower one. A table of the two models' difference has one number for each of the
-256**3 trigrams, so it is made on the driver and its broadcast has a fixed size, 64 MiB.
-
-The word models grow with the corpus: each word is judged behind the word before it, over one
-vocabulary of all words of all documents. Words and pairs of words are counted where their rows
-meet, and the losses go back to the documents as sums; neither model leaves the executors. Pairs
-and words that very many documents have are counted by themselves and known to every task.
+"""Scores of documents by the difference of their cross-entropy under two matched word models.
+
+Each word is judged behind the word before it, over one vocabulary of all words of all documents;
+the target model counts the target's documents, the background model all. What is counted, words and
+pairs of words, grows with the corpus and stays on the executors.
+
+Documents are dealt into batches of some megabytes. A batch sends each of its grams once, with how
+often target and other documents of it have the gram, as sorted runs of differences; a bucket of grams
+adds up what all batches sent and answers each with the corpus's counts in the same order, so no gram
+travels back. The batch, read again from the shuffle that dealt the documents, finds its grams in the
+same order and sums the losses of each document. A gram that very many documents have is one
+number of each batch like any other.
 """
 
 from __future__ import annotations
@@ -18,123 +18,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import portions, texts_of
 from fleetlens.llm.hashing import Rolling, mix, words
-from fleetlens.sources.scratch import materialize
-
-#: Weight of the next lower order, in tokens.
-PRIOR = 16.0
-#: What stands before the first byte of a text: two line ends.
-START = b"\n\n"
-#: Bytes of texts worked on at once.
-CHUNK = 1 << 22
-_BYTES = 256
+
 #: Weight of an even distribution over the vocabulary, in words.
 WORD_PRIOR = 16.0
-#: What stands before the first and behind the last word of a text, as hashes.
-_FIRST, _LAST = np.uint64(1), np.uint64(2)
-#: A word or pair in this share of the documents looked at first is counted by itself.
-COMMON = 1 / 64
-#: Documents looked at first; which ones they are changes no result.
-LOOKED_AT = 4096
+#: Bytes of text of a batch, and so of text whose grams a bucket holds at first sight.
+BATCH = 1 << 23
+#: Bits of a gram's name; the lowest one tells pairs from words.
+BITS = 56
 #: Different words a task gathers before it passes them on.
 HELD = 1 << 18
+#: What stands before the first and behind the last word of a text, as hashes.
+_FIRST, _LAST = np.uint64(1), np.uint64(2)
+
 
+def _texts(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
-def _trigrams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Lists of texts in turn: number of the first, trigram of each byte, length of each text."""
+
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram) of every gram in turn, and the number of tokens of each text.
+
+    Grams are each word (and the start) as what stands before another, and each pair of neighbours;
+    tokens are a text's words and its end. A text without a word has neither.
+    """
+    texts_at, grams, tokens = [], [], np.zeros(len(texts), dtype=np.int64)
     first = 0
     while first < len(texts):
         last, size = first + 1, len(texts[first])
-        while last < len(texts) and size + len(texts[last]) <= CHUNK:
+        while last < len(texts) and size + len(texts[last]) <= 1 << 20:
             size += len(texts[last])
             last += 1
-        part = texts[first:last]
-        data = np.frombuffer(START + START.join(part), dtype=np.uint8).astype(np.uint32)
-        grams = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
-        lengths = np.array([len(t) for t in part])
-        begins = np.cumsum([0, *(lengths + len(START))])[:-1]
-        places = np.repeat(begins - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-        yield first, grams[places + np.arange(lengths.sum())], lengths
+        data = np.frombuffer(b"\n".join(texts[first:last]), dtype=np.uint8)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[first:last])])
+        at, hashed = words(data, Rolling(data.size + 1))
+        n_words = np.diff(np.searchsorted(at, begins))
+        some = np.flatnonzero(n_words)
+        tokens[first + some] = n_words[some] + 1
+        text = np.repeat(first + some, n_words[some] + 1).astype(np.int32)
+        ends = np.cumsum(n_words[some])
+        before = np.insert(hashed, ends - n_words[some], _FIRST)
+        behind = np.insert(hashed, ends, _LAST)
+        single = mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + _FIRST) >> np.uint64(64 - BITS)
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + behind) >> np.uint64(64 - BITS)
+        texts_at += [text, text]
+        grams += [single & ~np.uint64(1), pair | np.uint64(1)]
         first = last
+    if not grams:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64), tokens
+    return np.concatenate(texts_at), np.concatenate(grams), tokens
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(gram, target, background): how often each trigram is in target texts and in all texts.
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by their bytes' places, as many as the largest needs: zeros stand together."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
 
-    `docs` has text and a boolean target. Each task sums up what it has read, so a shuffle gets at
-    most one row for each trigram and task.
-    """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.empty(0, dtype=np.uint32), np.empty((2, 0), dtype=np.int64)
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, own, lengths in _trigrams(batch.column(0).cast(pa.binary()).to_pylist()):
-                inside = np.repeat(target[first : first + lengths.size], lengths)
-                parts = [np.unique(own[inside], return_counts=True), np.unique(own[~inside], return_counts=True)]
-                merged = np.concatenate((grams, parts[0][0], parts[1][0]))
-                zeros = [np.zeros(p[0].size, dtype=np.int64) for p in parts]
-                sums = np.concatenate((counts, [parts[0][1], parts[0][1]], [zeros[1], parts[1][1]]), axis=1)
-                grams, at = np.unique(merged, return_inverse=True)
-                counts = np.stack([np.bincount(at, weights=s, minlength=grams.size) for s in sums]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(grams.astype(np.int32)), pa.array(counts[0]), pa.array(counts[1])],
-            names=["gram", "target", "background"],
-        )
-
-    found = docs.select("text", "target").mapInArrow(counted, "gram int, target long, background long")
-    return found.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def log_model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Natural logarithm of P(byte | two bytes before), one float for each trigram."""
-    tri = np.zeros(_BYTES**3, dtype=np.float32)
-    tri[grams] = counts
-    tri = tri.reshape(_BYTES * _BYTES, _BYTES)
-    total = np.zeros(_BYTES**3)
-    total[grams] = counts
-    two = total.reshape(_BYTES, _BYTES, _BYTES).sum(axis=0)
-    contexts = total.reshape(_BYTES * _BYTES, _BYTES).sum(axis=1)
-    del total
-    one = two.sum(axis=0)
-    first = (one + PRIOR / _BYTES) / (one.sum() + PRIOR)
-    second = (two + PRIOR * first) / (two.sum(axis=1, keepdims=True) + PRIOR)
-    for low in range(0, _BYTES * _BYTES, _BYTES):
-        rows = slice(low, low + _BYTES)
-        tri[rows] = np.log((tri[rows] + PRIOR * second) / (contexts[rows, None] + PRIOR))
-    return tri.ravel()
-
-
-def _word_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, gram, how often it is there, hashes of all words, number of words of each text).
-
-    Grams of a text are each word (and the start) as what stands before another, and each pair of
-    neighbours. Grams are 63-bit hashes; those of pairs are negative.
-    """
-    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    at, hashed = words(data, Rolling(data.size + 1))
-    n_words = np.diff(np.searchsorted(at, begins))
-    some = np.flatnonzero(n_words)
-    text = np.repeat(some, n_words[some] + 1)
-    ends = np.cumsum(n_words[some])
-    before = np.insert(hashed, ends - n_words[some], _FIRST)
-    behind = np.insert(hashed, ends, _LAST)
-    single = (mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + _FIRST) >> np.uint64(1)).astype(np.int64)
-    pair = ~(mix(before * np.uint64(0x9E3779B97F4A7C15) + behind) >> np.uint64(1)).astype(np.int64)
-    text, grams = np.concatenate((text, text)), np.concatenate((single, pair))
-    order = np.lexsort((grams, text))
-    text, grams = text[order], grams[order]
-    new = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]) if grams.size else order
-    return text[new], grams[new], np.diff(np.append(new, grams.size)), hashed, n_words
-
-
-def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def vocabulary_size(docs: DataFrame) -> int:
@@ -154,105 +105,76 @@ def vocabulary_size(docs: DataFrame) -> int:
     return docs.select("text").mapInArrow(found, "word long").distinct().count() + 1
 
 
-def common_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, target, background) of the grams that very many documents have, sorted by gram.
-
-    They are chosen by a look at some documents and counted over all. A share of the documents
-    bounds how many there can be: those looked at have so many grams on the whole.
-    """
+def _cuts(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket, an even share of all names, begins in sorted grams."""
+    bounds = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(BITS - buckets.bit_length() + 1)
+    return np.searchsorted(grams, bounds)
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in portions(batch, "text"):
-                grams, n = np.unique(_word_grams(_texts(part))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
 
-    rows = docs.count()
-    looked = docs.select("text").sample(min(1.0, LOOKED_AT / max(rows, 1)), 3)
-    least = max(2.0, COMMON * min(rows, LOOKED_AT))
-    seen = looked.mapInArrow(present, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    chosen = np.sort(seen.where(F.col("n") >= least).select("gram").toArrow().column("gram").to_numpy())
+def counted_grams(dealt: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, grams, target, background): each batch's grams with its own counts.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, chosen.size), dtype=np.int64)
-        for batch in batches:
-            for part in portions(batch, "text"):
-                target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                text, grams, n, _, _ = _word_grams(_texts(part))
-                at, known = _places(chosen, grams)
-                for i, own in enumerate((known & target[text], known)):
-                    sums[i] += np.bincount(at[own], weights=n[own], minlength=chosen.size).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chosen), pa.array(sums[0]), pa.array(sums[1])], names=["gram", "target", "background"]
-        )
-
-    counts = docs.select("text", "target").mapInArrow(counted, "gram long, target long, background long")
-    sums = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = sums.toArrow().sort_by("gram")
-    return tuple(table.column(c).to_numpy() for c in ("gram", "target", "background"))
-
-
-def _places(known: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each gram in `known` (sorted), and whether it is there."""
-    if not known.size:
-        return np.zeros(grams.size, dtype=np.int64), np.zeros(grams.size, dtype=bool)
-    at = np.minimum(np.searchsorted(known, grams), known.size - 1)
-    return at, known[at] == grams
-
-
-def word_scores(docs: DataFrame) -> DataFrame:
-    """(_row, word_score): mean over a text's words and its end of target loss minus background loss.
-
-    `docs` is a written table with _row (a number), text and target; texts without a word have no
-    row here. P(word | word before) = (count of the pair + prior / vocabulary) / (count of the word
-    before + prior), so a loss is a sum of a pair's part and its first word's part, and each row of
-    a document and a gram meets the counts of that gram alone.
+    `dealt` has batch, doc_id and text, `target` batch and the ids in it. Grams are sorted and sent
+    as differences.
     """
-    size = vocabulary_size(docs)
-    even = WORD_PRIOR / size
-    common, target, background = common_grams(docs)
-    pairs = common < 0
-    known = np.log(np.where(pairs, background + even, target + WORD_PRIOR)) - np.log(
-        np.where(pairs, target + even, background + WORD_PRIOR)
+
+    def counted(docs: pa.Table, chosen: pa.Table) -> pa.Table:
+        names = ["batch", "bucket", "grams", "target", "background"]
+        rows: list[tuple] = []
+        if docs.num_rows:
+            ids = chosen.column("doc_id").combine_chunks()
+            inside = pc.is_in(docs.column("doc_id"), value_set=ids, skip_nulls=True).to_numpy(zero_copy_only=False)
+            text, own, _tokens = _grams(_texts(docs))
+            grams, every = np.unique(own, return_counts=True)
+            good = np.zeros(grams.size, dtype=np.int64)
+            held, n = np.unique(own[inside[text].astype(bool)], return_counts=True)
+            good[np.searchsorted(grams, held)] = n
+            cuts = _cuts(grams, buckets)
+            steps = np.diff(grams, prepend=np.uint64(0))
+            for bucket in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[bucket], cuts[bucket + 1])
+                # The first gram of a bucket stands by itself.
+                from_first = np.concatenate((grams[part][:1], steps[part][1:]))
+                number = docs.column("batch")[0].as_py()
+                rows.append((number, int(bucket), packed(from_first), packed(good[part]), packed(every[part])))
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table({k: pa.array([r[i] for r in rows], kinds[i]) for i, k in enumerate(names)})
+
+    return (
+        dealt.groupBy("batch")
+        .cogroup(target.groupBy("batch"))
+        .applyInArrow(counted, "batch long, bucket int, grams binary, target binary, background binary")
     )
-    table = docs.sparkSession.sparkContext.broadcast((common, known))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = table.value
-        for batch in batches:
-            for part in portions(batch, "text"):
-                rows = part.column("_row").to_numpy()
-                sign = np.where(part.column("target").to_numpy(zero_copy_only=False).astype(bool), 1, -1)
-                text, own, n, _, n_words = _word_grams(_texts(part))
-                at, there = _places(common, own)
-                # One row for each text, with what its common grams add and its number of tokens.
-                some = np.flatnonzero(n_words)
-                sums = np.zeros(n_words.size)
-                if there.any():
-                    sums = np.bincount(text[there], weights=known[at[there]] * n[there], minlength=n_words.size)
-                rest = ~there
-                nothing = np.zeros(int(rest.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((rows[text[rest]], rows[some]))),
-                        pa.array(np.concatenate((own[rest], rows[some]))),
-                        pa.array(np.concatenate((sign[text[rest]] * n[rest], np.zeros(some.size, dtype=np.int64))).astype(np.int32)),
-                        pa.array(np.concatenate((nothing, sums[some]))),
-                        pa.array(np.concatenate((nothing, n_words[some] + 1)).astype(np.int32)),
-                    ],
-                    names=["_row", "gram", "n", "known", "tokens"],
-                )
-
-    rows = docs.select("_row", "text", "target").mapInArrow(grams, "_row long, gram long, n int, known double, tokens int")
-    # Rows of one gram are fewer than those of a common one; rows of n = 0 add nothing to a gram.
-    same = Window.partitionBy("gram")
-    good, every = F.sum(F.greatest("n", F.lit(0))).over(same), F.sum(F.abs("n")).over(same)
-    n = F.abs(F.col("n"))
-    loss = F.when(
-        F.col("gram") < 0, F.log(F.col("_every") + F.lit(even)) - F.log(F.col("_good") + F.lit(even))
-    ).otherwise(F.log(F.col("_good") + F.lit(WORD_PRIOR)) - F.log(F.col("_every") + F.lit(WORD_PRIOR)))
-    lost = rows.withColumn("_good", good).withColumn("_every", every).select("_row", (F.col("known") + n * loss).alias("loss"), "tokens")
-    return lost.groupBy("_row").agg((F.sum("loss") / F.sum("tokens")).alias("word_score"))
+
+def summed_grams(counted: DataFrame) -> DataFrame:
+    """(batch, bucket, target, background): for each batch's grams the counts of all batches."""
+
+    def summed(group: pa.Table) -> pa.Table:
+        own = [np.cumsum(unpacked(b), dtype=np.uint64) for b in group.column("grams").to_pylist()]
+        grams, at = np.unique(np.concatenate(own), return_inverse=True)
+        ends = np.cumsum([x.size for x in own])
+        out = {"batch": group.column("batch"), "bucket": group.column("bucket")}
+        for name in ("target", "background"):
+            counts = np.concatenate([unpacked(b) for b in group.column(name).to_pylist()])
+            sums = np.zeros(grams.size, dtype=np.uint64)
+            np.add.at(sums, at, counts)
+            out[name] = pa.array([packed(x) for x in np.split(sums[at], ends[:-1])], pa.binary())
+        return pa.table(out)
+
+    return counted.groupBy("bucket").applyInArrow(summed, "batch long, bucket int, target binary, background binary")
+
+
+def _losses(grams: np.ndarray, target: np.ndarray, background: np.ndarray, size: int) -> np.ndarray:
+    """What one occurrence of each gram adds to target loss minus background loss.
+
+    P(word | word before) = (count of the pair + prior / vocabulary) / (count of the word before +
+    prior), so a loss is a sum of a pair's part and its first word's part.
+    """
+    pairs = (grams & np.uint64(1)) == 1
+    more = np.where(pairs, WORD_PRIOR / size, WORD_PRIOR)
+    apart = np.log(background + more) - np.log(target + more)
+    return np.where(pairs, apart, -apart)
 
 
 def score_documents(
@@ -260,53 +182,55 @@ def score_documents(
     target_ids: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    batch_bytes: int = BATCH,
 ) -> DataFrame:
-    """(doc_id, n_tokens, score, word_score): means of target loss minus background loss.
-
-    `score` is the mean over a text's bytes, of which there are `n_tokens`, under the byte models;
-    `word_score` is that over its words and its end under the word models. Low scores are like the target. `target_ids` has one column, the ids of the target documents;
-    repeated and null ids in it add nothing. Background are all documents, repeated rows each for
-    itself. A null or empty text has no tokens and a null score, a text without a word a null
-    word score. With no target text all target
-    losses are those of an even distribution. An empty table gives no rows.
+    """(doc_id, n_tokens, score): mean over a text's tokens of target loss minus background loss.
+
+    Tokens are a text's words and its end. Low scores are like the target. `target_ids` has one
+    column, the ids of the target documents; repeated and null ids in it add nothing. Background
+    are all documents, repeated rows each for itself. A text without a word, a null or empty one
+    too, has no tokens and a null score. With no target text all target losses are those of an even
+    distribution. An empty table gives no rows. Ids keep their type. Grams are named by 56-bit
+    hashes. Rows of one id come to one batch.
     """
-    spark = docs.sparkSession
-    chosen = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("doc_id"), F.lit(True).alias("target"))
     own = texts_of(docs, id_col, text_col)
-    # Ids of the target grow with the corpus, so they are shuffled at every size.
-    marked = own.join(chosen.distinct().hint("merge"), "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")
-    )
-    # Written, so that the rows' numbers stay as they are.
-    marked = materialize(marked.withColumn("_row", F.monotonically_increasing_id()), "marked")
-    # At most 256**3 rows, one for each trigram there can be.
-    counts = count_trigrams(marked).toArrow()
-    grams = counts.column("gram").to_numpy()
-    difference = log_model(grams, counts.column("background").to_numpy())
-    difference -= log_model(grams, counts.column("target").to_numpy())
-    table = spark.sparkContext.broadcast(difference)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_tokens = np.zeros(batch.num_rows, dtype=np.int64)
-            scores = np.full(batch.num_rows, np.nan)
-            for first, own_grams, lengths in _trigrams(batch.column(1).cast(pa.binary()).to_pylist()):
-                some = np.flatnonzero(lengths)
-                n_tokens[first : first + lengths.size] = lengths
-                if some.size:
-                    begins = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
-                    losses = table.value[own_grams].astype(np.float64)
-                    scores[first + some] = np.add.reduceat(losses, begins) / lengths[some]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens), pa.array(scores, mask=np.isnan(scores)), batch.column(2)],
-                names=["doc_id", "n_tokens", "score", "_row"],
+    total = own.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    batches = max(1, -(-total // batch_bytes))
+    buckets = 1 << (batches - 1).bit_length()
+    size = vocabulary_size(own)
+
+    def batch(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(batches)).cast("long").alias("batch")
+
+    place = F.when(F.col("doc_id").isNotNull(), batch(F.col("doc_id"))).otherwise(batch(F.col("text")))
+    dealt = own.select(place.alias("batch"), "doc_id", "text")
+    chosen = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    kind = own.schema["doc_id"].dataType
+    chosen = chosen.select(F.col("doc_id").cast(kind).alias("doc_id"))
+    target = chosen.select(batch(F.col("doc_id")), "doc_id")
+    counts = summed_grams(counted_grams(dealt, target, buckets))
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        text, own_grams, tokens = _grams(_texts(docs))
+        scores = np.zeros(tokens.size)
+        if own_grams.size:
+            grams, at = np.unique(own_grams, return_inverse=True)
+            order = np.argsort(answers.column("bucket").to_numpy())
+            good, every = (
+                np.concatenate([unpacked(answers.column(c)[int(i)].as_py()) for i in order]).astype(np.float64)
+                for c in ("target", "background")
             )
-
-    kind = own.schema["doc_id"].dataType.simpleString()
-    by_bytes = marked.select("doc_id", "text", "_row").mapInArrow(
-        scored, f"doc_id {kind}, n_tokens long, score double, _row long"
+            losses = _losses(grams, good, every, size)
+            scores = np.bincount(text, weights=losses[at], minlength=tokens.size) / np.maximum(tokens, 1)
+        return pa.table({
+            "doc_id": docs.column("doc_id"), "n_tokens": pa.array(tokens), "score": pa.array(scores, mask=tokens == 0),
+        })
+
+    return (
+        dealt.groupBy("batch")
+        .cogroup(counts.groupBy("batch"))
+        .applyInArrow(scored, f"doc_id {kind.simpleString()}, n_tokens long, score double")
     )
-    return by_bytes.join(word_scores(marked), "_row", "left").select("doc_id", "n_tokens", "score", "word_score")
 
 
 def good_documents(labels: DataFrame) -> Column:
