@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import minimizers
 from fleetlens.functions.identity import SCHEMA_VERSION_PATTERN, sha256_text
+from fleetlens.plans import tries
 from fleetlens.plans.ordering import SEQUENCE_WIDTH, previous_row
 from fleetlens.plans.partitions import spread
 from fleetlens.sources.scratch import materialize
@@ -228,23 +229,32 @@ def stage_cache_key() -> Column:
     return sha256_text(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}))
 
 
+_FILE_ROW = ("path", "content_hash")
+
+
 def file_set_digest(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, digest): one hash over all (path, content_hash) rows of a key, in no order.
 
-    Row hashes are added up in four lanes, so any number of files combines before the shuffle.
+    It is the root of a trie of row hashes (`plans.tries`), so that sets can also be compared.
     """
-    row = F.sha2(F.to_json(F.array("path", "content_hash")), 256)
-    lanes = [
-        F.sum(F.conv(F.substring("_row", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_lane{i}")
-        for i in range(4)
-    ]
-    text = F.concat_ws(":", F.col("_n"), *[F.col(f"_lane{i}").cast("string") for i in range(4)])
-    return (
-        files.withColumn("_row", row)
-        .groupBy(*keys)
-        .agg(F.count("*").alias("_n"), *lanes)
-        .select(*keys, sha256_text(text).alias("digest"))
+    roots = tries.root_digests(files, keys, F.to_json(F.array(*_FILE_ROW)))
+    return roots.select(*keys, F.concat(F.lit("sha256:"), "digest").alias("digest"))
+
+
+def file_set_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, change) of files that two snapshots do not share: added, removed or changed.
+
+    Only files in differing leaves of the two tries are compared.
+    """
+    _leaves, old, new = tries.differing_rows(before, after, keys, F.to_json(F.array(*_FILE_ROW)))
+    sides = old.select(*keys, *_FILE_ROW, F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(
+        new.select(*keys, *_FILE_ROW, F.lit(0).alias("old"), F.lit(1).alias("new"))
+    )
+    unlike = sides.groupBy(*keys, *_FILE_ROW).agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where("old <> new")
+    change = (
+        F.when(F.sum("old") == 0, "added").when(F.sum("new") == 0, "removed").otherwise("changed").alias("change")
     )
+    return unlike.groupBy(*keys, "path").agg(change)
 
 
 def cache_hits(artifacts: DataFrame, current: DataFrame, wanted: int = 2) -> DataFrame:

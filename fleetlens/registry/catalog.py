@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.identity import finding_identity
 from fleetlens.operators import candidates, reconcile, rules, schema_graph, treatment, workload
 from fleetlens.registry.base import query
-from fleetlens.registry.inputs import define, frame
+from fleetlens.registry.inputs import define, frame, trie_sql
 from fleetlens.registry.workload import captured, captured_queries
 
 define(
@@ -320,11 +320,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "k11_graph_identity",
     inputs=_ALL_INPUTS,
-    sql=f"""WITH {_MERGED}, {_EDGES}, d AS (SELECT app_id, sha256(concat('{{"_row":"edge","edge_id":"', replace(edge_id, '"', '\\"'), '","kind":"', kind, '","label":', CASE WHEN label IS NULL THEN 'null' ELSE concat('"', label, '"') END,
+    sql=f"""WITH {_MERGED}, {_EDGES}, r AS (SELECT app_id, sha256(concat('{{"_row":"edge","edge_id":"', replace(edge_id, '"', '\\"'), '","kind":"', kind, '","label":', CASE WHEN label IS NULL THEN 'null' ELSE concat('"', label, '"') END,
       ',"source":"', source, '","target":"', target, '"}}')) AS g FROM ed
-      UNION ALL SELECT app_id, sha256(concat('{{"_row":"node","kind":"table","node_id":"table:', table_id, '"}}')) FROM mt)
-    SELECT app_id, concat('sha256:', sha256(concat(count(*), ':', sum(CAST(CAST(concat('0x', substr(g, 1, 15)) AS BIGINT) AS HUGEINT)), ':', sum(CAST(CAST(concat('0x', substr(g, 16, 15)) AS BIGINT) AS HUGEINT)),
-      ':', sum(CAST(CAST(concat('0x', substr(g, 31, 15)) AS BIGINT) AS HUGEINT)), ':', sum(CAST(CAST(concat('0x', substr(g, 46, 15)) AS BIGINT) AS HUGEINT))))) AS identity FROM d GROUP BY 1""",
+      UNION ALL SELECT app_id, sha256(concat('{{"_row":"node","kind":"table","node_id":"table:', table_id, '"}}')) FROM mt), {trie_sql("app_id")}
+    SELECT app_id, concat('sha256:', x) AS identity FROM trie0""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)

@@ -110,3 +110,18 @@ SELECT concat('app-', user_id % 10) AS app_id, 'run-1' AS run_id, event_id AS se
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM {events}) e
 """,
 )
+
+
+def trie_sql(keys: str, levels: int = 5) -> str:
+    """CTEs that take hashes g of rows r (`keys`, g) to their trie; trie0 holds the root's digest x."""
+    parts = [
+        f"trie_rows AS (SELECT {keys}, g, count(*) AS c FROM r GROUP BY ALL)",
+        f"trie_depths AS (SELECT {keys}, length(to_hex(count(*) - 1)) - 1 AS d FROM trie_rows GROUP BY ALL)",
+    ]
+    for at in range(levels, -1, -1):
+        leaf = f"""SELECT {keys}, substr(g, 1, {at}) AS p, sha256(string_agg(concat(g, ':', c), ',' ORDER BY g)) AS x
+          FROM trie_rows JOIN trie_depths USING ({keys}) WHERE d = {at} GROUP BY {keys}, substr(g, 1, {at})"""
+        inner = f"""SELECT {keys}, substr(p, 1, {at}) AS p, sha256(string_agg(concat(p[{at + 1}], ':', x), ',' ORDER BY p)) AS x
+          FROM trie{at + 1} GROUP BY {keys}, substr(p, 1, {at})"""
+        parts.append(f"trie{at} AS ({leaf}{f' UNION ALL {inner}' if at < levels else ''})")
+    return ", ".join(parts)

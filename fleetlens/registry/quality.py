@@ -10,7 +10,7 @@ from fleetlens.operators import quality
 from fleetlens.operators.quality import FieldRule
 from fleetlens.registry.base import query
 from fleetlens.registry.catalog import findings
-from fleetlens.registry.inputs import define, frame, table
+from fleetlens.registry.inputs import define, frame, table, trie_sql
 from fleetlens.sources import artifacts as artifact_source
 from fleetlens.sources import catalog as catalog_source
 from fleetlens.sources import files as file_source
@@ -239,21 +239,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("doc_id", quality.stage_cache_key().alias("cache_key"))
 
 
-_LANE = "CAST(CAST(concat('0x', substr(g, {0}, 15)) AS BIGINT) AS HUGEINT)"
-
-
 @query(
     "q09_file_set_digest",
-    sql=f"""WITH r AS (SELECT lang AS app_id, sha256(concat('["doc_', doc_id, '","sha256:', sha256(text), '"]')) AS g FROM documents)
-    SELECT app_id, concat('sha256:', sha256(concat(count(*), ':', sum({_LANE.format(1)}), ':', sum({_LANE.format(16)}), ':', sum({_LANE.format(31)}), ':', sum({_LANE.format(46)})))) AS digest FROM r GROUP BY 1""",
+    sql=f"""WITH r AS (SELECT lang AS app_id, sha256(concat('["doc_', doc_id, '","sha256:', sha256(text), '"]')) AS g FROM documents), {trie_sql("app_id")}
+    SELECT app_id, concat('sha256:', x) AS digest FROM trie0""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("app_id"),
-        F.concat(F.lit("doc_"), "doc_id").alias("path"),
-        F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"),
+    return quality.file_set_digest(_files_of(spark, sf_dir, "checkout_files"), ["app_id"])
+
+
+def _files_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return frame(spark, sf_dir, name).select(
+        "app_id", "path", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash")
     )
-    return quality.file_set_digest(files, ["app_id"])
+
+
+define("checkout_files", "SELECT lang AS app_id, concat('doc_', doc_id) AS path, text FROM {documents}")
+# The next snapshot: some files are gone, some have another text, some are new.
+define(
+    "later_files",
+    """
+SELECT lang AS app_id, concat('doc_', doc_id) AS path, CASE WHEN doc_id % 89 = 1 THEN concat(text, '!') ELSE text END AS text FROM {documents} WHERE doc_id % 97 > 0
+UNION ALL SELECT lang, concat('new_', doc_id), text FROM {documents} WHERE doc_id % 83 = 2
+""",
+)
+
+
+@query(
+    "q09_file_set_changes",
+    inputs="checkout_files later_files",
+    sql="""SELECT app_id, path, CASE WHEN o.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM checkout_files o FULL JOIN later_files n USING (app_id, path) WHERE o.text IS DISTINCT FROM n.text""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = (_files_of(spark, sf_dir, name) for name in ("checkout_files", "later_files"))
+    return quality.file_set_changes(before, after, ["app_id"])
 
 
 define(
