@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import secret_tags
 from fleetlens.llm.common import portions, texts_of
+from fleetlens.sources.scratch import materialize
 
 #: Texts to learn from, at most, of those with and of those without a pattern's match: the ones of
 #: least hash, each different text once.
@@ -124,6 +125,8 @@ def learn_model(texts: DataFrame, sample: int = SAMPLE) -> secret_tags.Model:
     """
     hashed = texts.select("text", F.xxhash64("text").alias("key"))
     marked = hashed.select("key", F.col("text").rlike(_ANY).alias("held")).groupBy("key").agg(F.max("held").alias("held"))
+    # Written, as it is read for both halves of the sample.
+    marked = materialize(marked, "marked")
     # Mixed again, since a limit of least keys would follow how the table is laid out.
     order = F.xxhash64(F.lit(11), "key")
     taken = [r.key for held in (True, False) for r in marked.where(F.col("held") == held).orderBy(order, "key").limit(sample).collect()]
