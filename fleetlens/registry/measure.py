@@ -151,9 +151,8 @@ _BLOCKS = "blk AS (SELECT DISTINCT b, case_id, run FROM bench_samples), ok AS (S
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "bench-runs")
-    # One document per file is the source's layout: the block id becomes the folder.
-    bench_documents(spark, sf_dir).repartition(8).write.partitionBy("b").text(path)
-    runs, _problems = bench_runs.read_bench_runs(spark, f"{path}/*/*.txt")
+    bench_runs.write_bench_sequences(bench_documents(spark, sf_dir), path)
+    runs, _problems = bench_runs.read_bench_runs(spark, path, sequences=True)
     # Positions inside an arm are dense; a short arm starts at its own first slot.
     samples = bench_runs.long_samples(runs)
     return samples

@@ -1,4 +1,4 @@
-"""Raw measurement documents: one JSON run per file."""
+"""Raw measurement documents: one JSON run per file, or many in files of JSON text sequences."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ RUN_SCHEMA = (
     "client map<string,string>, host map<string,string>, session_settings array<string>, "
     f"arms map<string,{ARM}>"
 )
+#: Ends a document of a JSON text sequence (RFC 7464); JSON text never holds it unescaped.
+SEPARATOR = "\x1e"
 _REQUIRED = ("case_id", "run", "arms")
 
 
@@ -42,10 +44,24 @@ def parse_bench_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.select("file", "doc.*"), parsed.where("problem IS NOT NULL").select("file", "problem")
 
 
-def read_bench_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Run documents below `path`, one per file."""
-    documents = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return parse_bench_documents(documents)
+def write_bench_sequences(documents: DataFrame, path: str) -> None:
+    """Write the documents `value` below `path` as JSON text sequences, many to a file.
+
+    A file for each document costs more than the document once there are very many of them.
+    """
+    documents.select("value").write.text(path, lineSep=SEPARATOR)
+
+
+def read_bench_runs(spark: SparkSession, path: str, sequences: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Run documents below `path`, one per file, or as JSON text sequences.
+
+    Documents of a sequence may have any number of lines.
+    """
+    if sequences:
+        documents = spark.read.text(path, lineSep=SEPARATOR)
+    else:
+        documents = spark.read.text(path, wholetext=True)
+    return parse_bench_documents(documents.withColumn("file", F.input_file_name()))
 
 
 def long_samples(runs: DataFrame) -> DataFrame:
