@@ -1,9 +1,10 @@
 """Rule results that are kept, and made anew only for applications whose inputs changed.
 
 Each application has a digest over all its input rows (roots of hash tries) and the rules' versions.
-Applications whose digest is not the stored one are evaluated, and their results, in partitions of
-their own, take the place of the old ones. Digests are stored last, so a refresh that breaks off is
-done again by the next one.
+Applications whose digest is not the stored one are evaluated, and their results take the place of
+the old ones. Applications share a fixed number of folders, so that the files of a store do not grow in
+number with the fleet; a folder with a changed application is written anew, with the rows it keeps.
+Digests are stored last, so a refresh that breaks off is done again by the next one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.rules import RULES, Rule, RuleOutput, run_rules
@@ -20,7 +21,8 @@ from fleetlens.sources.scratch import materialize
 
 _PARTS = ("findings", "questions", "reasons")
 #: The folder column; the application's name stays in the rows, as text.
-_FOLDER = "of_app"
+_FOLDER = "app_group"
+_FOLDERS = 64
 
 
 def app_digests(ctx: Mapping[str, DataFrame], rules: list[Rule] | None = None) -> DataFrame:
@@ -41,19 +43,36 @@ def app_digests(ctx: Mapping[str, DataFrame], rules: list[Rule] | None = None) -
     return roots.select("app_id", F.sha2(F.concat_ws("|", "digest", F.lit(versions)), 256).alias("digest"))
 
 
+def _folder() -> Column:
+    return F.pmod(F.xxhash64("app_id"), F.lit(_FOLDERS)).cast("int")
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).drop(_FOLDER)
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Write `rows` (app_id, ...) into partitions of their applications, in place of what is there."""
-    writer = rows.withColumn(_FOLDER, F.sha2("app_id", 256)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy(_FOLDER).parquet(path)
+def _replace(rows: DataFrame, ids: DataFrame, folders: list[int], path: str) -> None:
+    """Write `rows` (app_id, ...) in place of what is stored of the applications `ids`, which are in `folders`."""
+    # A mark for each folder, so that one that has no rows any more is replaced too.
+    marks = ids.sparkSession.createDataFrame([(f, True) for f in folders], f"{_FOLDER} int, _mark boolean")
+    written = rows.withColumns({_FOLDER: _folder(), "_mark": F.lit(False)})
+    stored = _stored(ids.sparkSession, path)
+    if stored is not None:
+        kept = stored.where(F.col(_FOLDER).isin(folders) & ~F.col("_mark"))
+        written = written.unionByName(kept.join(ids, "app_id", "left_anti"), allowMissingColumns=True)
+    written = written.unionByName(marks, allowMissingColumns=True).hint("rebalance", _FOLDER)
+    writer = written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(_FOLDER).parquet(path)
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame | None:
+    stored = _stored(spark, path)
+    return None if stored is None else stored.where("NOT _mark").drop("_mark", _FOLDER)
 
 
 def refresh(ctx: Mapping[str, DataFrame], store: str, rules: list[Rule] | None = None) -> DataFrame:
@@ -65,29 +84,27 @@ def refresh(ctx: Mapping[str, DataFrame], store: str, rules: list[Rule] | None =
     known = {name: df.where("app_id IS NOT NULL") for name, df in ctx.items()}
     spark = next(iter(known.values())).sparkSession
     now = app_digests(known, rules).withColumnRenamed("digest", "_now")
-    before = _stored(spark, f"{store}/digests")
+    before = _rows(spark, f"{store}/digests")
     if before is None:
         before = now.select("app_id", F.col("_now").alias("digest")).where(F.lit(False))
-    both = now.join(before.where("digest IS NOT NULL"), "app_id", "full")
+    both = now.join(before, "app_id", "full")
     changed = both.where(~F.col("_now").eqNullSafe(F.col("digest"))).select("app_id", F.col("_now").alias("digest"))
     changed = materialize(changed, "changed-apps")
     if changed.isEmpty():
         return changed
     ids = changed.select("app_id")
+    folders = [r[_FOLDER] for r in ids.select(_folder().alias(_FOLDER)).distinct().collect()]
     # A selective filter on this side lets Spark skip partitions of frames that are laid out by app.
-    present = changed.where("digest > ''").select("app_id")
-    out = run_rules({name: df.join(present, "app_id", "left_semi") for name, df in known.items()}, rules)
+    present = changed.where("digest > ''")
+    out = run_rules({name: df.join(present.select("app_id"), "app_id", "left_semi") for name, df in known.items()}, rules)
     for part in _PARTS:
         rows = getattr(out, part)
         if rows is not None:
-            # A mark for each application, so that one that has no rows any more is replaced too.
-            marks = ids.withColumn("_mark", F.lit(True))
-            _replace(rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True), f"{store}/{part}")
-    _replace(changed, f"{store}/digests")
+            _replace(rows, ids, folders, f"{store}/{part}")
+    _replace(present, ids, folders, f"{store}/digests")
     return changed
 
 
 def stored_output(spark: SparkSession, store: str) -> RuleOutput:
     """The results below `store`, as `run_rules` gives them."""
-    parts = (_stored(spark, f"{store}/{part}") for part in _PARTS)
-    return RuleOutput(*(None if rows is None else rows.where("NOT _mark").drop("_mark") for rows in parts))
+    return RuleOutput(*(_rows(spark, f"{store}/{part}") for part in _PARTS))
