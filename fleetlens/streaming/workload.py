@@ -6,8 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,15 +55,13 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_names(schema), dtype=object)
-    whole = {part.split()[0]: "Int64" for part in schema.split(", ") if part.split()[1] in ("bigint", "int")}
-    return out.astype(whole)
+def _records(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
+    return [tuple(row[c] for c in columns) for row in rows]
 
 
-def _records(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    rows = pd.concat(list(frames))[columns].astype(object)
-    return list(rows.where(rows.notna(), None).itertuples(index=False, name=None))
+def _as_rows(rows: list[tuple], schema: str) -> Iterator[Row]:
+    shape = Row(*_names(schema))
+    return (shape(*row) for row in rows)
 
 
 class PieceBuffers(StatefulProcessor):
@@ -83,8 +80,8 @@ class PieceBuffers(StatefulProcessor):
         self._until = handle.getValueState("until", "until bigint")
 
     def handleInputRows(  # noqa: N802
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
-    ) -> Iterator[pd.DataFrame]:
+        self, key: Any, rows: Iterator[Row], timerValues: Any  # noqa: N803
+    ) -> Iterator[Row]:
         fresh = _records(rows, [*_EVENT, "until_ms"])
         # A filter before would be moved below the watermark, and the row would not move the clock.
         if key[2] is None:
@@ -98,15 +95,15 @@ class PieceBuffers(StatefulProcessor):
             self._until.update((until,))
             self._handle.registerTimer(until)
         if known is None:
-            yield _table([(*key, 1, None, 0, 0, None, None, False, None, None, None, 0, None, None, None)], _PIECE)
+            yield from _as_rows([(*key, 1, None, 0, 0, None, None, False, None, None, None, 0, None, None, None)], _PIECE)
 
     def handleExpiredTimer(  # noqa: N802
         self, key: Any, timerValues: Any, expiredTimerInfo: Any  # noqa: N803
-    ) -> Iterator[pd.DataFrame]:
+    ) -> Iterator[Row]:
         held = sorted((tuple(r) for r in self._events.get()), key=lambda r: r[0])
         self._events.clear()
         self._until.clear()
-        yield _table(_summary(key, held), _PIECE)
+        yield from _as_rows(_summary(key, held), _PIECE)
 
     def close(self) -> None:
         pass
@@ -132,6 +129,20 @@ def _summary(key: Any, held: list[tuple]) -> list[tuple]:
     return rows
 
 
+def _merged(known: tuple | None, piece: int, summary: list) -> tuple:
+    """What is kept of a query, with the summary of one more piece."""
+    executions, first, low, high, with_null, *near = summary
+    if known is not None:
+        n, known_first, known_low, known_high, known_null, *place = known
+        executions += n
+        low = min((b for b in (low, known_low) if b is not None), default=None)
+        high = max((b for b in (high, known_high) if b is not None), default=None)
+        with_null = with_null or known_null
+        if known_first < first:
+            first, (piece, *near) = known_first, place
+    return (executions, first, low, high, with_null, piece, *near)
+
+
 class Operations(StatefulProcessor):
     """Merges the summaries of one operation's pieces, and answers when none of them is open.
 
@@ -154,10 +165,12 @@ class Operations(StatefulProcessor):
         )
 
     def handleInputRows(  # noqa: N802
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any  # noqa: N803
-    ) -> Iterator[pd.DataFrame]:
+        self, key: Any, rows: Iterator[Row], timerValues: Any  # noqa: N803
+    ) -> Iterator[Row]:
         known = self._open.get()
         still = known[0] if known is not None else 0
+        # What is kept is read and written at most once for each query and piece of a batch.
+        queries: dict[str, tuple | None] = {}
         lasts: dict[int, tuple] = {}
         for piece, opened, query, *summary, sequence, last_query, last_class, last_rowcount in _records(
             rows, _names(_PIECE)[4:]
@@ -165,39 +178,34 @@ class Operations(StatefulProcessor):
             still += opened
             if opened == 1:
                 continue
-            self._merge(query, piece, summary)
+            if query not in queries:
+                kept = known is not None and self._queries.containsKey((query,))
+                queries[query] = tuple(self._queries.getValue((query,))) if kept else None
+            near = summary[-3:]
+            if near[0] is None and known is not None and self._lasts.containsKey((piece,)):
+                # The piece had been closed before and got later events since.
+                summary[-3:] = self._lasts.getValue((piece,))[1:]
+            queries[query] = _merged(queries[query], piece, summary)
             lasts[piece] = (sequence, last_query, last_class, last_rowcount)
-        for piece, last in lasts.items():
-            self._lasts.updateValue((piece,), last)
         if still:
             self._open.update((still,))
+            for query, entry in queries.items():
+                self._queries.updateValue((query,), entry)
+            for piece, last in lasts.items():
+                self._lasts.updateValue((piece,), last)
             return
-        answer = self._answer(key)
-        for state in (self._open, self._queries, self._lasts):
-            state.clear()
-        if answer:
-            yield _table(answer, _FOUND)
-
-    def _merge(self, query: str, piece: int, summary: list) -> None:
-        executions, first, low, high, with_null, *near = summary
-        if near[0] is None and self._lasts.containsKey((piece,)):
-            # The piece had been closed before and got later events since.
-            near = list(self._lasts.getValue((piece,))[1:])
-        if self._queries.containsKey((query,)):
-            n, known_first, known_low, known_high, known_null, *place = self._queries.getValue((query,))
-            executions += n
-            low = min((b for b in (low, known_low) if b is not None), default=None)
-            high = max((b for b in (high, known_high) if b is not None), default=None)
-            with_null = with_null or known_null
-            if known_first < first:
-                first, (piece, *near) = known_first, place
-        self._queries.updateValue((query,), (executions, first, low, high, with_null, piece, *near))
-
-    def _answer(self, key: Any) -> list[tuple]:
-        often = [(q[0], tuple(v)) for q, v in self._queries.iterator() if v[0] >= self._least]
+        if known is not None:
+            queries = {q[0]: tuple(v) for q, v in self._queries.iterator()} | queries
+            lasts = {p[0]: tuple(v) for p, v in self._lasts.iterator()} | lasts
+            for state in (self._open, self._queries, self._lasts):
+                state.clear()
+        yield from _as_rows(self._answer(key, queries, lasts), _FOUND)
+
+    def _answer(self, key: Any, queries: dict[str, tuple], lasts: dict[int, tuple]) -> list[tuple]:
+        often = [(query, entry) for query, entry in queries.items() if entry[0] >= self._least]
         if not often:
             return []
-        ends = sorted((p[0], tuple(v)) for p, v in self._lasts.iterator())
+        ends = sorted(lasts.items())
         places = [p for p, _ in ends]
         rows = []
         for query, (executions, _first, low, high, with_null, piece, *near) in often:
@@ -240,11 +248,11 @@ def amplification(
         events.withWatermark("at", delay)
         .select(*OPERATION, piece, *columns, until, "at")
         .groupBy(*OPERATION, "piece")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=PieceBuffers(), outputStructType=_PIECE, outputMode="Append", timeMode="EventTime"
         )
     )
-    found = pieces.groupBy(*OPERATION).transformWithStateInPandas(
+    found = pieces.groupBy(*OPERATION).transformWithState(
         statefulProcessor=Operations(min_repetitions), outputStructType=_FOUND, outputMode="Append", timeMode="None"
     )
     parent = F.struct(
