@@ -19,7 +19,7 @@ from fleetlens.functions import identity
 from fleetlens.functions.identity import encode_identity, frame_components, type_family
 from fleetlens.functions.nesting import inside_out, outer_pair_dropped
 from fleetlens.operators.profile import key_pool
-from fleetlens.plans.graphs import cycle_members, peel
+from fleetlens.plans.graphs import cycle_members, peel, shuffled
 from fleetlens.plans.ordering import position_by_sequence, running_total
 from fleetlens.sources.scratch import materialize
 
@@ -360,8 +360,8 @@ def table_order(
     """
     ids = tables.select("app_id", "table_id")
     known = materialize(
-        foreign_keys.join(ids, ["app_id", "table_id"], "left_semi")
-        .join(ids.withColumnRenamed("table_id", "referenced_table"), ["app_id", "referenced_table"], "left_semi")
+        foreign_keys.join(shuffled(ids), ["app_id", "table_id"], "left_semi")
+        .join(shuffled(ids.withColumnRenamed("table_id", "referenced_table")), ["app_id", "referenced_table"], "left_semi")
         .select("app_id", "table_id", "referenced_table", "columns"),
         "keys",
     )
@@ -372,21 +372,21 @@ def table_order(
     child = members.select("app_id", F.col("node").alias("table_id"), "component")
     parent = members.select("app_id", F.col("node").alias("referenced_table"), F.col("component").alias("parent_component"))
     inside = materialize(
-        known.join(child, ["app_id", "table_id"])
-        .join(parent, ["app_id", "referenced_table"])
+        known.join(shuffled(child), ["app_id", "table_id"])
+        .join(shuffled(parent), ["app_id", "referenced_table"])
         .where("component = parent_component")
         .drop("parent_component"),
         "inner-keys",
     )
     nullable = columns.where("nullable").select("app_id", "column_id", F.lit(True).alias("is_nullable"))
     used = inside.select("app_id", "component", F.explode("columns").alias("column_id")).join(
-        nullable, ["app_id", "column_id"], "left"
+        shuffled(nullable), ["app_id", "column_id"], "left"
     )
     verdict = used.groupBy("app_id", "component").agg(
         F.bool_and(F.coalesce("is_nullable", F.lit(False))).alias("kept")
     )
-    deferred = used.join(verdict.where("kept"), ["app_id", "component"], "left_semi").select("app_id", "column_id").distinct()
-    lost = members.join(verdict.where("kept"), ["app_id", "component"], "left_anti")
+    deferred = used.join(shuffled(verdict.where("kept")), ["app_id", "component"], "left_semi").select("app_id", "column_id").distinct()
+    lost = members.join(shuffled(verdict.where("kept")), ["app_id", "component"], "left_anti")
     reasons = (
         lost.groupBy("app_id", "component")
         .agg(F.array_sort(F.collect_list("node")).alias("names"))
@@ -400,14 +400,14 @@ def table_order(
     broken = inside.select("app_id", F.col("table_id").alias("child"), F.col("referenced_table").alias("parent"))
     remaining = (
         edges.where("child <> parent")
-        .join(broken, ["app_id", "child", "parent"], "left_anti")
-        .join(dropped.withColumnRenamed("table_id", "child"), ["app_id", "child"], "left_anti")
-        .join(dropped.withColumnRenamed("table_id", "parent"), ["app_id", "parent"], "left_anti")
+        .join(shuffled(broken), ["app_id", "child", "parent"], "left_anti")
+        .join(shuffled(dropped.withColumnRenamed("table_id", "child")), ["app_id", "child"], "left_anti")
+        .join(shuffled(dropped.withColumnRenamed("table_id", "parent")), ["app_id", "parent"], "left_anti")
     )
     levels, _stuck = peel(remaining, APP)
     placed = (
-        ids.join(dropped, ["app_id", "table_id"], "left_anti")
-        .join(levels.withColumnRenamed("node", "table_id"), ["app_id", "table_id"], "left")
+        ids.join(shuffled(dropped), ["app_id", "table_id"], "left_anti")
+        .join(shuffled(levels.withColumnRenamed("node", "table_id")), ["app_id", "table_id"], "left")
         .withColumn("level", F.coalesce("level", F.lit(0)))
     )
     return running_total(placed, APP, ["level", "table_id"], "position"), deferred, reasons

@@ -5,6 +5,9 @@ by collected rows, so memory does not depend on the size of one graph. Runs of n
 parent are followed by jumps that triple in length; what is left after each contraction is a graph
 of joints only. So rounds follow how deeply branches nest, and the logarithm of the longest run.
 Cycles are contracted to one node each, whole ones at a time.
+
+Both sides of a join grow with the fleet, and there are many joins, so they are sort-merge joins:
+broadcasts, each within its limit, would bring the graph through the driver again with every round.
 """
 
 from __future__ import annotations
@@ -17,13 +20,18 @@ from pyspark.sql import functions as F
 from fleetlens.sources.scratch import materialize
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """`side` of a join that is not to be broadcast."""
+    return side.hint("merge")
+
+
 def _follow(nodes: DataFrame, steps: DataFrame, keys: list[str], end: str, length: str) -> DataFrame:
     """Move `end` of each row of `nodes` along the step that starts there; `moved` tells which did."""
     step = steps.select(
         *keys, F.col("node").alias(end), F.col("anchor").alias("_next"), F.col("distance").alias("_more")
     )
     return (
-        nodes.join(step, [*keys, end], "left")
+        nodes.join(shuffled(step), [*keys, end], "left")
         .withColumn("moved", F.col("_more").isNotNull())
         .withColumn(end, F.when(F.col("moved"), F.col("_next")).otherwise(F.col(end)))
         .withColumn(length, F.col(length) + F.coalesce("_more", F.lit(0).cast("long")))
@@ -63,7 +71,7 @@ def peel(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     inner = whole.select(*keys, F.col("child").alias("parent")).distinct().withColumn("_inner", F.lit(True))
     pending = materialize(
         _longest(
-            whole.join(inner, [*keys, "parent"], "left")
+            whole.join(shuffled(inner), [*keys, "parent"], "left")
             .withColumn("parent", F.when(F.col("_inner"), F.col("parent")))
             .withColumn("length", F.lit(1).cast("long")),
             keys,
@@ -85,7 +93,7 @@ def peel(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         anchors = _anchored(singles, keys, size)
         solved.append(anchors)
         joints = pending.join(
-            anchors.select(*keys, F.col("node").alias("child")), [*keys, "child"], "left_anti"
+            shuffled(anchors.select(*keys, F.col("node").alias("child"))), [*keys, "child"], "left_anti"
         )
         pending = materialize(
             _longest(_follow(joints, anchors, keys, "parent", "length"), keys), "edges"
@@ -94,7 +102,7 @@ def peel(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     for anchors in reversed(solved):
         first = anchors.where("anchor IS NULL").select(*keys, "node", F.col("distance").alias("level"))
         bases = known.select(*keys, F.col("node").alias("anchor"), F.col("level").alias("_base"))
-        later = anchors.join(bases, [*keys, "anchor"]).select(
+        later = anchors.join(shuffled(bases), [*keys, "anchor"]).select(
             *keys, "node", (F.col("_base") + F.col("distance")).alias("level")
         )
         known = materialize(known.unionByName(first).unionByName(later), "levels")
@@ -102,10 +110,10 @@ def peel(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     open_nodes = (
         whole.select(*keys, F.col("child").alias("node"))
         .distinct()
-        .join(known.select(*keys, "node"), [*keys, "node"], "left_anti")
+        .join(shuffled(known.select(*keys, "node")), [*keys, "node"], "left_anti")
     )
-    stuck = whole.join(open_nodes.withColumnRenamed("node", "child"), [*keys, "child"], "left_semi").join(
-        open_nodes.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_semi"
+    stuck = whole.join(shuffled(open_nodes.withColumnRenamed("node", "child")), [*keys, "child"], "left_semi").join(
+        shuffled(open_nodes.withColumnRenamed("node", "parent")), [*keys, "parent"], "left_semi"
     )
     return levels, stuck.select(*keys, "child", "parent")
 
@@ -137,8 +145,8 @@ def _spread(edges: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(F.col("parent").alias("node"), F.col("parent").alias("up"), F.col("child_down").alias("down")),
         )
         news = (
-            edges.join(child, [*keys, "child"])
-            .join(parent, [*keys, "parent"])
+            edges.join(shuffled(child), [*keys, "child"])
+            .join(shuffled(parent), [*keys, "parent"])
             .select(*keys, F.inline(passed))
             .withColumn("old", F.lit(None).cast(labels.select(own.alias("o")).schema["o"].dataType))
         )
@@ -166,7 +174,7 @@ def _picked_cycles(edges: DataFrame, keys: list[str], turn: int, size: int) -> D
 
     def further(rows: DataFrame, steps: DataFrame) -> DataFrame:
         step = steps.select(*keys, F.col("node").alias("at"), F.col("at").alias("_next"), F.col("best").alias("_best"))
-        return rows.join(step, [*keys, "at"]).select(
+        return rows.join(shuffled(step), [*keys, "at"]).select(
             *keys, "node", F.col("_next").alias("at"), F.greatest("best", "_best").alias("best")
         )
 
@@ -174,14 +182,14 @@ def _picked_cycles(edges: DataFrame, keys: list[str], turn: int, size: int) -> D
     while reach < size and not walks.isEmpty():
         walks, reach = materialize(further(further(walks, walks), walks), "walks"), reach * 3
     on_cycle = walks.select(*keys, F.col("at").alias("node")).distinct()
-    return materialize(walks.join(on_cycle, [*keys, "node"], "left_semi").select(*keys, "node", "best"), "cycles")
+    return materialize(walks.join(shuffled(on_cycle), [*keys, "node"], "left_semi").select(*keys, "node", "best"), "cycles")
 
 
 def _renamed(rows: DataFrame, names: DataFrame, keys: list[str], column: str) -> DataFrame:
     """`rows` with the values of `column` replaced that `names` (keys, node, best) has."""
     name = names.select(*keys, F.col("node").alias(column), F.col("best").alias("_best"))
     return (
-        rows.join(name, [*keys, column], "left")
+        rows.join(shuffled(name), [*keys, column], "left")
         .withColumn(column, F.coalesce("_best", column))
         .drop("_best")
     )
@@ -223,12 +231,13 @@ def cycle_members(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             names = _solved(open_edges, keys)
             gone = names.select(*keys, "node")
             for end in ("child", "parent"):
-                open_edges = open_edges.join(gone.withColumnRenamed("node", end), [*keys, end], "left_anti")
-        joined = names.join(names.groupBy(*keys, "best").agg(F.count("*").alias("_n")).where("_n > 1"), [*keys, "best"])
+                open_edges = open_edges.join(shuffled(gone.withColumnRenamed("node", end)), [*keys, end], "left_anti")
+        sizable = names.groupBy(*keys, "best").agg(F.count("*").alias("_n")).where("_n > 1")
+        joined = names.join(shuffled(sizable), [*keys, "best"])
         found = joined.select(*keys, "node", F.col("best").alias("component"))
         known = _renamed(members, names, keys, "component")
         members = materialize(
-            known.unionByName(found.join(members.select(*keys, "node"), [*keys, "node"], "left_anti")), "members"
+            known.unionByName(found.join(shuffled(members.select(*keys, "node")), [*keys, "node"], "left_anti")), "members"
         )
         open_edges = materialize(
             _renamed(_renamed(open_edges, names, keys, "child"), names, keys, "parent")
