@@ -17,27 +17,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.identity import encode_identity, table_id
-from fleetlens.plans.ordering import SEQUENCE_WIDTH, carry_forward
+from fleetlens.plans.graphs import shuffled
+from fleetlens.plans.ordering import carry_forward, piece_width
 from fleetlens.sources.scratch import materialize
 
 APP = ["app_id"]
-_MARK = "struct<alive:boolean,at:bigint>"
+#: Stands for the place before all positions of a name.
+_BEFORE = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Lifetimes:
     """Named objects of one kind.
 
-    `marks` (keys, name, pos, alive) are all starts and ends that took effect; `origins` (keys,
-    name, start_pos, first_name, first_pos) leads each lifetime back through its renames;
-    `final` (keys, name, start_pos) are the lifetimes open at the end.
+    `marks` (keys, name, pos, alive, first_name, first_pos) are all starts and ends that took
+    effect, with the first start of the lifetime that a start begins or continues; `final` (keys,
+    name, first_name, first_pos) are the lifetimes open at the end. `width` is that of ordered
+    pieces, null where no key needs any.
     """
 
     keys: list[str]
     marks: DataFrame
-    origins: DataFrame
     final: DataFrame
-    width: int
+    width: int | None
 
     def holders(self, lookups: DataFrame, after: bool) -> DataFrame:
         """Add first_name and first_pos of the lifetime holding `name` at `pos`, else null.
@@ -46,107 +48,171 @@ class Lifetimes:
         """
         on = [*self.keys, "name"]
         fields = [c for c in lookups.columns if c not in on]
-        asked = lookups.select(
+        asked = _named(lookups, on).select(
             *on,
             (F.col("pos") * 2 + (1 if after else -1)).alias("slot"),
-            F.lit(None).cast(_MARK).alias("mark"),
             F.struct(*fields).alias("row"),
         )
         marks = self.marks.select(
             *on,
             (F.col("pos") * 2).alias("slot"),
-            F.struct("alive", F.col("pos").alias("at")).alias("mark"),
-            F.lit(None).cast(asked.schema["row"].dataType).alias("row"),
+            F.struct("first_name", "first_pos").alias("mark"),
         )
         carried = carry_forward(
-            marks.unionByName(asked), on, "slot", F.col("mark"), "held", 2 * self.width
-        )
-        return (
-            carried.where("row IS NOT NULL")
-            .select(*on, "row.*", F.expr("IF(held.alive, held.at, NULL)").alias("start_pos"))
-            .join(self.origins, [*on, "start_pos"], "left")
-            .drop("start_pos")
+            marks.unionByName(asked, allowMissingColumns=True),
+            on,
+            "slot",
+            F.col("mark"),
+            "held",
+            self.width and 2 * self.width,
         )
+        return carried.where("row IS NOT NULL").select(*on, "row.*", "held.*")
 
 
-def _marks(fixed: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
-    """All starts and ends: the fixed ones, and two per rename."""
-    pair = F.array(
-        F.struct(F.col("new_name").alias("name"), F.lit(True).alias("alive")),
-        F.struct(F.col("old_name").alias("name"), F.lit(False).alias("alive")),
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that can be placed: those without keys or position belong to no name."""
+    return rows.dropna(subset=[*keys, "pos"])
+
+
+def _links(fixed: DataFrame, renames: DataFrame, keys: list[str], width: int | None) -> DataFrame:
+    """(keys, pos, old_name, new_name, base, old_from, new_from): a row for each rename.
+
+    A drop, a create and a rename away settle whether a name is alive, a rename to it does not
+    unless it takes effect. `old_from` and `new_from` are where the old and the new name were last
+    settled before the rename; `base` is `old_from` where that was a create.
+    """
+    pair = ["old_name", "new_name"]
+    ways = renames.select(
+        *keys,
+        "pos",
+        F.inline(
+            F.array(
+                F.struct(F.col("old_name").alias("name"), F.lit(False).alias("alive"), F.lit(None).cast("string").alias("old_name"), F.col("new_name")),
+                F.struct(F.col("new_name").alias("name"), F.lit(None).cast("boolean").alias("alive"), F.col("old_name"), F.lit(None).cast("string").alias("new_name")),
+            )
+        ),
+    )
+    settled = F.when(F.col("alive").isNotNull(), F.struct("alive", F.col("pos").alias("at")))
+    carried = carry_forward(
+        fixed.unionByName(ways, allowMissingColumns=True), [*keys, "name"], "pos", settled, "held", width
+    )
+    since = F.coalesce("held.at", F.lit(_BEFORE))
+    away = F.col("alive").isNotNull()
+    # A rename that is logged twice finds its own end before it the second time.
+    first = away & (since < F.col("pos"))
+    return (
+        carried.where("old_name IS NOT NULL OR new_name IS NOT NULL")
+        .withColumn("base", F.when(first & F.col("held.alive"), F.col("held.at")))
+        .withColumn("old_from", F.when(first, since))
+        .withColumn("new_from", F.when(~away, since))
+        .groupBy(*keys, "pos", F.coalesce("old_name", "name").alias("old_name"), F.coalesce("new_name", "name").alias("new_name"))
+        .agg(*[F.max(c).alias(c) for c in ("base", "old_from", "new_from")])
+        .select(*keys, "pos", *pair, "base", "old_from", "new_from")
     )
-    return fixed.unionByName(renames.select(*keys, "pos", F.inline(pair)))
 
 
-def _effective(fixed: DataFrame, renames: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Renames whose old name is alive, with `held_pos`, the start they continue.
+def _effective(links: DataFrame, keys: list[str]) -> DataFrame:
+    """The renames whose old name is alive, with `held_pos`, the start they continue.
 
-    A rename of an unknown name changes nothing. Admitting too many renames only makes more
-    names look alive, so a rename refused under the admitted set is refused for good, and the
-    set is final once a round refuses none. Rounds follow chains of refused renames.
+    A stretch is a name from where it is settled to where it is settled next, so one rename at most
+    leaves it. A stretch that does not begin with a create is alive at its end if a rename that took
+    effect leads to it; that is handed on along the stretches by jumps of doubling length.
     """
-    admitted = materialize(renames, "renames")
-    while True:
-        marks = _marks(fixed, admitted, keys).withColumn(
-            "mark", F.struct("alive", F.col("pos").alias("at"))
+    links = materialize(links, "renames")
+    source = F.struct(F.col("old_name").alias("name"), F.col("old_from").alias("at"))
+    target = F.struct(F.col("new_name").alias("name"), F.col("new_from").alias("at"))
+    state = links.where("base IS NULL").select(*keys, source.alias("id"), target.alias("next"))
+    lit = links.where("base IS NOT NULL").select(*keys, target.alias("id")).distinct()
+    state = _handed(state.withColumn("alive", F.lit(False)), lit, keys)
+    while not state.where("alive AND next IS NOT NULL").isEmpty():
+        lit = state.where("alive AND next IS NOT NULL").select(*keys, F.col("next").alias("id")).distinct()
+        jump = state.select(*keys, F.col("id").alias("next"), F.col("next").alias("further"))
+        jumped = state.join(shuffled(jump), [*keys, "next"], "left").select(
+            *keys, "id", F.col("further").alias("next"), "alive"
         )
-        carried = carry_forward(marks, [*keys, "name"], "pos", F.col("mark"), "held", width)
-        ended = carried.where("NOT alive AND held.alive").select(
-            *keys, F.col("name").alias("old_name"), "pos", F.col("held.at").alias("held_pos")
-        )
-        checked = materialize(admitted.join(ended, [*keys, "old_name", "pos"], "left"), "renames")
-        if checked.where("held_pos IS NULL").isEmpty():
-            return checked
-        admitted = checked.where("held_pos IS NOT NULL").drop("held_pos")
+        state = _handed(jumped, lit, keys)
+    alive = state.where("alive").select(*keys, F.col("id.name").alias("old_name"), F.col("id.at").alias("old_from"), F.lit(True).alias("alive"))
+    took = materialize(
+        links.join(shuffled(alive), [*keys, "old_name", "old_from"], "left")
+        .where("base IS NOT NULL OR alive")
+        .drop("alive"),
+        "renames",
+    )
+    led = took.groupBy(*keys, F.col("new_name").alias("old_name"), F.col("new_from").alias("old_from")).agg(
+        F.max("pos").alias("led")
+    )
+    return took.join(shuffled(led), [*keys, "old_name", "old_from"], "left").select(
+        *keys, "pos", "old_name", "new_name", F.coalesce("led", "base").alias("held_pos"), F.col("led").isNotNull().alias("open")
+    )
 
 
-def _origins(starts: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
-    """Lead every lifetime back to its first start, by pointer doubling."""
-    own = F.struct("name", F.col("pos").alias("start_pos"))
-    first = starts.select(*keys, own.alias("id"), own.alias("root"))
-    later = renames.select(
-        *keys,
-        F.struct(F.col("new_name").alias("name"), F.col("pos").alias("start_pos")).alias("id"),
-        F.struct(F.col("old_name").alias("name"), F.col("held_pos").alias("start_pos")).alias("root"),
+def _handed(state: DataFrame, lit: DataFrame, keys: list[str]) -> DataFrame:
+    """`state` with the stretches `lit` alive."""
+    lit = lit.withColumn("lit", F.lit(True))
+    return materialize(
+        state.join(shuffled(lit), [*keys, "id"], "left").select(
+            *keys, "id", "next", F.coalesce(F.col("alive") | F.col("lit"), "alive").alias("alive")
+        ),
+        "stretches",
+    )
+
+
+def _origins(took: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, old_name, new_name, first_name, first_pos): each rename's lifetime led back to its
+    first start, by pointer doubling. `open` are those that continue another rename."""
+    columns = [*keys, "pos", "old_name", "new_name", "root", "open"]
+    root = F.struct(F.col("old_name").alias("name"), F.col("held_pos").alias("pos"))
+    state = materialize(took.withColumn("root", root).select(*columns), "origins")
+    while not state.where("open").isEmpty():
+        jump = state.select(
+            *keys,
+            F.struct(F.col("new_name").alias("name"), "pos").alias("root"),
+            F.col("root").alias("further"),
+            F.col("open").alias("onward"),
+        ).dropDuplicates([*keys, "root"])
+        moved = state.where("open").join(shuffled(jump), [*keys, "root"])
+        moved = moved.withColumn("root", F.col("further")).withColumn("open", F.col("onward")).select(*columns)
+        state = materialize(state.where("NOT open").unionByName(moved), "origins")
+    return state.select(
+        *keys, "pos", "old_name", "new_name", F.col("root.name").alias("first_name"), F.col("root.pos").alias("first_pos")
     )
-    state = materialize(first.unionByName(later), "origins")
-    while True:
-        jump = state.select(*keys, F.col("id").alias("root"), F.col("root").alias("further"))
-        moved = materialize(
-            state.join(jump, [*keys, "root"]).select(
-                *keys, "id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")
-            ),
-            "origins",
-        )
-        state = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return state.select(
-                *keys,
-                "id.name",
-                "id.start_pos",
-                F.col("root.name").alias("first_name"),
-                F.col("root.start_pos").alias("first_pos"),
-            )
 
 
 def lifetimes(
-    starts: DataFrame, ends: DataFrame, renames: DataFrame, keys: list[str], width: int
+    starts: DataFrame, ends: DataFrame, renames: DataFrame, keys: list[str], width: int | None
 ) -> Lifetimes:
     """`starts` and `ends` hold (keys, name, pos), `renames` (keys, pos, old_name, new_name)."""
-    fixed = materialize(
+    fixed = _named(
         starts.select(*keys, "pos", "name", F.lit(True).alias("alive")).unionByName(
             ends.select(*keys, "pos", "name", F.lit(False).alias("alive"))
         ),
-        "marks",
+        [*keys, "name"],
     )
-    took = _effective(fixed, renames, keys, width)
-    marks = materialize(_marks(fixed, took, keys), "marks")
-    last = marks.groupBy(*keys, "name").agg(F.max(F.struct("pos", "alive")).alias("last"))
-    final = last.where("last.alive").select(*keys, "name", F.col("last.pos").alias("start_pos"))
-    return Lifetimes(keys, marks, _origins(starts, took, keys), final, width)
+    links = _links(fixed, _named(renames, [*keys, "old_name", "new_name"]), keys, width)
+    took = _origins(_effective(links, keys), keys)
+    pair = F.array(
+        F.struct(F.col("new_name").alias("name"), F.lit(True).alias("alive"), "first_name", "first_pos"),
+        F.struct(
+            F.col("old_name").alias("name"),
+            F.lit(False).alias("alive"),
+            F.lit(None).cast("string").alias("first_name"),
+            F.lit(None).cast("long").alias("first_pos"),
+        ),
+    )
+    marks = fixed.select(
+        *keys, "pos", "name", "alive", F.expr("IF(alive, name, NULL) AS first_name"), F.expr("IF(alive, pos, NULL) AS first_pos")
+    ).unionByName(took.select(*keys, "pos", F.inline(pair)))
+    last = marks.groupBy(*keys, "name").agg(
+        F.max(F.struct("pos", "alive", "first_name", "first_pos")).alias("last")
+    )
+    final = last.where("last.alive").select(*keys, "name", "last.first_name", "last.first_pos")
+    return Lifetimes(keys, marks, final, width)
+
 
+def table_lifetimes(operations: DataFrame, width: int | None = None) -> Lifetimes:
+    """The tables of a log; `width` of ordered pieces is measured where none is given."""
+    width = width or piece_width(operations, APP, "pos")
 
-def table_lifetimes(operations: DataFrame, width: int = SEQUENCE_WIDTH) -> Lifetimes:
     def named(kind: str) -> DataFrame:
         return operations.where(F.col("kind") == kind).select(
             "app_id", F.col("table_name").alias("name"), "pos"
@@ -161,7 +227,7 @@ def table_lifetimes(operations: DataFrame, width: int = SEQUENCE_WIDTH) -> Lifet
 
 def replay_tables(tables: Lifetimes) -> DataFrame:
     """(app_id, table_name, first_name, first_pos): tables left after all operations."""
-    return tables.final.join(tables.origins, ["app_id", "name", "start_pos"]).select(
+    return tables.final.select(
         "app_id", F.col("name").alias("table_name"), "first_name", "first_pos"
     )
 
@@ -169,20 +235,21 @@ def replay_tables(tables: Lifetimes) -> DataFrame:
 _COLUMN_KINDS = ["create_column", "add_column", "drop_column", "alter_column"]
 
 
-def _attached(operations: DataFrame, tables: Lifetimes) -> DataFrame:
-    asked = operations.where(F.col("kind").isin(_COLUMN_KINDS)).withColumn("name", F.col("table_name"))
-    return tables.holders(asked, after=True)
+def _attached(operations: DataFrame, tables: Lifetimes, fields: list[str]) -> DataFrame:
+    """Column operations, with the first start of the table (`name`) they meet."""
+    asked = operations.where(F.col("kind").isin(_COLUMN_KINDS))
+    return tables.holders(asked.select("app_id", F.col("table_name").alias("name"), "pos", *fields), after=True)
 
 
 def unknown_table_operations(operations: DataFrame, tables: Lifetimes) -> DataFrame:
     """Columns added to a table that does not exist at that point."""
     return (
-        _attached(operations, tables)
-        .where("kind = 'add_column' AND first_pos IS NULL")
+        _attached(operations.where("kind = 'add_column'"), tables, [])
+        .where("first_pos IS NULL")
         .select(
             "app_id",
             "pos",
-            F.concat(F.lit("add_column on unknown table '"), "table_name", F.lit("'")).alias("reason"),
+            F.concat(F.lit("add_column on unknown table '"), "name", F.lit("'")).alias("reason"),
         )
     )
 
@@ -193,18 +260,26 @@ def replay_columns(operations: DataFrame, tables: Lifetimes) -> DataFrame:
     A renamed table keeps its old name inside the ids of columns written before the rename.
     """
     keys = ["app_id", "table_pos"]
+    written = ["nullable", "new_type", "server_default"]
+    left = materialize(
+        replay_tables(tables).select(
+            "app_id", F.col("first_pos").alias("table_pos"), F.col("table_name").alias("left_name")
+        ),
+        "tables-left",
+    )
+    # Columns of tables that are gone are not asked for.
     known = materialize(
-        _attached(operations, tables)
+        _attached(operations, tables, ["kind", "object_name", "new_name", *written])
         .where("first_pos IS NOT NULL")
         .withColumnRenamed("first_pos", "table_pos")
-        .drop("name", "first_name")
-        .withColumn("name", F.col("object_name")),
+        .join(left, keys, "left_semi")
+        .select(*keys, "pos", F.col("name").alias("table_name"), "kind", F.col("object_name").alias("name"), "new_name", *written),
         "column-operations",
     )
     defines = known.where("kind IN ('create_column', 'add_column')")
     renames = known.where(
-        "kind = 'alter_column' AND new_name IS NOT NULL AND new_name <> object_name"
-    ).select(*keys, "pos", F.col("object_name").alias("old_name"), "new_name")
+        "kind = 'alter_column' AND new_name IS NOT NULL AND new_name <> name"
+    ).select(*keys, "pos", F.col("name").alias("old_name"), "new_name")
     columns = lifetimes(
         defines.select(*keys, "name", "pos"),
         known.where("kind = 'drop_column'").select(*keys, "name", "pos"),
@@ -212,7 +287,7 @@ def replay_columns(operations: DataFrame, tables: Lifetimes) -> DataFrame:
         keys,
         tables.width,
     )
-    written = ["pos", "table_name", "nullable", "new_type", "server_default"]
+    written = ["pos", "table_name", *written]
     alters = (
         columns.holders(known.where("kind = 'alter_column'").select(*keys, "name", *written), after=False)
         .where("first_pos IS NOT NULL")
@@ -225,20 +300,23 @@ def replay_columns(operations: DataFrame, tables: Lifetimes) -> DataFrame:
     def latest(name: str) -> Column:
         return F.expr(f"max_by({name}, pos) FILTER (WHERE {name} IS NOT NULL)").alias(name)
 
-    facts = writes.groupBy(*keys, "first_name", "first_pos").agg(
-        latest("nullable"),
-        latest("new_type"),
-        latest("server_default"),
-        F.max_by("table_name", "pos").alias("id_table"),
+    first = [*keys, "first_name", "first_pos"]
+    facts = (
+        writes.join(columns.final, first, "left_semi")
+        .groupBy(*first)
+        .agg(
+            latest("nullable"),
+            latest("new_type"),
+            latest("server_default"),
+            F.max_by("table_name", "pos").alias("id_table"),
+        )
     )
-    left = replay_tables(tables).select("app_id", F.col("first_pos").alias("table_pos"), "table_name")
     return (
-        columns.final.join(columns.origins, [*keys, "name", "start_pos"])
-        .join(facts, [*keys, "first_name", "first_pos"])
+        columns.final.join(facts, first)
         .join(left, keys)
         .select(
             "app_id",
-            "table_name",
+            F.col("left_name").alias("table_name"),
             F.col("name").alias("column_name"),
             encode_identity(F.lit("public"), "id_table", "name").alias("column_id"),
             F.col("new_type").alias("data_type"),

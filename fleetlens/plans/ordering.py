@@ -87,19 +87,50 @@ def position_by_sequence(
     )
 
 
+def piece_width(
+    df: DataFrame, keys: Sequence[str], sequence: str, rows: int = SEQUENCE_WIDTH
+) -> int | None:
+    """The width of pieces that hold `rows` rows of a key at most; null if no key has more.
+
+    Numbers may lie far apart, so that the number of rows in a piece does not follow from its
+    width. It is divided until the fullest piece is small enough; one of `rows` always is, as far
+    as numbers are unique.
+    """
+    df = df.dropna(subset=[*keys, sequence])
+    least, most, fullest = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), F.min(sequence).alias("_least"), F.max(sequence).alias("_most"))
+        .agg(F.min("_least"), F.max("_most"), F.max("_n"))
+        .first()
+    )
+    if fullest is None or fullest <= rows:
+        return None
+    width = most - least + 1
+    while fullest > rows and width > rows:
+        width = max(rows, width // max(2, min(16, 2 * fullest // rows)))
+        fullest = (
+            df.groupBy(*keys, F.floor(F.col(sequence) / width).alias("_piece")).count().agg(F.max("count")).first()[0]
+        )
+    return width
+
+
 def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
     sequence: str,
     value: Column,
     out: str,
-    width: int = SEQUENCE_WIDTH,
+    width: int | None = SEQUENCE_WIDTH,
 ) -> DataFrame:
     """Add `out`, the last non-null `value` strictly before this row inside the key.
 
-    The order column is a whole number and unique inside the key.
+    The order column is a whole number and unique inside the key. Without `width` a key is one
+    piece; see `piece_width`.
     """
     keys = list(keys)
+    if width is None:
+        whole = Window.partitionBy(*keys).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(whole))
     laid = df.withColumn("_piece", F.floor(F.col(sequence) / width)).withColumn("_value", value)
     earlier = (
         Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
