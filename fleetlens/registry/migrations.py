@@ -113,19 +113,25 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind").contains("index"), F.concat("table_name", F.lit("_i"), "object_no"))
         .otherwise(F.col("object_no")),
     ).withColumn("columns", F.array("object_no"))
-    made = log.where("kind = 'create_table'").withColumn("new_name", F.lit(None).cast("string"))
-    one = made.withColumn("kind", F.lit("create_column")).withColumn(
-        "nullable", F.coalesce("nullable", F.lit(True))
-    ).withColumn("new_type", F.coalesce("new_type", F.lit("unknown")))
-    two = one.withColumn("object_name", F.lit("c9")).withColumn("primary_key", F.lit(False))
-    log = log.withColumn(
-        "nullable",
-        F.when(F.col("kind") == "add_column", F.coalesce("nullable", F.lit(True))).otherwise(F.col("nullable")),
-    ).withColumn(
-        "new_type",
-        F.when(F.col("kind") == "add_column", F.coalesce("new_type", F.lit("unknown"))).otherwise(F.col("new_type")),
+    # One pass over the log: a create is followed by the rows of its two columns.
+    rows = F.when(F.col("kind") == "create_table", F.array(F.lit(0), F.lit(1), F.lit(2)))
+    log = log.withColumn("made", F.explode(F.coalesce(rows, F.array(F.lit(0)))))
+    made, second = F.col("made") > 0, F.col("made") == 2
+    log = log.withColumn("kind", F.when(made, F.lit("create_column")).otherwise(F.col("kind")))
+    defines = F.col("kind").isin("create_column", "add_column")
+    return log.select(
+        *[
+            {
+                "object_name": F.when(second, F.lit("c9")).otherwise(F.col("object_name")),
+                "new_name": F.when(~made, F.col("new_name")),
+                "nullable": F.when(defines, F.coalesce("nullable", F.lit(True))).otherwise(F.col("nullable")),
+                "new_type": F.when(defines, F.coalesce("new_type", F.lit("unknown"))).otherwise(F.col("new_type")),
+                "primary_key": F.when(second, F.lit(False)).otherwise(F.col("primary_key")),
+            }.get(c, F.col(c)).alias(c)
+            for c in log.columns
+            if c != "made"
+        ]
     )
-    return log.unionByName(one).unionByName(two)
 
 
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, replay.Lifetimes]:
