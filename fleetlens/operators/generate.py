@@ -21,6 +21,7 @@ from fleetlens.functions.nesting import inside_out, outer_pair_dropped
 from fleetlens.operators.profile import key_pool
 from fleetlens.plans.graphs import cycle_members, peel, shuffled
 from fleetlens.plans.ordering import position_by_sequence, running_total
+from fleetlens.plans.partitions import dealt
 from fleetlens.sources.scratch import materialize
 
 # Spans and limits of the strategies.
@@ -164,7 +165,6 @@ def recognize_checks(constraints: DataFrame, expression: str = "expression") ->
         part = F.regexp_replace(part, rf"(?<![A-Za-z0-9_])\(({_LITERAL})\)(?=\)| |$)", "$1")
         return F.regexp_replace(part, rf"(?<!NOT |not |[A-Za-z0-9_])\(({single})\)", "$1")
 
-    text = inside_out(inside_out(text, step), outer_pair_dropped)
     listed = rf"^({_NAME}) (?:IN|in) \(({_LITERAL}(?:, ?{_LITERAL})*+)\)$"
     array = rf"^({_NAME}) = (?:ANY|any) \(+(?:ARRAY|array)\[({_LITERAL}(?:, ?{_LITERAL})*+)\]\)+$"
     equality = rf"({_NAME}) = ({_LITERAL})"
@@ -173,8 +173,10 @@ def recognize_checks(constraints: DataFrame, expression: str = "expression") ->
     bound = rf"{_NAME} (?:>=|<=|>|<) -?\d+"
     bounds = rf"^(?=({_NAME}) ){bound}(?: (?:AND|and) \1 (?:>=|<=|>|<) -?\d+)*$"
 
-    df = constraints.withColumn("_text", text)
+    # A column for each stage: as one expression, the text would be worked out anew for each mention.
     body = F.col("_text")
+    df = constraints.withColumn("_text", text).withColumn("_text", inside_out(body, step))
+    df = df.withColumn("_text", inside_out(body, outer_pair_dropped))
     several = rf"^({_NAME}) = {_LITERAL} (?:OR|or) "
     in_list = body.rlike(listed)
     in_array = body.rlike(array)
@@ -281,7 +283,17 @@ def plan_columns(
         .withColumn("pool_size", F.coalesce("pool_size", F.lit(0).cast("long")))
     )
     unique, no_distinct = unique_columns(columns, constraints)
-    checks = recognize_checks(constraints.where("kind = 'check' AND expression IS NOT NULL"))
+    # Checks often stand together in a table, and each takes long: dealt out, and read once.
+    checks = materialize(
+        recognize_checks(
+            dealt(
+                constraints.where("kind = 'check' AND expression IS NOT NULL").select(
+                    "app_id", "table_id", "name", "expression", "ordinal"
+                )
+            )
+        ),
+        "checks",
+    )
     named = checks.withColumn(
         "column_id", F.concat_ws(".", "table_id", encode_identity("check_column"))
     ).join(columns.select(*on).withColumn("known", F.lit(True)), on, "left")

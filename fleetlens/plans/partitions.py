@@ -14,3 +14,11 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     # Files of few row groups have fewer partitions with rows than they have splits.
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` dealt out evenly, over as many partitions as it has, and as there are cores at least.
+
+    For rows that a filter leaves in a few partitions of a table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
