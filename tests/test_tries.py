@@ -58,3 +58,10 @@ def test_changes_between_two_snapshots(spark):
     assert leaves.where("app_id = 'same'").isEmpty()
     assert left.count() + right.count() < 200
     assert quality.file_set_changes(old, old, ["app_id"]).collect() == []
+
+
+def test_hashes_are_sent_as_bytes(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None)], "app string, text string")
+    hashed = tries.row_hashes(rows, ["app"], F.col("text"))
+    assert dict(hashed.dtypes)["hash"] == "binary"
+    assert {(r.hash and bytes(r.hash).hex(), r.copies) for r in hashed.collect()} == {(sha("x"), 2), (None, 1)}
