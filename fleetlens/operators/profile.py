@@ -82,8 +82,9 @@ def equality_probes(freq: DataFrame, max_distinct: int | None = None) -> DataFra
     if max_distinct is not None:
         spread = spread.where(F.col("distinct_values") <= max_distinct)
     gap = F.abs(F.col("n") - F.col("median_count")).alias("gap")
+    # One row per profiled column goes to the frequencies; by the column, all of one would meet in a task.
     nearest = (
-        freq.join(spread.select("column", "median_count"), "column")
+        freq.join(F.broadcast(spread.select("column", "median_count")), "column")
         .groupBy("column")
         .agg(F.min(F.struct(gap, "n", "value")).alias("nearest"))
     )
@@ -135,8 +136,8 @@ def ranked_cutoffs(freq: DataFrame) -> DataFrame:
             )
         ),
     ).select("column", "size", "tier", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"))
-    # Six rows per profiled column.
-    hits = ranked.join(wanted.distinct(), "column").where(
+    # Six rows per profiled column, sent to the frequencies.
+    hits = ranked.join(F.broadcast(wanted.distinct()), "column").where(
         (F.col("rank") < F.col("rank_end")) & (F.col("rank") >= F.col("rank_end") - F.col("n"))
     )
     hit = F.struct("value", "n", "rank_end")
@@ -199,9 +200,9 @@ def _recount(freq: DataFrame, tiers: DataFrame) -> DataFrame:
         | ((op == "<") & (value < cutoff))
         | ((op == "<=") & (value <= cutoff))
     )
-    # Three rows per predicate.
+    # Three rows per predicate, sent to the rows: joined by the column, all rows of one would meet in a task.
     return (
-        freq.join(tiers, "column")
+        freq.join(F.broadcast(tiers), "column")
         .groupBy("column", "operator", "parameter_position", "method", "cutoff")
         .agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long").alias("row_count"))
     )
