@@ -1,9 +1,8 @@
 """Recorded query plans: one row per node, a fingerprint and a readable shape per document.
 
 A plan document is a recursive JSON tree that no fixed Spark schema covers. It is parsed once to a
-VARIANT; a fold takes its levels apart, each as one array of nodes in which the children of a node
-stand together, and builds its answer from the lowest level up. All of it is one expression over one
-row: no shuffle, no Python. What does not parse that way, or is deeper than `LEVELS`, is found by
+VARIANT and cast to structs nested so deep as `LEVELS`; a fold builds its answer from the lowest level
+up. All of it is one expression over one row: no shuffle, no Python. What does not parse that way, or is deeper than `LEVELS`, is found by
 its missing answer and decoded apart, if there is any.
 """
 
@@ -53,61 +52,36 @@ _TEXTS = {"node_type": "Node Type", **IDENTITY_FIELDS}
 #: The order in which a node's own fields are written after its children.
 _LABEL = sorted([*_TEXTS, *KEY_FIELDS])
 
-_ROW = (
-    "depth int, "
-    + ", ".join(f"{name} string" for name in [*_TEXTS, *KEY_FIELDS])
-    + ", "
-    + ", ".join(f"{name} double" for name in NUMBER_FIELDS)
-    + ", "
-    + ", ".join(f"{name} bigint" for name in COUNT_FIELDS)
-    + ", up int"
-)
-
-
-Make = Callable[[Column, Column, int], Column]
+Make = Callable[..., Column]
 
 
 def _fold(documents: DataFrame, text: str, kinds: dict[str, str], make: Make, name: str) -> DataFrame:
-    """`documents` with `name`: `make` of the root, given what it made of its children, in order.
+    """`documents` with `name`: `make` of the root, which folds its children as it needs them.
 
-    Nodes come to `make` as structs of the fields `kinds`. Null where there is no plan, or one with
-    more levels; `make` gets null for the children of nodes at `LEVELS`. Every level is a column of
-    its own, named twice by the next one, so that the optimizer keeps it: put in its place, it would
-    be worked out again for every node.
+    `make` gets a node as a struct of the fields `kinds`, the array of its children (None at
+    `LEVELS`), what folds a child, the level and what its parent passed on. The result is null where
+    there is no plan, or one with more levels. The document is cast once to structs nested `LEVELS`
+    deep, and the fold is one expression nested the same way, which goes only where nodes are: a
+    column for each level would be copied with each of the others.
     """
-    fields = ", ".join(f"`{field}`: {kind}" for field, kind in {**kinds, "Plans": "array<variant>"}.items())
-
-    def read(node: Column) -> Column:
-        return F.try_variant_get(node, "$", f"struct<{fields}>")
-
-    none = F.array().cast("array<variant>")
-    root = read(F.try_variant_get(F.try_parse_json(F.col(text)), "$[0].Plan", "variant"))
-    df = documents.withColumn("_root", root)
-    empty = F.filter(F.array("_root"), lambda n: F.lit(False))
-    df = df.withColumn("_level0", F.when(F.col("_root")["Node Type"].isNotNull(), F.array("_root")).otherwise(empty))
-    for k in range(LEVELS):
-        kids = F.when(F.size(f"_level{k}") > 0, F.transform(f"_level{k}", lambda n: F.coalesce(n["Plans"], none)))
-        df = df.withColumn(f"_kids{k}", kids).withColumn(
-            f"_level{k + 1}", F.transform(F.when(F.col(f"_kids{k}").isNotNull(), F.flatten(f"_kids{k}")).otherwise(none), read)
-        )
+    fields = ", ".join(f"`{field}`: {kind}" for field, kind in kinds.items())
+    kind = f"struct<{fields}, `Plans`: array<variant>>"
+    for _ in range(LEVELS):
+        kind = f"struct<{fields}, `Plans`: array<{kind}>>"
 
-    last = F.col(f"_level{LEVELS}")
-    deeper = F.exists(last, lambda n: F.coalesce(F.size(n["Plans"]), F.lit(0)) > 0)
-    df = df.withColumn(f"_made{LEVELS}", F.transform(last, lambda n: make(n, F.lit(None), LEVELS)))
-    for k in range(LEVELS - 1, -1, -1):
-        df = df.withColumn(f"_made{k}", _made(make, k))
-    return df.withColumn(name, F.when(~deeper, F.get("_made0", F.lit(0))))
-
-
-def _made(make: Make, level: int) -> Column:
-    """What is made of a level's nodes, from what is made of the next one's."""
-    kids, below = F.col(f"_kids{level}"), F.col(f"_made{level + 1}")
+    def deeper(node: Column, level: int) -> Column:
+        if level == LEVELS:
+            return F.coalesce(F.size(node["Plans"]), F.lit(0)) > 0
+        return F.exists(node["Plans"], lambda n: deeper(n, level + 1))
 
-    def own(node: Column, i: Column) -> Column:
-        first = F.aggregate(F.slice(kids, F.lit(1), i), F.lit(1), lambda n, others: n + F.size(others))
-        return make(node, F.slice(below, first, F.size(F.get(kids, i))), level)
+    def made(node: Column, level: int, *place: Column) -> Column:
+        plans = F.coalesce(node["Plans"], F.array()) if level < LEVELS else None
+        return make(node, plans, lambda n, *its: made(n, level + 1, *its), level, *place)
 
-    return F.when(below.isNotNull(), F.transform(f"_level{level}", own))
+    root = F.col("_root")
+    usable = root["Node Type"].isNotNull() & ~F.coalesce(deeper(root, 0), F.lit(False))
+    df = documents.withColumn("_root", F.try_variant_get(F.try_parse_json(F.col(text)), "$[0].Plan", kind))
+    return df.withColumn(name, F.when(usable, made(root, 0)))
 
 
 def _answers(
@@ -210,7 +184,7 @@ def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> D
             out = out | node[field].isNotNull()
         return out
 
-    def own(node: Column, level: int) -> Column:
+    def own(node: Column, level: int, up: Column) -> Column:
         columns = [F.lit(level).alias("depth")]
         columns += [node[field].alias(name) for name, field in _TEXTS.items()]
         columns += [F.coalesce(F.to_json(_list(node, field)), F.lit("[]")).alias(name) for name, field in KEY_FIELDS.items()]
@@ -219,21 +193,16 @@ def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> D
         for name, field in COUNT_FIELDS.items():
             count = F.coalesce(node[field], F.lit(0).cast("bigint"))
             columns.append(F.when(blocks if name.endswith("blocks") else wal, count).alias(name))
-        return F.struct(*columns, F.lit(None).cast("int").alias("up")).cast(f"struct<{_typed(_ROW)}>")
+        return F.struct(*columns, up.alias("up"))
 
-    def make(node: Column, below: Column, level: int) -> Column:
-        row = F.array(own(node, level))
-        if level == LEVELS:
+    def make(
+        node: Column, plans: Column | None, made: Callable[..., Column], level: int, up: Column | None = None
+    ) -> Column:
+        row = F.array(own(node, level, F.lit(None).cast("int") if up is None else up))
+        if plans is None:
             return row
-        sizes = F.transform(below, lambda rows: F.size(rows))
-
-        def placed(rows: Column, i: Column) -> Column:
-            up = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, n: a + n)
-            return F.concat(
-                F.array(F.get(rows, F.lit(0)).withField("up", up)), F.slice(rows, F.lit(2), F.size(rows) - 1)
-            )
-
-        return F.concat(row, F.flatten(F.transform(below, placed)))
+        # A child stands as many rows behind its parent as have been put together before it.
+        return F.aggregate(plans, row, lambda rows, n: F.concat(rows, made(n, F.size(rows))))
 
     kinds = dict.fromkeys(_TEXTS.values(), "string") | dict.fromkeys(KEY_FIELDS.values(), "variant")
     kinds |= dict.fromkeys(NUMBER_FIELDS.values(), "double") | dict.fromkeys(COUNT_FIELDS.values(), "bigint")
@@ -244,10 +213,6 @@ def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> D
     return out.select(*keys, "node", parent, "depth", *rest)
 
 
-def _typed(columns: str) -> str:
-    return ", ".join(part.replace(" ", ":") for part in columns.split(", "))
-
-
 def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """(keys, plan_fingerprint); null for an unusable document.
 
@@ -255,13 +220,13 @@ def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc")
     tree itself; costs, row counts and filter text play no part.
     """
 
-    def make(node: Column, below: Column, level: int) -> Column:
+    def make(node: Column, plans: Column | None, made: Callable[..., Column], level: int) -> Column:
         empty = F.parse_json(F.lit("[]"))
         values = [
             F.coalesce(_list(node, KEY_FIELDS[n]), empty) if n in KEY_FIELDS else node[_TEXTS[n]] for n in _LABEL
         ]
         label = F.to_json(F.struct(*(v.alias(n) for n, v in zip(_LABEL, values, strict=True))), {"ignoreNullFields": "false"})
-        return F.concat(F.lit('{"children":['), _texts_of(below, level, ","), F.lit("],"), F.substr(label, F.lit(2)))
+        return F.concat(F.lit('{"children":['), _texts_of(plans, made, ","), F.lit("],"), F.substr(label, F.lit(2)))
 
     def own(row: dict, below: str) -> str:
         label = "".join(f',"{n}":{row[n] if n in KEY_FIELDS else _written(row[n])}' for n in _LABEL)
@@ -272,14 +237,14 @@ def plan_fingerprints(documents: DataFrame, keys: list[str], text: str = "doc")
     return canonical.select(*keys, F.concat(F.lit("sha256:"), F.sha2("canonical", 256)).alias("plan_fingerprint"))
 
 
-def _texts_of(below: Column, level: int, between: str) -> Column:
-    return F.lit("") if level == LEVELS else F.array_join(below, between)
+def _texts_of(plans: Column | None, made: Callable[..., Column], between: str) -> Column:
+    return F.lit("") if plans is None else F.array_join(F.transform(plans, lambda n: made(n)), between)
 
 
 def plan_shapes(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """(keys, normalized_shape): the readable form of what the fingerprint covers."""
 
-    def make(node: Column, below: Column, level: int) -> Column:
+    def make(node: Column, plans: Column | None, made: Callable[..., Column], level: int) -> Column:
         def given(name: str) -> Column:
             return F.nullif(node[_TEXTS[name]], F.lit(""))
 
@@ -288,10 +253,10 @@ def plan_shapes(documents: DataFrame, keys: list[str], text: str = "doc") -> Dat
         )
         strategy = F.concat(F.lit("("), given("strategy"), F.lit(")"))
         words = F.concat_ws(" ", given("join_type"), given("node_type"), strategy, place)
-        if level == LEVELS:
+        if plans is None:
             return words
-        inner = F.concat(F.lit(" -> ("), _texts_of(below, level, ", "), F.lit(")"))
-        return F.concat(words, F.when(F.size(below) == 0, "").otherwise(inner))
+        inner = F.concat(F.lit(" -> ("), _texts_of(plans, made, ", "), F.lit(")"))
+        return F.concat(words, F.when(F.size(plans) == 0, "").otherwise(inner))
 
     def own(row: dict, below: str) -> str:
         place = f"using {row['index_name']}" if row["index_name"] else row["relation_name"] and f"on {row['relation_name']}"

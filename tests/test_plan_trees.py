@@ -93,3 +93,33 @@ def test_no_python_where_every_plan_parses(spark, monkeypatch):
     answer = plan_trees.plan_fingerprints(df, ["k"])
     plans.append(answer._jdf.queryExecution().executedPlan().toString())
     assert not any("Arrow" in p or "Python" in p or "Exchange" in p for p in plans)
+
+
+def test_a_document_is_not_copied_for_each_level(spark, monkeypatch):
+    folds = []
+    plain = plan_trees.materialize
+
+    def seen(df, label):
+        folds.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(plan_trees, "materialize", seen)
+    df = spark.createDataFrame([(1, json.dumps([{"Plan": node("Limit", node("Result"))}]))], "k int, doc string")
+    for operator in (plan_trees.plan_fingerprints, plan_trees.plan_shapes, plan_trees.flatten_plans):
+        operator(df, ["k"])
+    assert [f.count("Project [") <= 4 for f in folds] == [True] * 3
+
+
+def test_places_of_plans_of_odd_forms(spark):
+    wide = node("Append", *(node("Sort", node("Seq Scan", Relation_Name=f"t{i}")) for i in range(40)))
+    odd = {"Node Type": "Limit", "Plan Rows": "7", "WAL Records": None, "Plans": {"Node Type": "Result"}}
+    bare = {"Node Type": "Result", "Plan Rows": 2.5, "WAL Bytes": 3}
+    docs = [(k, json.dumps([{"Plan": p}])) for k, p in enumerate([wide, odd, bare])]
+    rows = {}
+    for r in plan_trees.flatten_plans(spark.createDataFrame(docs, "k int, doc string"), ["k"]).collect():
+        rows.setdefault(r.k, []).append(r)
+    found = sorted(rows[0], key=lambda r: r.node)
+    assert [(r.node, r.parent, r.depth) for r in found[:5]] == [(0, None, 0), (1, 0, 1), (2, 1, 2), (3, 0, 1), (4, 3, 2)]
+    assert [r.relation_name for r in found[2::2]] == [f"t{i}" for i in range(40)]
+    assert [(r.plan_rows, r.wal_records, r.sort_key) for r in rows[1]] == [(7.0, None, "[]")]
+    assert [(r.plan_rows, r.wal_records, r.wal_bytes) for r in rows[2]] == [(2.5, 0, 3)]
