@@ -178,21 +178,12 @@ def _list(node: Column, field: str) -> Column:
 def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> DataFrame:
     """One row per plan node: position, parent, depth, identity and diagnostic fields."""
 
-    def given(node: Column, group: list[str]) -> Column:
-        out = F.lit(False)
-        for field in group:
-            out = out | node[field].isNotNull()
-        return out
-
     def own(node: Column, level: int, up: Column) -> Column:
         columns = [F.lit(level).alias("depth")]
         columns += [node[field].alias(name) for name, field in _TEXTS.items()]
         columns += [F.coalesce(F.to_json(_list(node, field)), F.lit("[]")).alias(name) for name, field in KEY_FIELDS.items()]
         columns += [node[field].alias(name) for name, field in NUMBER_FIELDS.items()]
-        blocks, wal = (given(node, group) for group in _COUNT_GROUPS)
-        for name, field in COUNT_FIELDS.items():
-            count = F.coalesce(node[field], F.lit(0).cast("bigint"))
-            columns.append(F.when(blocks if name.endswith("blocks") else wal, count).alias(name))
+        columns += [node[field].alias(name) for name, field in COUNT_FIELDS.items()]
         return F.struct(*columns, up.alias("up"))
 
     def make(
@@ -208,6 +199,15 @@ def flatten_plans(documents: DataFrame, keys: list[str], text: str = "doc") -> D
     kinds |= dict.fromkeys(NUMBER_FIELDS.values(), "double") | dict.fromkeys(COUNT_FIELDS.values(), "bigint")
     rows = _answers(documents, keys, text, "rows", kinds, make, lambda nodes: nodes)
     out = rows.select(*keys, F.posexplode("rows").alias("node", "_row")).select(*keys, "node", "_row.*")
+    # A count that is missing beside others of its group is 0; asked of rows, since in the fold every
+    # count would look through its group again.
+    named = {field: name for name, field in COUNT_FIELDS.items()}
+    blocks, wal = (F.coalesce(*(named[field] for field in group)).isNotNull() for group in _COUNT_GROUPS)
+    counts = {
+        name: F.when(blocks if name.endswith("blocks") else wal, F.coalesce(name, F.lit(0).cast("bigint")))
+        for name in COUNT_FIELDS
+    }
+    out = out.withColumns(counts)
     parent = (F.col("node") - F.col("up")).alias("parent")
     rest = [c for c in out.columns if c not in (*keys, "node", "up", "depth")]
     return out.select(*keys, "node", parent, "depth", *rest)
