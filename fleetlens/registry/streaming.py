@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.identity import rfc3339
@@ -15,21 +15,31 @@ from fleetlens.sources.scratch import new_path
 from fleetlens.streaming import load, sinks, stages, workload
 
 _CHUNKS = 3
+_FILE_ROWS = 50_000
 
 
-def _arriving(df: DataFrame, order: str, label: str, form: str) -> str:
-    """Write `df` in a few steps by `order`, the way files arrive in an append-only folder."""
+def _arriving(df: DataFrame, order: Column | str, label: str, form: str) -> tuple[str, int]:
+    """Write `df` in a few steps by `order`, the way files arrive in an append-only folder.
+
+    Returns the folder and how many files a batch takes. A large step has that many files, all with
+    rows, so that no batch holds a part of a step; rows without `order` come first.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    top = df.agg(F.max(order).alias("top")).first()["top"] + 1
-    for step in range(_CHUNKS):
-        low, high = top * step // _CHUNKS, top * (step + 1) // _CHUNKS
-        part = df.where((F.col(order) >= low) & (F.col(order) < high))
-        part.coalesce(2).write.mode("append").format(form).save(path)
-    return path
-
-
-def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    low = 0 if low is None else low
+    wide = (0 if high is None else high) + 1 - low
+    at = F.coalesce(order, F.lit(low)) - F.lit(low)
+    step = sum(((at >= wide * n // _CHUNKS).cast("int") for n in range(1, _CHUNKS)), F.lit(0))
+    rows = {r["step"]: r["count"] for r in df.groupBy(step.alias("step")).count().collect()}
+    least = min(rows.values(), default=0)
+    files = 1 if least < _FILE_ROWS // 5 else min(spark.sparkContext.defaultParallelism, max(2, least // _FILE_ROWS))
+    for n in sorted(rows) or [0]:
+        df.where(step == n).repartition(files).write.mode("append").format(form).save(path)
+    return path, max(2, files)
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     log = frame(spark, sf_dir, "capture").select(
         *OPERATION,
         "sequence",
@@ -40,7 +50,8 @@ def _event_files(spark: SparkSession, sf_dir: str) -> str:
         "bind",
         F.col("ts").cast("timestamp").alias("at"),
     )
-    return _arriving(log, "sequence", "event-files", "json")
+    # Events of copied logs may have times that do not follow the sequence; files come as time goes on.
+    return _arriving(log, F.unix_micros("at"), "event-files", "json")
 
 
 @query(
@@ -49,8 +60,8 @@ def _event_files(spark: SparkSession, sf_dir: str) -> str:
     sql="SELECT run_id, stage, status, pos, strftime(at_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, detail FROM stage_events",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _arriving(_stage_rows(spark, sf_dir), "pos", "stage-files", "json")
-    return sinks.drain(stages.stage_stream(spark, path, 2), "stage-events")
+    path, files = _arriving(_stage_rows(spark, sf_dir), "pos", "stage-files", "json")
+    return sinks.drain(stages.stage_stream(spark, path, files), "stage-events")
 
 
 def _stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +74,7 @@ def _stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql="""SELECT app_id, run_id, node_id, phase, query_id, count(*) AS executions, CAST(sum(duration_us) AS BIGINT) AS duration_us FROM capture GROUP BY ALL""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = workload.event_stream(spark, _event_files(spark, sf_dir), 2)
+    events = workload.event_stream(spark, *_event_files(spark, sf_dir))
     sinks.use_rocksdb(events)
     updates = sinks.drain(workload.operation_rollup(events), "rollup", updates=True)
     return sinks.latest(updates, [*OPERATION, "query_id"])
@@ -71,19 +82,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l03_stream_amplification", inputs="capture", sql=AMPLIFICATION_SQL.replace("{extra}", ""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _event_files(spark, sf_dir)
+    path, files = _event_files(spark, sf_dir)
     # A row of no operation, long after all others, as a log's last line: it closes what is open.
     last = frame(spark, sf_dir, "capture").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 100 DAYS")).alias("at"))
     last.write.mode("append").json(path)
-    events = workload.event_stream(spark, path, 2)
+    events = workload.event_stream(spark, path, files)
     sinks.use_rocksdb(events)
     return sinks.drain(workload.amplification(events, gap="40 DAYS", width=1024), "amplifications")
 
 
 @query("l04_stream_stage_state", inputs="stage_events", sql=TRANSITIONS_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _arriving(_stage_rows(spark, sf_dir), "pos", "stage-files", "json")
-    events = stages.stage_stream(spark, path, 2)
+    path, files = _arriving(_stage_rows(spark, sf_dir), "pos", "stage-files", "json")
+    events = stages.stage_stream(spark, path, files)
     sinks.use_rocksdb(events)
     return sinks.drain(stages.stage_moves(events), "stage-moves").drop("started_at", "late")
 
@@ -114,8 +125,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value"
     )
-    path = _arriving(events, "event_id", "event-tables", "parquet")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    path, files = _arriving(events, "event_id", "event-tables", "parquet")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _printed(df: DataFrame) -> DataFrame:
