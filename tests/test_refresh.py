@@ -86,3 +86,24 @@ def test_many_applications_share_folders(spark):
     assert refresh.refresh(frames(spark, moved), store, [rule()]).isEmpty()
     for part in ("findings", "questions", "digests"):
         assert len([p for p in Path(store, part).iterdir() if p.is_dir()]) <= 64
+
+
+def test_digests_count_copies_and_write_nothing(spark):
+    folder = Path(new_path(spark, "none")).parent
+
+    def digests(rows):
+        return {r.app_id: r.digest for r in refresh.app_digests(frames(spark, rows), [rule()]).collect()}
+
+    before = set(folder.iterdir())
+    one = digests([("a1", 1, {"k": 1}), ("a1", 2, None), ("a2", 1, {"k": 1})])
+    assert one == digests([("a2", 1, {"k": 1}), ("a1", 2, None), ("a1", 1, {"k": 1})])
+    # A value moved to another row, a copy more, two copies more, a null for a value.
+    for other in (
+        [("a1", 1, None), ("a1", 2, {"k": 1})],
+        [("a1", 1, {"k": 1}), ("a1", 2, None), ("a1", 2, None)],
+        [("a1", 1, {"k": 1})] * 3 + [("a1", 2, None)],
+        [("a1", 1, {"k": 1}), ("a1", None, None)],
+    ):
+        changed = digests([*other, ("a2", 1, {"k": 1})])
+        assert changed["a1"] != one["a1"] and changed["a2"] == one["a2"]
+    assert set(folder.iterdir()) == before
